@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import line_quality, mixing, simhash, wavelet
+from lattica.llm import langid, line_quality, mixing, permindex, pieces, pii, simhash, url_filter, wavelet
 from lattica.llm.common import table
 
 
@@ -24,16 +24,37 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_tokens, op2_line_quality, op6_source_mix, op10_simhash_components)}
+    ops = (op1_wavelet_tokens, op2_line_quality, op4_url_filter, op5_piece_encoding, op6_source_mix, op7_skip_chain_pii, op8_permutation_index, op9_language_masks, op10_simhash_components)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import written
 
-PIVOTS, PREFIX, RERANK = 256, 32, 0.25
+PIVOTS, PREFIX, RERANK = 256, 32, 0.35
 CHUNK, QUERIES = 2048, 1024
 NEAREST, EVERY = 20, 20
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import langid, line_quality, mixing, permindex, pieces, pii, simhash, url_filter, wavelet
+from lattica.llm import langid, line_quality, mixing, permindex, pieces, pii, repeats, simhash, url_filter, wavelet
 from lattica.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.report(table(spark, sf_dir, "documents"))
 
 
+def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_wavelet_tokens, op2_line_quality, op4_url_filter, op5_piece_encoding, op6_source_mix, op7_skip_chain_pii, op8_permutation_index, op9_language_masks, op10_simhash_components)
+    ops = (op1_wavelet_tokens, op2_line_quality, op3_previous_factors, op4_url_filter, op5_piece_encoding, op6_source_mix, op7_skip_chain_pii, op8_permutation_index, op9_language_masks, op10_simhash_components)
     return {f.__name__: f for f in ops}
 
 

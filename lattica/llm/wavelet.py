@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -62,7 +63,7 @@ class Writer:
         index["null_docs"] = part(np.packbits(np.array([d is None for d in self.docs], bool)).tobytes())
         index["lengths"] = part(np.array([len(x) for x in self.ids], "<u4").tobytes())
         for p in reversed(range(planes)):
-            bit = (seq >> p) & 1 == 1
+            bit = (seq & seq.dtype.type(1 << p)) != 0
             blocks, ones, seen = [], [], 0
             for lo in range(0, len(seq), BLOCK_BITS):
                 piece = bit[lo : lo + BLOCK_BITS]
@@ -191,12 +192,15 @@ class Reader:
 class ByteLevelEncoder:
     """Whole texts to ids with a byte-level tokenizer file.
 
-    A token never spans the place before a blank that a non-blank follows: the splitting pattern joins that blank to
-    what follows it. Texts are cut there, each distinct piece is encoded once by the library (many joined in a text),
-    and a document is its pieces' ids in a row. The store of pieces is emptied when full, so memory is bounded.
+    A token never spans the place before a blank that a non-blank follows, as the splitting pattern joins that blank to
+    what follows it, nor the place between a letter or digit and a stop. Texts are cut at the first, new pieces also at
+    the second; each distinct word is encoded once by the library (many joined in a text), and a document is its
+    pieces' ids in a row. The stores of pieces and words are emptied when full, so memory is bounded.
     """
 
-    FULL, JOINED = 300_000, 20_000
+    FULL, JOINED = 500_000, 20_000
+    STRAY = re.compile(r" (?:\s|$)")
+    STOP = re.compile(r"(?<=[^\W_])(?=[.,!?;:])")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -209,11 +213,12 @@ class ByteLevelEncoder:
         for token, i in vocab.items():
             self.sizes[i] = len(token)  # a byte-level token has a character per byte
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
+    @classmethod
+    def cut(cls, text: str) -> list[str]:
         """Pieces that join to the text; each but the first starts with a blank and a non-blank."""
-        if "  " in text or any(f" {c}" in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　              ") or text[-1:] == " ":
+        if cls.STRAY.search(text):
             out: list[str] = []
             for p in text.split(" "):
                 if out and (not p or p[0].isspace()):
@@ -226,21 +231,31 @@ class ByteLevelEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
 
-    def _learn(self, pieces: list[str]) -> None:
-        inner = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        outer = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        groups = [inner[i : i + self.JOINED] for i in range(0, len(inner), self.JOINED)]
-        for g in groups:
+    def _learn(self, pieces: set[str]) -> None:
+        split = {p: self.STOP.split(p) for p in pieces}
+        new = set().union(*split.values()) - self.words.keys()
+        if len(self.words) + len(new) > self.FULL:
+            self.words.clear()
+            new = set().union(*split.values())
+        self._learn_words(list(new))
+        for p, words in split.items():
+            self.known[p] = b"".join(map(self.words.__getitem__, words))
+
+    def _learn_words(self, words: list[str]) -> None:
+        inner = [p for p in words if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        outer = [p for p in words if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
+        for i in range(0, len(inner), self.JOINED):
+            g = inner[i : i + self.JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(g)], add_special_tokens=False)[0].ids, self.kind)
             ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in g), np.int64, len(g)))
             at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
             raw, w = ids.tobytes(), self.kind.itemsize
             lo = 0
             for p, hi in zip(g, (at * w).tolist(), strict=True):
-                self.known[p] = raw[lo:hi]
+                self.words[p] = raw[lo:hi]
                 lo = hi
         for p, e in zip(outer, self.tokenizer.encode_batch_fast(outer, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+            self.words[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
@@ -250,13 +265,19 @@ class ByteLevelEncoder:
                 self.known.clear()
                 new = set().union(*cut[lo : lo + 256]) - {""}
             if new:
-                self._learn(list(new))
+                self._learn(new)
             self.known[""] = b""
             for i in range(lo, min(lo + 256, len(cut))):
                 cut[i] = np.frombuffer(b"".join(map(self.known.__getitem__, cut[i])), self.kind)
         return cut
 
 
+@cache
+def byte_level(path: str) -> ByteLevelEncoder:
+    """One per Python process: its stores serve all tasks that run there."""
+    return ByteLevelEncoder(path)
+
+
 def _store(path: str) -> tuple[object, str]:
     """A file system that executors can write by, and the path in it."""
     from pyarrow import fs
@@ -331,5 +352,5 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    shards, _ = write_shards(docs, lambda: ByteLevelEncoder(tokenizer))
+    shards, _ = write_shards(docs, lambda: byte_level(tokenizer))
     return read_documents(docs.sparkSession, shards)

@@ -47,9 +47,9 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
         "*",
         ((F.lit(float(share)) * F.sum("source_size").over(whole) - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)).alias("fill"),
     )
-    fits = F.min(F.when(F.col("fill") <= F.col("level"), F.struct("level", "fill"))).over(whole)
-    water = fits["fill"]
-    target = F.when(fits.isNull() | (F.col("level") < fits["level"]), F.lit(float(cap)) * F.col("source_size")).otherwise(water * F.col("weight"))
+    water = F.max(F.when(F.col("fill") <= F.col("level"), F.col("fill"))).over(whole)  # the highest is the first that fits
+    top = F.lit(float(cap)) * F.col("source_size")
+    target = F.coalesce(F.least(top, water * F.col("weight")), top)
     return shared.select("source", "source_size", "weight", target.alias("target"))
 
 

@@ -167,7 +167,7 @@ class Pieces:
 
     def encode(self, text: str | None) -> np.ndarray:
         parts = self.parts(text or "")
-        new = set(parts) - self.known.keys()
+        new = {p for p in parts if p not in self.known}
         if len(self.known) + len(new) > self.FULL:
             self.known.clear()
             new = set(parts)

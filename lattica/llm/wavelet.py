@@ -233,10 +233,11 @@ class ByteLevelEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         split = {p: self.STOP.split(p) for p in pieces}
-        new = set().union(*split.values()) - self.words.keys()
+        seen = set().union(*split.values())
+        new = {w for w in seen if w not in self.words}
         if len(self.words) + len(new) > self.FULL:
             self.words.clear()
-            new = set().union(*split.values())
+            new = seen
         self._learn_words(list(new))
         for p, words in split.items():
             self.known[p] = b"".join(map(self.words.__getitem__, words))
@@ -260,10 +261,11 @@ class ByteLevelEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
         for lo in range(0, len(cut), 256):
-            new = set().union(*cut[lo : lo + 256]) - self.known.keys() - {""}
+            seen = set().union(*cut[lo : lo + 256]) - {""}
+            new = {p for p in seen if p not in self.known}
             if len(self.known) + len(new) > self.FULL:
                 self.known.clear()
-                new = set().union(*cut[lo : lo + 256]) - {""}
+                new = seen
             if new:
                 self._learn(new)
             self.known[""] = b""

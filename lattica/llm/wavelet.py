@@ -193,14 +193,15 @@ class ByteLevelEncoder:
     """Whole texts to ids with a byte-level tokenizer file.
 
     A token never spans the place before a blank that a non-blank follows, as the splitting pattern joins that blank to
-    what follows it, nor the place between a letter or digit and a stop. Texts are cut at the first, new pieces also at
-    the second; each distinct word is encoded once by the library (many joined in a text), and a document is its
-    pieces' ids in a row. The stores of pieces and words are emptied when full, so memory is bounded.
+    what follows it, nor the place between a letter or digit and a stop. Texts are cut at the first, new pieces also
+    before the stops at their end; each distinct piece is encoded once by the library (many joined in a text), and a
+    document is its pieces' ids in a row. The store has two generations: when the younger is full it becomes the older,
+    whose pieces come back when they are met, so memory is bounded and frequent pieces stay.
     """
 
     FULL, JOINED = 500_000, 20_000
     STRAY = re.compile(r" (?:\s|$)")
-    STOP = re.compile(r"(?<=[^\W_])(?=[.,!?;:])")
+    STOPS = ".,!?;:"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -213,7 +214,7 @@ class ByteLevelEncoder:
         for token, i in vocab.items():
             self.sizes[i] = len(token)  # a byte-level token has a character per byte
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def cut(cls, text: str) -> list[str]:
@@ -231,16 +232,28 @@ class ByteLevelEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
 
+    def _recall(self, pieces: set[str]) -> set[str]:
+        """The pieces that no generation has; those of the older are brought back."""
+        known, old, new = self.known, self.old, set()
+        for p in pieces:
+            if p not in known:
+                if p in old:
+                    known[p] = old[p]
+                else:
+                    new.add(p)
+        return new
+
     def _learn(self, pieces: set[str]) -> None:
-        split = {p: self.STOP.split(p) for p in pieces}
-        seen = set().union(*split.values())
-        new = {w for w in seen if w not in self.words}
-        if len(self.words) + len(new) > self.FULL:
-            self.words.clear()
-            new = seen
-        self._learn_words(list(new))
-        for p, words in split.items():
-            self.known[p] = b"".join(map(self.words.__getitem__, words))
+        plain, ended = set(), []
+        for p in pieces:
+            if p[-1] in self.STOPS and (w := p.rstrip(self.STOPS)) and w[-1].isalnum():
+                ended.append((p, w, p[len(w) :]))
+            else:
+                plain.add(p)
+        plain |= self._recall({w for _, w, _ in ended} | {t for _, _, t in ended})
+        self._learn_words(list(plain))
+        for p, w, t in ended:
+            self.known[p] = self.known[w] + self.known[t]
 
     def _learn_words(self, words: list[str]) -> None:
         inner = [p for p in words if p[0] == " " and len(p) > 1 and not p[1].isspace()]
@@ -253,20 +266,18 @@ class ByteLevelEncoder:
             raw, w = ids.tobytes(), self.kind.itemsize
             lo = 0
             for p, hi in zip(g, (at * w).tolist(), strict=True):
-                self.words[p] = raw[lo:hi]
+                self.known[p] = raw[lo:hi]
                 lo = hi
         for p, e in zip(outer, self.tokenizer.encode_batch_fast(outer, add_special_tokens=False), strict=True):
-            self.words[p] = np.array(e.ids, self.kind).tobytes()
+            self.known[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.cut(t) if t else [] for t in texts]
         for lo in range(0, len(cut), 256):
             seen = set().union(*cut[lo : lo + 256]) - {""}
-            new = {p for p in seen if p not in self.known}
-            if len(self.known) + len(new) > self.FULL:
-                self.known.clear()
-                new = seen
-            if new:
+            if len(self.known) > self.FULL:
+                self.known, self.old = {}, self.known
+            if new := self._recall(seen):
                 self._learn(new)
             self.known[""] = b""
             for i in range(lo, min(lo + 256, len(cut))):

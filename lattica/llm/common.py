@@ -49,12 +49,17 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet into the shared folder and reread: lineage is cut and any executor can be lost."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and the path, for tables that are removed when they are no longer read."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet into the shared folder and reread: lineage is cut and any executor can be lost."""
+    return written_at(df, name)[0]
 
 
 def word_count(text: Column) -> Column:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import new_path, remove, written
+from lattica.llm.common import remove, written, written_at
 
 LENGTH, GRAM = 100, 24
 FILE_ROWS, BLOCK_ROWS = 4096, 16_384
@@ -301,28 +301,31 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts (did, doc_id, text) and their removed bytes (did, lo, hi), which may overlap."""
     spark = docs.sparkSession
     base = _based(docs)
-    path = new_path(spark, "anchors")
-    _found(base).write.parquet(path)
-    found = spark.read.parquet(path)
+    found, found_at = written_at(_found(base), "anchors")
     marks = found.where("h is not null")
     local = written(found.where("h is null").select("did", F.col("s").alias("lo"), F.col("e").alias("hi")), "repeats-local")
     grams = marks.groupBy("h").agg(F.count("*").alias("n"), F.min("fh").alias("x"), F.max("fh").alias("y")).where("n > 1")
     grams = written(grams.select("h", (F.col("x") != F.col("y")).alias("mixed")), "repeats-grams")
-    again = written(marks.join(grams, "h"), "repeats-anchors")
-    remove(spark, path)
+    again, again_at = written_at(marks.join(grams, "h"), "repeats-anchors")
+    remove(spark, found_at)
     _release(spark)
-    firsts = written(again.groupBy("h", "fh").agg(F.min(F.struct("did", "a")).alias("first")), "repeats-firsts")
+    firsts, firsts_at = written_at(again.groupBy("h", "fh").agg(F.min(F.struct("did", "a")).alias("first")), "repeats-firsts")
     here = F.struct("did", "a")
     split = written(again.join(firsts, ["h", "fh"]).where("mixed or struct(did, a) > first").select("h", "did", "a", "s", "e", (here > F.col("first")).alias("later")), "repeats-split")
+    for path in (again_at, firsts_at):
+        remove(spark, path)
+    _release(spark)
     later = split.where("later").select("did", F.col("s").alias("lo"), (F.col("e") + LENGTH).alias("hi"))
     listed = split.where("not later").groupBy("did").agg(F.collect_list(F.struct("h", "a", "s", "e")).alias("marks"))
-    fragments = written(_fragments(base.select("did", "text").join(listed, "did").select("did", "text", "marks")), "repeats-fragments")
+    fragments, fragments_at = written_at(_fragments(base.select("did", "text").join(listed, "did").select("did", "text", "marks")), "repeats-fragments")
     _release(spark)
     files = written(fragments.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "repeats-files")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("did", "lo"), F.ceil(F.col("rows") / FILE_ROWS)).cast("int")
     filed = fragments.join(files, "key").select("key", salt.alias("salt"), (F.col("rows") > FILE_ROWS).alias("hot"), "did", "lo", "n", "raw")
     judged = written(_judged(filed.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")), "repeats-judged")
+    remove(spark, fragments_at)
+    _release(spark)
     met = judged.where("w is not null")
     firsts = written(met.groupBy("key", "w").agg(F.min(F.struct("did", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-met")
     across = met.join(firsts, ["key", "w"]).where("struct(did, lo) > first").select("did", "lo", "hi")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 PIVOTS, PREFIX, RERANK = 256, 32, 0.35
-CHUNK, QUERIES = 2048, 1024
+#: Vectors of a chunk (fewer where they are long: BYTES in double precision) and queries of a block: a task holds one of each.
+CHUNK, BYTES, QUERIES = 65_536, 1 << 26, 256
 NEAREST, EVERY = 20, 20
 
 
@@ -111,7 +112,8 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     sizes = found.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.length("key")).alias("w")).first()
     width = (sizes["w"] or 0) // 4
     pivots = _matrix([r["key"] for r in found.select("key").orderBy(F.xxhash64("key"), "key").limit(n_pivots).collect()], width)
-    chunks, blocks = max(1, -(-sizes["n"] // CHUNK)), max(1, -(-(sizes["q"] or 0) // QUERIES))
+    chunk = max(1024, min(CHUNK, BYTES // (8 * max(1, width))))
+    chunks, blocks = max(1, -(-sizes["n"] // chunk)), max(1, -(-(sizes["q"] or 0) // QUERIES))
     data = found.select(F.pmod(F.xxhash64("key"), F.lit(chunks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), "key", "ids")
     asked = found.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64(F.lit("q"), "key"), F.lit(blocks)).alias("b"), "key")
     k = nearest + 1

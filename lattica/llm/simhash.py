@@ -28,6 +28,8 @@ from lattica.llm.common import written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BLOCKS, PIVOTS, FILE_ROWS = 6, 16, 4096
+#: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; sets in a chunk.
+SHARED, SMALL, CHUNK = 4, 64, 1024
 #: Above this many distinct fingerprints, files are keyed by four of eight blocks instead of two of six.
 MANY = 50_000_000
 
@@ -235,13 +237,193 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 5, bits: int = BITS) -> DataFrame:
-    """docs without near-duplicates: of each component, one row with its smallest doc_id stays.
+# Near copies by the exact Jaccard similarity of shingle sets, for the pipeline
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct word shingles of a text as ascending 64-bit hashes; a text under the shingle length is one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def prefix(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first shingles in an order that all texts share: frequent ones (hot, rarest first) last, else by hash.
+
+    Sets of Jaccard 0.8 have ceil(0.8 n) shingles or more of either in common, so they share SHARED of these at least.
+    Under four shingles only equal sets reach 0.8.
+    """
+    n = len(found)
+    if n < SHARED:
+        return found[:0]
+    rank = np.zeros(n, np.int64)
+    if len(hot):
+        by = np.argsort(hot)
+        at = np.minimum(np.searchsorted(hot, found, sorter=by), len(hot) - 1)
+        rank = np.where(hot[by[at]] == found, by[at] + 1, 0)
+    return found[np.argsort(rank, kind="stable")][: n - (4 * n + 4) // 5 + SHARED]
+
+
+def frequent(docs: DataFrame, shingle: int, most: int = 200_000) -> np.ndarray:
+    """Shingles that about 10,000 of the texts often have, rarest first. It sets an order; no result depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], names=["h"])
+
+    every = max(1, docs.count() // 10_000)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
+    return top.column("h").to_numpy()[::-1].view(np.uint64)
+
+
+def connecting(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs of similar sets that connect what is linked: each set meets all that no other has reached yet."""
+    out: list[tuple[int, int]] = []
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    rest, rows = np.arange(len(sets)), flat
+    queue: list[int] = []
+    while len(rest):
+        if not queue:
+            queue = [int(rest[0])]
+            rows, rest = rows[sizes[rest[0]] :], rest[1:]
+        x = queue.pop()
+        if not len(rest):
+            break
+        own = flat[starts[x] : starts[x] + sizes[x]]
+        mark[own] = True
+        n = sizes[rest]
+        both = np.add.reduceat(mark[rows], np.cumsum(n) - n, dtype=np.int64)
+        mark[own] = False
+        near = 9 * both >= 4 * (sizes[x] + n)
+        if near.any():
+            found = rest[near].tolist()
+            out += [(x, y) for y in found]
+            queue += found
+            rows, rest = rows[np.repeat(~near, n)], rest[~near]
+    return out
+
+
+def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sid) per row of docs, sid naming its set of shingles, and (a, b): enough links to connect all sets of
+    Jaccard similarity 0.8 or more.
+
+    Sets are filed under each shingle of their prefix. In files of up to small sets all pairs are counted, and those
+    that meet SHARED times are compared; in larger files the sets themselves meet, chunk by chunk. Nothing is lost.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hot = frequent(docs, shingle)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
+            cols = [pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "pre"])
+
+    marked = written(docs.mapInArrow(mark, "doc_id long, sid long, n int, pre array<long>"), "near-sets")
+    filed = marked.dropDuplicates(["sid"]).select("sid", "n", F.explode("pre").alias("h"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """h, a, b of pairs in small files; h, a, null of the rows of large ones. Rows come sorted by h."""
+
+        def solve(t: pa.Table) -> pa.RecordBatch:
+            h, sid, n = (t.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            sizes = np.repeat(np.diff(np.r_[starts, len(h)]), np.diff(np.r_[starts, len(h)]))
+            large = np.flatnonzero(sizes > small)
+            at = np.flatnonzero((sizes > 1) & (sizes <= small))
+            left, right = [], []
+            for d in range(1, min(small, len(at))):
+                a = np.flatnonzero(h[at[:-d]] == h[at[d:]])
+                if not len(a):
+                    break
+                i, j = at[a], at[a + d]
+                near = 5 * np.minimum(n[i], n[j]).astype(np.int64) >= 4 * np.maximum(n[i], n[j]).astype(np.int64)
+                left.append(i[near])
+                right.append(j[near])
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+            b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[h[i], h[large]]), pa.array(np.r_[a, sid[large]]), b], names=["h", "a", "b"])
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            h = rest.column(0).to_numpy()
+            last = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            if last:  # the last file may go on
+                yield solve(rest.slice(0, last))
+                rest = rest.slice(last).combine_chunks()
+        if rest is not None and rest.num_rows:
+            yield solve(rest)
+
+    placed = filed.select("h", "sid", "n").repartition(parts, "h").sortWithinPartitions("h")
+    met = written(placed.mapInArrow(meet, "h long, a long, b long"), "near-met")
+    pairs = written(met.where("b is not null").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"), "near-pairs")
+    large = met.where("b is null").select("h", F.col("a").alias("sid"))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select("sid")).distinct()
+    named = marked.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column(0).to_pylist()]
+            sids = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([sids, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["sid", "s"])
+
+    texts = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(again, "sid long, s array<long>").join(needed, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = written(sets, "near-texts")
+    at = lambda c, s: sets.select(F.col("sid").alias(c), F.col("s").alias(s))
+    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
+    verified = pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").where(enough).select("a", "b")
+
+    counts = large.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(F.least(c, own).alias("ci"), F.greatest(c, own).alias("cj")))
+    chunks = F.filter(others, lambda p: (p["ci"] < p["cj"]) | (F.col("n") == 1))  # two chunks in one task hold their own pairs
+    dealt = large.join(counts, "h").select("h", "sid", F.explode(chunks).alias("p")).select("h", "p.ci", "p.cj", "sid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sids, held = None, [], []
+
+        def solve() -> pa.RecordBatch:
+            found = np.array(connecting(held) if held else [], np.int64).reshape(-1, 2)
+            of = np.array(sids, np.int64)
+            a, b = of[found[:, 0]], of[found[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for b in batches:
+            h, ci, cj, sid = (b.column(i).to_pylist() for i in range(4))
+            for i, k in enumerate(zip(h, ci, cj, strict=True)):
+                if k != key and held:
+                    yield solve()
+                    sids, held = [], []
+                key = k
+                sids.append(sid[i])
+                held.append(b.column(4)[i].values.to_numpy())
+        yield solve()
+
+    together = dealt.join(sets, "sid").select("h", "ci", "cj", "sid", "s").repartition(parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
+    return marked.select("doc_id", "sid"), verified.union(together.mapInArrow(compare, "a long, b long")).distinct()
+
+
+def dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs without near-duplicates: texts are linked by a Jaccard similarity of their word shingles of 0.8 or more; of
+    each component, one row with its smallest doc_id stays.
 
     Rows without a doc_id can't be named and stay.
     """
-    found = components(docs.where("doc_id is not null"), shingle, bits)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
+    marked, edges = similar(named, shingle)
+    roots = contracted(edges).withColumnRenamed("node", "sid")
+    first = marked.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    first = written(first, "near-first")
     kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -534,6 +534,47 @@ def test_contracted_chains(spark):
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("small,chunk", [(64, 1024), (2, 7)])
+def test_near_copies(spark, small, chunk):
+    """Planted copies at 0.8 to 0.95, a large group and chance neighbours, against all pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    rows, planted = [], []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words), "en", "a", 0))
+        return rows[-1][0]
+
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))}
+    jac = lambda a, b: len(a & b) / len(a | b)
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        copy = list(base)
+        while jac(grams(" ".join(base)), grams(" ".join(copy))) > 0.95 - 0.13 * k / 39:
+            last, copy[rng.randrange(len(copy))] = list(copy), word()
+        planted.append((add(base), add(last if k % 2 else copy)))
+    hub = [word() for _ in range(120)]
+    for _ in range(30):
+        add([w if rng.random() > 0.01 else word() for w in hub])
+    for _ in range(10):
+        add(hub[:30] + [word() for _ in range(60)])
+    for t in ("a b c d e f g h", "a b c d e f g h i", "a b c", "A b  c", "", " "):
+        add(t.split(" "))
+    got = simhash.similar(frame(spark, rows), 5, small, chunk)
+    sid = {r.doc_id: r.sid for r in got[0].collect()}
+    roots = {r.node: r.root for r in simhash.contracted(got[1]).collect()}
+    sets = [grams(t) if t.split() else set() for _, t, *_ in rows]
+    near = [[j for j, b in enumerate(sets) if a == b or (a | b and jac(a, b) >= 0.8)] for a in sets]
+    assert sum(j in near[i] for i, j in planted) > 25
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in js) for js in near]
+    mine = [roots.get(sid[i], sid[i]) for i in range(len(rows))]
+    assert [mine.index(m) for m in mine] == label
+    if small == 64:
+        assert {r.doc_id for r in simhash.dedup(frame(spark, rows)).collect()} == set(label)
+
+
 # The pipeline
 
 

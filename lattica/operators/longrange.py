@@ -1,7 +1,7 @@
 """Smooth particle-mesh sums: charges spread to a grid by B-splines, convolved by FFT, energies read back.
 
-The spread is a grouped sum over the cluster; the grid, whose size is a parameter and does not follow the particles, is
-convolved in one task.
+The spread is a grouped sum over the cluster; the grid, whose size follows the box and kappa (mesh), is convolved in one
+task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from lattica.schema import COULOMB, Box
 
 ORDER = 4
+#: Largest spacing of the grid, times kappa.
+SPACING = 0.3
+
+
+def mesh(box: Box, kappa: float) -> int:
+    """Points along an axis, so that none is spaced wider than SPACING / kappa; a product of 2, 3 and 5, for the FFT."""
+    n = max(2 * ORDER, math.ceil(max(box.dim) * kappa / SPACING))
+    while 30**30 % n:
+        n += 1
+    return n
 
 
 def spline(u: Column) -> Column:
@@ -40,18 +50,19 @@ def spread(ps: DataFrame, box: Box, grid: int) -> DataFrame:
 
 
 def influence(box: Box, grid: int, kappa: float) -> np.ndarray:
-    """Theta(m): the reciprocal kernel with the splines' factors; 0 at the origin."""
+    """Theta(m): the reciprocal kernel with the splines' factors, for the half that rfftn gives; 0 at the origin."""
     m = np.fft.fftfreq(grid, 1.0 / grid)
     k = np.arange(ORDER - 1)
     at = np.array([1 / 6, 4 / 6, 1 / 6])  # the spline at 1, 2, 3
     den = (at * np.exp(2j * np.pi * np.outer(m, k) / grid)).sum(axis=1)
     b = 1.0 / np.abs(den) ** 2
-    fx, fy, fz = np.meshgrid(*[m / d for d in box.dim], indexing="ij")
-    f2 = fx * fx + fy * fy + fz * fz
+    half = grid // 2 + 1
+    fx, fy, fz = ((m / d) ** 2 for d in box.dim)
+    f2 = fx[:, None, None] + fy[None, :, None] + fz[None, None, :half]
     with np.errstate(divide="ignore", invalid="ignore"):
         kernel = np.exp(-(np.pi**2) * f2 / kappa**2) / f2
     kernel[0, 0, 0] = 0.0
-    return kernel * b[:, None, None] * b[None, :, None] * b[None, None, :]
+    return kernel * b[:, None, None] * b[None, :, None] * b[None, None, :half]
 
 
 def convolved(grid_q: DataFrame, box: Box, grid: int, kappa: float) -> DataFrame:
@@ -62,9 +73,10 @@ def convolved(grid_q: DataFrame, box: Box, grid: int, kappa: float) -> DataFrame
         q = np.zeros((grid,) * 3)
         for f in frames:
             np.add.at(q, (f["gx"].to_numpy(), f["gy"].to_numpy(), f["gz"].to_numpy()), f["q"].to_numpy())
-        phi = np.fft.ifftn(np.fft.fftn(q) * influence(box, grid, kappa)).real * q.size * factor
-        gx, gy, gz = (i.ravel() for i in np.indices(q.shape))
-        yield pd.DataFrame({"gx": gx, "gy": gy, "gz": gz, "q": q.ravel(), "phi": phi.ravel()})
+        phi = np.fft.irfftn(np.fft.rfftn(q) * influence(box, grid, kappa), q.shape) * (q.size * factor)
+        gy, gz = (i.ravel() for i in np.indices(q.shape[1:]))
+        for gx in range(grid):
+            yield pd.DataFrame({"gx": np.full(gy.size, gx), "gy": gy, "gz": gz, "q": q[gx].ravel(), "phi": phi[gx].ravel()})
 
     return grid_q.coalesce(1).mapInPandas(solve, "gx int, gy int, gz int, q double, phi double")
 

@@ -684,21 +684,19 @@ def pdb_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Long range
 
 
-GRID = 16
-
-
 @query(f"{P} SELECT count(*) AS parts, {RND('sum(q)')} AS q FROM p")
 def spme_charge_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid holds all charge."""
     ps, box = water(spark, sf_dir)
-    grid = longrange.spread(ps, box, GRID).agg(F.sum("q").alias("q"))
+    grid = longrange.spread(ps, box, longrange.mesh(box, KAPPA)).agg(F.sum("q").alias("q"))
     return ps.agg(F.count("*").alias("parts")).crossJoin(grid).select("parts", r4("q").alias("q"))
 
 
 @query()
 def spme_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps, box = water(spark, sf_dir)
-    return longrange.energy(longrange.convolved(longrange.spread(ps, box, GRID), box, GRID, KAPPA)).select(r4("e").alias("e"))
+    grid = longrange.mesh(box, KAPPA)
+    return longrange.energy(longrange.convolved(longrange.spread(ps, box, grid), box, grid, KAPPA)).select(r4("e").alias("e"))
 
 
 # Runs

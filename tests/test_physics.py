@@ -260,6 +260,22 @@ def test_mesh_energy_is_that_of_the_direct_sum(spark):
     assert got == pytest.approx(want, rel=2e-3)
 
 
+@pytest.mark.parametrize("edge", [2.5, 6.0])
+def test_mesh_follows_the_box(spark, edge):
+    """At the query's spacing and kappa, in boxes of several edges, against the direct sum."""
+    kappa, box = 3.0, Box((0.0,) * 3, (edge,) * 3, 0.75)
+    ps = gas(spark, 60, edge)
+    grid = longrange.mesh(box, kappa)
+    got = longrange.energy(longrange.convolved(longrange.spread(ps, box, grid), box, grid, kappa)).first()["e"]
+    rows = ps.select("q", "x", "y", "z").toPandas().to_numpy()
+    top = math.ceil(1.7 * kappa * edge)
+    k = np.stack(np.meshgrid(*[np.arange(-top, top + 1) / edge] * 3, indexing="ij"), -1).reshape(-1, 3)
+    k2 = (k * k).sum(axis=1)
+    k, k2 = k[(k2 > 0) & (k2 < (1.7 * kappa) ** 2)], k2[(k2 > 0) & (k2 < (1.7 * kappa) ** 2)]
+    s = sum(q * np.exp(2j * np.pi * (k @ r)) for q, *r in rows)
+    assert got == pytest.approx(COULOMB / (2 * np.pi * edge**3) * (np.exp(-(np.pi**2) * k2 / kappa**2) / k2 * abs(s) ** 2).sum(), rel=2e-3)
+
+
 def test_bad_pdb_record(spark, tmp_path):
     from lattica.sources import structure
 

@@ -98,6 +98,17 @@ INNER = re.compile(r"\w(?:[\w.@'-]*\w)?")
 FEATURES = ("bias", "hex_long", "mixed_long", "digits", "title", "cue_secret", "cue_person", "cue_account", "cue_harmless", "short_hop", "sentence_start")
 
 
+def _words(text: str) -> Iterator[tuple[int, re.Match[str] | None, bool]]:
+    """Every inner word of every token: the token's place, the word, whether a full stop ends it. A token without a word
+    gives None."""
+    for m in TOKEN.finditer(text):
+        raw = m.group()
+        inner = list(INNER.finditer(raw)) or [None]
+        for w in inner[:-1]:
+            yield m.start(), w, False
+        yield m.start(), inner[-1], raw[-1] in ".!?"
+
+
 class Graph:
     """Candidate tokens of a text: spans, features, chain edges and skip edges."""
 
@@ -108,9 +119,7 @@ class Graph:
         rows: list[list[int]] = []
         shapes: list[tuple[bool, bool]] = []
         cue, hop, start, last, seen = "", 9, True, -9, {}
-        for i, m in enumerate(TOKEN.finditer(text)):
-            raw = m.group()
-            inner = INNER.search(raw)
+        for i, (at, inner, stop) in enumerate(_words(text)):
             word = inner.group() if inner else ""
             low = word.lower()
             digits = sum("0" <= c <= "9" for c in word)
@@ -124,7 +133,7 @@ class Graph:
                 n = len(rows)
                 rows.append(row)
                 shapes.append((title, digits > 0))
-                self.spans.append((m.start() + inner.start(), m.start() + inner.end()))
+                self.spans.append((at + inner.start(), at + inner.end()))
                 if last == i - 1:
                     self.chain.append((n - 1, n))
                 if low in seen:
@@ -134,7 +143,7 @@ class Graph:
             if low in CUE_OF:  # its full stop is an abbreviation's
                 cue, hop, start = CUE_OF[low], 0, False
             elif word:  # marks such as "=" don't count
-                hop, start = hop + 1, raw[-1] in ".!?"
+                hop, start = hop + 1, stop
                 if hop > 2 or start:
                     cue = ""
         self.x = np.array(rows, float).reshape(-1, len(FEATURES))

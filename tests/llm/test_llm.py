@@ -389,6 +389,16 @@ def test_field_carries_labels_along():
     assert spans("The King of the hill and a plain 123456 number.") == []
 
 
+def test_words_without_blanks():
+    f = pii.fitted()
+    spans = lambda t: [t[s:e] + "/" + k for s, e, k in pii.all_spans(t, f)[1]]
+    key = "9f8e7d6c5b4a39281706"
+    assert spans("set password=hunter2abc123 now") == ["hunter2abc123/secret"]
+    assert spans('{"user":"x","api_key":"' + key + '"}') == [key + "/secret"]
+    assert spans(f"see https://x.org/?token={key}&page=2 there") == [key + "/secret"]
+    assert spans(f"see https://x.org/{key} there") == []
+
+
 def test_field_on_held_out_sentences():
     f, right, total = pii.fitted(), 0, 0
     for text, labels in pii.examples(200, 99):

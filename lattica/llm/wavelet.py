@@ -207,7 +207,8 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are found before the splitting pattern is used; texts that hold one go to the library whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -274,7 +275,8 @@ class ByteLevelEncoder:
             self.known[p] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.cut(t) if t else [] for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        cut = [self.cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         for lo in range(0, len(cut), 256):
             seen = set().union(*cut[lo : lo + 256])
             seen.discard("")
@@ -285,6 +287,8 @@ class ByteLevelEncoder:
             self.known[""] = b""
             for i in range(lo, min(lo + 256, len(cut))):
                 cut[i] = np.frombuffer(b"".join(map(self.known.__getitem__, cut[i])), self.kind)
+        for i, t in whole.items():
+            cut[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind)
         return cut
 
 

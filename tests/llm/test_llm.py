@@ -118,6 +118,21 @@ def test_encoder_is_the_library(text):
     assert e.encode([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark):
+    """Texts that hold the file's own token, against a tokenizer loaded anew."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    many = ["end <|endoftext|> next", "<|endoftext|>", "a  <|endoftext|>  b.<|endoftext|>c d", "plain text."]
+    ids = [fresh.encode(t, add_special_tokens=False).ids for t in many]
+    assert ids[0] == [437, 220, 50256, 1306]
+    assert [x.tolist() for x in wavelet.ByteLevelEncoder(path).encode(many)] == ids
+    got = wavelet.report(frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(many)]), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(x) + 1 for x in ids]
+    assert [r.start for r in got] == [sum(len(x) + 1 for x in ids[:i]) for i in range(len(ids))]
+
+
 def test_wavelet_report(spark, monkeypatch):
     monkeypatch.setattr(wavelet.ByteLevelEncoder, "FULL", 400)
     rows = texts(60)

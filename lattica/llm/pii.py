@@ -2,8 +2,10 @@
 
 Patterns give emails, IPs, cards and phones. The field labels entity-shaped tokens (all others are outside by the
 model's structure) as person, secret or account. Chain edges join neighbours; skip edges join occurrences of the same
-token, compared without case and punctuation, each to the next, so a group of n costs n edges. Damped sum-product
-messages run until they settle, so an occurrence with a cue ("token = ...") labels those without one.
+word, compared without case, inner punctuation and possessive ending, each to the next, so a group of n costs n edges.
+Damped sum-product messages run until they settle, so an occurrence with a cue ("token = ...") labels those without one.
+Every text gets its messages, whether it has a cue or not; texts are put into one graph in batches, and each stops by
+itself, so its labels are the same in any batch.
 
 The weights are fitted here, by pseudo-likelihood, on sentences made from templates (TRAIN_DOCS of them).
 
@@ -16,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,66 +94,157 @@ CUES = {
     "harmless": frozenset("commit sha1 sha256 md5 checksum hash revision version order page isbn".split()),
 }
 CUE_OF = {w: kind for kind, words in CUES.items() for w in words}
-CUE = re.compile(r"(?i)(?<!\w)(?:" + "|".join(sorted(CUE_OF)) + r")(?!\w)")
-#: A run of word characters that could be a secret or an account number; looked at only where a digit is.
-LONG = re.compile(r"(?<!\w)\w(?:-?\w){5,}+")
-TOKEN = re.compile(r"\S+")
+SPACES = np.array([chr(c).isspace() for c in range(0x3002)])  # no space lies beyond
 INNER = re.compile(r"\w(?:[\w.@'-]*\w)?")
 FEATURES = ("bias", "hex_long", "mixed_long", "digits", "title", "cue_secret", "cue_person", "cue_account", "cue_harmless", "short_hop", "sentence_start")
+#: Distinct tokens that a process remembers, and the longest of them: bounds their bytes.
+KEPT_TOKENS, KEPT_LENGTH = 200_000, 48
+#: Code points of the texts that are judged together; a longer text is judged alone.
+TOGETHER = 1 << 20
 
 
-def _words(text: str) -> Iterator[tuple[int, re.Match[str] | None, bool]]:
-    """Every inner word of every token: the token's place, the word, whether a full stop ends it. A token without a word
-    gives None."""
-    for m in TOKEN.finditer(text):
-        raw = m.group()
-        inner = list(INNER.finditer(raw)) or [None]
-        for w in inner[:-1]:
-            yield m.start(), w, False
-        yield m.start(), inner[-1], raw[-1] in ".!?"
+def _form(low: str) -> str:
+    """What occurrences share that are linked: a word without possessive ending and inner punctuation."""
+    return re.sub(r"[^\w]|_", "", low.removesuffix("'s")) or low
 
 
-class Graph:
-    """Candidate tokens of a text: spans, features, chain edges and skip edges."""
-
-    def __init__(self, text: str) -> None:
-        self.spans: list[tuple[int, int]] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-        rows: list[list[int]] = []
-        shapes: list[tuple[bool, bool]] = []
-        cue, hop, start, last, seen = "", 9, True, -9, {}
-        for i, (at, inner, stop) in enumerate(_words(text)):
-            word = inner.group() if inner else ""
+class _Tokens(dict):
+    """What a token's own characters tell: a number below PLAIN for tokens without a cue or a candidate, twice the number
+    of their words plus whether a full stop ends them; else PLAIN and the place in told. told has, for each word, (cue,),
+    () or (start, end, form, shape bits), and whether a full stop ends the token."""
+
+    PLAIN = 1 << 20
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.told: list[tuple[list[tuple], bool]] = []
+
+    def __missing__(self, raw: str) -> int:
+        words, plain, stop = [], True, raw[-1] in ".!?"
+        for m in INNER.finditer(raw):
+            word = m.group()
             low = word.lower()
+            if low in CUE_OF:
+                words.append((CUE_OF[low],))
+                plain = False
+                continue
             digits = sum("0" <= c <= "9" for c in word)
             title = len(word) > 1 and word[0].isupper() and word[1:].islower()
-            entity = low not in CUE_OF and (title or digits >= 6 or (len(word) >= 8 and digits > 0))
-            if entity and inner:
+            if title or digits >= 6 or (len(word) >= 8 and digits):
                 hex_ = len(word) >= 16 and 0 < digits < len(word) and all(c in "0123456789abcdefABCDEF" for c in word)
-                row = [1, int(hex_), int(len(word) >= 8 and 0 < digits < len(word)), int(digits == len(word)), int(title)]
-                row += [int(cue == k) for k in ("secret", "person", "account", "harmless")]
-                row += [int(bool(cue) and hop <= 1), int(start)]
-                n = len(rows)
-                rows.append(row)
-                shapes.append((title, digits > 0))
-                self.spans.append((at + inner.start(), at + inner.end()))
-                if last == i - 1:
-                    self.chain.append((n - 1, n))
-                if low in seen:
-                    self.skip.append((seen[low], n))
-                seen[low] = n
-                last = i
-            if low in CUE_OF:  # its full stop is an abbreviation's
-                cue, hop, start = CUE_OF[low], 0, False
-            elif word:  # marks such as "=" don't count
-                hop, start = hop + 1, stop
+                bits = hex_ | (len(word) >= 8 and 0 < digits < len(word)) << 1 | (digits == len(word)) << 2 | title << 3 | (digits > 0) << 4
+                words.append((m.start(), m.end(), _form(low), bits))
+                plain = False
+            else:
+                words.append(())
+        if plain:
+            found = min(2 * len(words) + (stop and bool(words)), self.PLAIN - 2 + (stop and bool(words)))
+        else:
+            found = self.PLAIN + len(self.told)
+            self.told.append((words, stop))
+        if len(raw) <= KEPT_LENGTH:
+            self[raw] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self.told) > KEPT_TOKENS or len(self) > KEPT_TOKENS:
+            self.clear()
+            self.told = []
+
+
+@cache
+def _tokens() -> _Tokens:
+    return _Tokens()
+
+
+CUE_BIT = {"": 0, "secret": 1, "person": 2, "account": 3, "harmless": 4}
+
+
+def _features() -> tuple[np.ndarray, np.ndarray]:
+    """The rows of features, and what the shape rules out, of every code: five bits of shape, the cue, hop and start."""
+    code = np.arange(1 << 10)
+    bit = lambda k: code >> k & 1
+    cue = code >> 5 & 7
+    x = np.stack([code * 0 + 1, bit(0), bit(1), bit(2), bit(3), cue == 1, cue == 2, cue == 3, cue == 4, bit(8), bit(9)], axis=1).astype(float)
+    # a person needs a capital, a secret or account a digit
+    barred = np.stack([code * 0, 1 - bit(3), 1 - bit(4), 1 - bit(4)], axis=1) * -50.0
+    return x, barred
+
+
+class Graph:
+    """Candidate words of texts: spans, the text of each, features, chain edges and skip edges.
+
+    Each word has at most one chain and one skip edge before it and after it.
+    """
+
+    def __init__(self, *texts: str) -> None:
+        known = _tokens()
+        known.trim()
+        tokens: list[str] = []
+        sizes, places = [0], []
+        for text in texts:
+            tokens += text.split()
+            sizes.append(len(tokens))
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            solid = ~SPACES[np.minimum(points, len(SPACES) - 1)]
+            places.append(np.flatnonzero(solid & ~np.r_[False, solid[:-1]]))
+        n = len(tokens)
+        kind = np.fromiter(map(known.__getitem__, tokens), np.int64, n)
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        first = np.array(sizes[:-1], np.int64)  # each text's first token
+        at = np.flatnonzero(kind >= known.PLAIN)
+        own = np.searchsorted(first, at, side="right") - 1
+        # what lies between a token that tells something and the one before it in the text
+        before = np.r_[-1, at[:-1]][: len(at)]
+        before = np.maximum(before, first[own] - 1)
+        plain = np.where(kind < known.PLAIN, kind, 0)
+        words, stops = np.r_[0, np.cumsum(plain >> 1)], np.r_[0, np.cumsum(plain & 1)]
+        latest = np.maximum.accumulate(np.r_[-1, np.where(plain > 1, np.arange(n), -1)])[at]  # the last plain token with a word
+        gap = (words[at] - words[before + 1]).tolist()
+        stop = (stops[at] - stops[before + 1] > 0).tolist()
+        starts = np.where(latest > before, (plain[np.maximum(latest, 0)] & 1) if n else 0, -1).tolist()
+        apart = (at - before > 1).tolist()
+
+        spans, codes, docs, chain, skip = [], [], [], [], []
+        doc, cue, hop, start, near, seen = -1, "", 9, True, False, {}
+        for d, p, k, g, s, b, a in zip(own.tolist(), place[at].tolist(), (kind[at] - known.PLAIN).tolist(), gap, stop, starts, apart, strict=True):
+            if d != doc:
+                doc, cue, hop, start, near, seen = d, "", 9, True, False, {}
+            if a:
+                near = False
+            if b >= 0:
+                start = b == 1
+                hop += g
+                if s or hop > 2:
+                    cue = ""
+            entries, ends = known.told[k]
+            left = len(entries)
+            for w in entries:
+                left -= 1
+                if len(w) == 4:
+                    j = len(codes)
+                    codes.append(w[3] | CUE_BIT[cue] << 5 | (bool(cue) and hop <= 1) << 8 | start << 9)
+                    spans.append((p + w[0], p + w[1]))
+                    docs.append(d)
+                    if near:
+                        chain.append((j - 1, j))
+                    if (i := seen.get(w[2])) is not None:
+                        skip.append((i, j))
+                    seen[w[2]] = j
+                    near = True
+                elif w:  # a cue; its full stop is an abbreviation's
+                    cue, hop, start, near = w[0], 0, False, False
+                    continue
+                else:
+                    near = False
+                hop, start = hop + 1, ends and not left
                 if hop > 2 or start:
                     cue = ""
-        self.x = np.array(rows, float).reshape(-1, len(FEATURES))
-        title_, digit_ = np.array(shapes, bool).reshape(-1, 2).T
-        #: What the shape rules out: a person needs a capital, a secret or account a digit.
-        self.barred = np.stack([np.zeros(len(rows), bool), ~title_, ~digit_, ~digit_], axis=1) * -50.0
+        self.spans, self.docs = spans, np.array(docs, np.int64)
+        self.chain, self.skip = chain, skip
+        x, barred = _features()
+        code = np.array(codes, np.int64)
+        self.x, self.barred = x[code], barred[code]
 
 
 class Field:
@@ -158,39 +253,48 @@ class Field:
     def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, g: Graph, rounds: int = 50, damp: float = 0.3) -> np.ndarray:
-        """Loopy sum-product in log space, all messages at once."""
+    def marginals(self, g: Graph, rounds: int = 50, damp: float = 0.3, least: float = 1e-4) -> np.ndarray:
+        """Loopy sum-product: all messages at once, damped, until a text's messages change by less than least. A text
+        whose messages have settled is left as it is, so what else is in the graph makes no difference."""
         score = g.x @ self.unary + g.barred
-        n_labels = score.shape[1]
-        edges = np.array(g.chain + g.skip, np.int64).reshape(-1, 2)
-        if not len(edges):
+        kinds = [(np.array(e, np.int64).reshape(-1, 2), p) for e, p in ((g.chain, self.chain), (g.skip, self.skip)) if len(e)]
+        if not kinds:
             return _softmax(score)
-        pot = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
-        src, dst = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        e = len(edges)
-        back = np.r_[np.arange(e, 2 * e), np.arange(e)]
-        msg = np.zeros((2 * e, n_labels))
+        doc = np.asarray(getattr(g, "docs", np.zeros(0, np.int64)))
+        doc = doc if len(doc) == len(score) else np.zeros(len(score), np.int64)
+        # messages along each edge, forth and back; a word has at most one edge of a kind before it, and one after it
+        flows = []
+        for edges, pot in kinds:
+            weight = np.exp(pot - pot.max())
+            flows += [(edges[:, 0], edges[:, 1], weight), (edges[:, 1], edges[:, 0], weight.T)]
+        flows = [(src, dst, weight, doc[src]) for src, dst, weight in flows]
+        msgs = [np.zeros((len(f[0]), score.shape[1])) for f in flows]
+        live = [np.arange(len(f[0])) for f in flows]
+        moving = np.ones(int(doc.max()) + 1, bool)
         for _ in range(rounds):
             belief = score.copy()
-            np.add.at(belief, dst, msg)
-            out = belief[src] - msg[back]
-            new = _logsumexp(out[:, :, None] + pot)
-            new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - msg).max()
-            msg = damp * msg + (1 - damp) * new
-            if change < 1e-4:
+            for (_, dst, _, _), m in zip(flows, msgs, strict=True):
+                belief[dst] += m
+            news, change = [], np.zeros(len(moving))
+            for k, (src, _, weight, of) in enumerate(flows):
+                e = live[k]
+                out = belief[src[e]] - msgs[k ^ 1][e]
+                new = np.log(np.exp(out - out.max(axis=1, keepdims=True)) @ weight)
+                new -= new.max(axis=1, keepdims=True)
+                np.maximum.at(change, of[e], np.abs(new - msgs[k][e]).max(axis=1))
+                news.append(new)
+            for k, new in enumerate(news):
+                msgs[k][live[k]] = damp * msgs[k][live[k]] + (1 - damp) * new
+            moving &= change >= least
+            live = [e[moving[f[3][e]]] for f, e in zip(flows, live, strict=True)]
+            if not any(map(len, live)):
                 break
-        belief = score.copy()
-        np.add.at(belief, dst, msg)
+        belief = score
+        for (_, dst, _, _), m in zip(flows, msgs, strict=True):
+            belief[dst] += m
         return _softmax(belief)
 
 
-def _logsumexp(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -269,29 +373,43 @@ def fitted(steps: int = 1500, rate: float = 2.0, decay: float = 1e-4) -> Field:
     return Field(w, t, s)
 
 
-def field_spans(text: str, field: Field, taken: list[Span], least: float = 0.5) -> list[Span]:
-    """Spans that the field adds, clear of those taken."""
-    if not CUE.search(text):  # without a cue no token of a text can reach a label; see test
-        return []
-    g = Graph(text)
+def added_spans(texts: list[str], field: Field, taken: list[list[Span]], least: float = 0.5) -> list[list[Span]]:
+    """Spans that the field adds to each text, clear of those taken."""
+    out: list[list[Span]] = [[] for _ in texts]
+    g = Graph(*texts)
     if not len(g.x):
-        return []
+        return out
     p = field.marginals(g)
     best = p.argmax(axis=1)
-    added: list[Span] = []
-    edge = sorted((s, e) for s, e, _ in taken)
-    k = 0
-    for (s, e), label, q in zip(g.spans, best.tolist(), p.max(axis=1).tolist(), strict=True):
-        while k < len(edge) and edge[k][1] <= s:
-            k += 1
-        if label and q >= least and not (k < len(edge) and edge[k][0] < e):
-            added.append((s, e, LABELS[label]))
-    return added
+    starts = [sorted(s for s, _, _ in spans) for spans in taken]
+    ends = [list(accumulate((e for _, e, _ in sorted(spans)), max)) for spans in taken]
+    for n in np.flatnonzero((best > 0) & (p.max(axis=1) >= least)).tolist():
+        (s, e), doc = g.spans[n], int(g.docs[n])
+        before = bisect_left(starts[doc], e)
+        if not before or ends[doc][before - 1] <= s:
+            out[doc].append((s, e, LABELS[best[n]]))
+    return out
+
+
+def spans_of(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
+    """For each text its base spans and all spans. Texts of about TOGETHER code points are judged at once."""
+    out: list[tuple[list[Span], list[Span]]] = []
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= TOGETHER):
+            size += len(texts[hi] or "")
+            hi += 1
+        some = [t or "" for t in texts[lo:hi]]
+        base = [base_spans(t) for t in some]
+        for b, more in zip(base, added_spans(some, field, base), strict=True):
+            out.append((b, sorted([*b, *more], key=lambda s: (s[0], KINDS[s[2]]))))
+        lo = hi
+    return out
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
-    base = base_spans(text)
-    return base, sorted([*base, *field_spans(text, field, base)], key=lambda s: (s[0], KINDS[s[2]]))
+    return spans_of([text], field)[0]
 
 
 def joined(spans: list[Span]) -> str:
@@ -314,8 +432,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: dict[str, list] = defaultdict(list)
-            for text in b.column(1).to_pylist():
-                base, spans = all_spans(text or "", field)
+            for base, spans in spans_of(b.column(1).to_pylist(), field):
                 for kind in BASE:
                     cols[f"n_{kind}"].append(sum(s[2] == kind for s in base))
                 cols["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -335,7 +452,8 @@ def mask(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else masked(t, all_spans(t, field)[1]) for t in b.column(at).to_pylist()]
+            given = b.column(at).to_pylist()
+            texts = [None if t is None else masked(t, spans) for t, (_, spans) in zip(given, spans_of(given, field), strict=True)]
             cols = list(b.columns)
             cols[at] = pa.array(texts, cols[at].type)
             if size is not None:

@@ -5,8 +5,10 @@ slots is the set of all languages that have it. A text's n-grams give a popcount
 positives that its filter's fill makes likely are taken off; the largest share decides.
 
 Fitting uses at most about SAMPLE labelled rows per language, chosen by a hash of doc_id (a documented bound on the
-classifier's sample); their n-grams are counted on the executors, and those with at least MIN_SHARE of their language's
-count reach the driver, so there are at most 1 / MIN_SHARE of them per language. A language has an n-gram if its frequency there is at least 1 / CONTRAST of the highest in any language.
+classifier's sample). Their n-grams are counted on the executors; a language's member is one with at least MIN_SHARE of
+its count there, seen LEAST times (or as often as any in a language with less), whose frequency is at least 1 / CONTRAST of the highest in any language. The filters' slots are put
+together on the executors too, so what reaches the driver, and goes to every task, is the table alone: SLOTS masks per
+64 languages (2 MB), whatever the corpus. No language is left out; a table over MOST_BYTES is an error.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; a text of which no n-gram is known gets
 the smallest value and score 0; with nothing to learn from, every text is "und"; ties go to the smaller
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import written
 
 SIZES = (2, 3, 4)
-SAMPLE, MIN_SHARE, CONTRAST, LEAST, LANGS = 3000, 1e-5, 6, 3, 1024
-SLOTS, HASHES = 1 << 18, 3
+SAMPLE, MIN_SHARE, CONTRAST, LEAST = 3000, 1e-5, 6, 3
+SLOTS, HASHES, MOST_BYTES = 1 << 18, 3, 1 << 29
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,15 +77,21 @@ class Filters:
     """The bit-sliced filters of some languages."""
 
     def __init__(self, langs: list[str], members: list[np.ndarray], n_slots: int = SLOTS, hashes: int = HASHES) -> None:
-        self.langs, self.n_slots, self.hashes = langs, n_slots, hashes
-        self.table = np.zeros((max(1, -(-len(langs) // 64)), n_slots), np.uint64)
-        fill = []
+        table = np.zeros((max(1, -(-len(langs) // 64)), n_slots), np.uint64)
         for i, own in enumerate(members):
-            bit = np.uint64(1 << i % 64)
             for at in slots(own, n_slots, hashes):
-                self.table[i // 64, at] |= bit
-            fill.append(np.count_nonzero(self.table[i // 64] & bit) / n_slots)
-        self.false = np.array(fill) ** hashes
+                table[i // 64, at] |= np.uint64(1 << i % 64)
+        self._filled(langs, table, hashes)
+
+    @classmethod
+    def of_table(cls, langs: list[str], table: np.ndarray, hashes: int = HASHES) -> Filters:
+        out = cls.__new__(cls)
+        out._filled(langs, table, hashes)
+        return out
+
+    def _filled(self, langs: list[str], table: np.ndarray, hashes: int) -> None:
+        self.langs, self.table, self.n_slots, self.hashes = langs, table, table.shape[1], hashes
+        self.false = np.array([np.count_nonzero(table[i // 64] & np.uint64(1 << i % 64)) / self.n_slots for i in range(len(langs))]) ** hashes
 
     def containing(self, h: np.ndarray) -> np.ndarray:
         """Masks (words x n-grams) of all languages that contain each n-gram."""
@@ -116,7 +124,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, con
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").count()
     chance = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    drawn = rows.join(F.broadcast(sizes.orderBy(F.desc("count"), "lang").limit(LANGS)), "lang").where(chance < F.lit(float(sample)) / F.col("count")).select("lang", "text")
+    drawn = rows.join(sizes, "lang").where(chance < F.lit(float(sample)) / F.col("count")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n-gram counts of a task, summed batch by batch."""
@@ -133,15 +141,29 @@ def fit(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, con
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds), pa.array(total)], names=["lang", "gram", "n"])
 
     counted = written(drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))  # LANGS rows at most
-    top = counted.join(F.broadcast(totals), "lang").where((F.col("n") >= least) & (F.col("n") >= min_share * F.col("total")))
-    got = top.select("lang", "gram", "n").toPandas()
-    if not len(got):
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    top = counted.join(totals, "lang").where((F.col("n") >= F.least(F.lit(least), "most")) & (F.col("n") >= min_share * F.col("total"))).select("lang", "gram", "n")
+    top = written(top, "grams-top")  # 1 / min_share rows per language at most
+    langs = sorted(r["lang"] for r in top.select("lang").distinct().collect())
+    if not langs:
         return Filters([], [])
-    got["share"] = got["n"] / got.groupby("lang")["n"].transform("sum")
-    got = got[got["share"] * contrast >= got.groupby("gram")["share"].transform("max")]
-    langs = sorted(got["lang"].unique())
-    return Filters(langs, [got.loc[got["lang"] == x, "gram"].to_numpy().view(np.uint64) for x in langs])
+    words = -(-len(langs) // 64)
+    if words * SLOTS * 8 > MOST_BYTES:
+        raise ValueError(f"the filters of {len(langs)} languages would take over {MOST_BYTES} bytes")
+    spark = docs.sparkSession
+    numbered = spark.createDataFrame(list(enumerate(langs)), "at int, lang string")
+    kept = top.groupBy("lang").agg(F.sum("n").alias("kept"))
+    shared = top.join(kept, "lang").select("lang", "gram", (F.col("n") / F.col("kept")).alias("share"))
+    highest = shared.groupBy("gram").agg(F.max("share").alias("highest"))
+    members = shared.join(highest, "gram").where(F.col("share") * contrast >= F.col("highest")).join(numbered, "lang").select("at", "gram")
+    # the same double hashing as slots()
+    low, high = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
+    each = F.explode(F.array(*[(low + F.lit(k) * high).bitwiseAND(F.lit(SLOTS - 1)) for k in range(HASHES)]))
+    bits = members.select(F.floor(F.col("at") / 64).cast("int").alias("word"), each.alias("slot"), F.expr("shiftleft(1L, at % 64)").alias("bit"))
+    filled = bits.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toArrow()
+    table = np.zeros((words, SLOTS), np.uint64)
+    table[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().view(np.uint64)
+    return Filters.of_table(langs, table)
 
 
 def report(docs: DataFrame) -> DataFrame:

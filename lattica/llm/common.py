@@ -62,6 +62,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
+def file_system(path: str) -> tuple[object, str]:
+    """A file system that executors can use, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
+def write_file(path: str, data: bytes) -> None:
+    """Writes a file in a task: under a trial's name, then moved, so that a task run again gives the same whole file."""
+    from pyspark import TaskContext
+
+    store, at = file_system(path)
+    folder, name = at.rsplit("/", 1)
+    store.create_dir(folder, recursive=True)
+    trial = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+    with store.open_output_stream(trial) as f:
+        f.write(data)
+    store.move(trial, at)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

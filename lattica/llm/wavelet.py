@@ -2,7 +2,7 @@
 
 A shard holds documents in ascending doc_id order. Its file has the documents' ids and lengths, then a wavelet matrix
 of the token ids: one bit plane per bit of the largest id, from the highest, each the stable partition of the sequence
-by the planes before. Planes are stored as zlib blocks of BLOCK_BITS bits with the number of ones before each block, so
+by the planes before. Planes are stored as compressed blocks of BLOCK_BITS bits with the number of ones before each block, so
 access, rank and select read one block per plane, and count, occurrences and select need no other index.
 
 Layout, little-endian: magic, u32 planes, u64 tokens, u64 documents, u64 length of the index (JSON: offsets of the parts
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,12 +23,14 @@ from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import new_path, written
+from lattica.llm.common import file_system, new_path, write_file, written
+from lattica.llm.store import WIDTH, PieceStore, spread, text_bytes
 
-MAGIC = b"WVLTMTX1"
+MAGIC = b"WVLTMTX2"
 BLOCK_BITS = 1 << 17
 #: A task closes a file when it has this many tokens; its memory follows this, not the partition.
 SHARD_TOKENS = 1 << 22
@@ -41,11 +42,17 @@ class Writer:
 
     def __init__(self) -> None:
         self.docs: list[int | None] = []
+        self.lengths: list[int] = []
         self.ids: list[np.ndarray] = []
         self.tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+        self.extend([doc_id], [len(ids)], ids)
+
+    def extend(self, docs: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
+        """Documents whose ids are in a row."""
+        self.docs += docs
+        self.lengths += lengths
         self.ids.append(ids)
         self.tokens += len(ids)
 
@@ -53,25 +60,26 @@ class Writer:
         seq = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
         planes = max(1, int(seq.max()).bit_length()) if len(seq) else 1
         body, index = io.BytesIO(), {"planes": []}
+        pack = zstandard.ZstdCompressor(level=1).compress
 
-        def part(data: bytes) -> list[int]:
+        def part(data: bytes | memoryview) -> list[int]:
             at = body.tell()
-            body.write(zlib.compress(data, 1))
+            body.write(pack(data))
             return [at, body.tell() - at]
 
         index["docs"] = part(np.array([-1 if d is None else d for d in self.docs], "<i8").tobytes())
         index["null_docs"] = part(np.packbits(np.array([d is None for d in self.docs], bool)).tobytes())
-        index["lengths"] = part(np.array([len(x) for x in self.ids], "<u4").tobytes())
+        index["lengths"] = part(np.array(self.lengths, "<u4").tobytes())
+        step = BLOCK_BITS // 8
         for p in reversed(range(planes)):
             bit = (seq & seq.dtype.type(1 << p)) != 0
-            blocks, ones, seen = [], [], 0
-            for lo in range(0, len(seq), BLOCK_BITS):
-                piece = bit[lo : lo + BLOCK_BITS]
-                ones.append(seen)
-                seen += int(np.count_nonzero(piece))
-                blocks.append(part(np.packbits(piece, bitorder="little").tobytes()))
-            index["planes"].append({"zeros": len(seq) - seen, "blocks": blocks, "ones": ones})
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            packed = np.packbits(bit, bitorder="little")
+            starts = np.arange(0, len(packed), step)
+            each = np.add.reduceat(np.bitwise_count(packed), starts, dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+            view = memoryview(packed)
+            index["planes"].append({"zeros": len(seq) - int(each.sum()), "blocks": [part(view[i : i + step]) for i in starts.tolist()], "ones": (np.cumsum(each) - each).tolist()})
+            if p:
+                seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
         head = json.dumps(index).encode()
         return MAGIC + struct.pack("<IQQQ", planes, self.tokens, len(self.docs), len(head)) + head + body.getvalue()
 
@@ -86,9 +94,10 @@ class Reader:
         self.index = json.loads(data[36 : 36 + n])
         self._body = memoryview(data)[36 + n :]
         self._block = cache(self._read_block)
+        self._unpack = zstandard.ZstdDecompressor().decompress
 
     def _part(self, at: list[int]) -> bytes:
-        return zlib.decompress(self._body[at[0] : at[0] + at[1]])
+        return self._unpack(self._body[at[0] : at[0] + at[1]])
 
     @cached_property
     def doc_ids(self) -> list[int | None]:
@@ -183,25 +192,37 @@ class Reader:
             raw = b"".join(map(self._part, plane["blocks"]))  # blocks are whole bytes
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.tokens].view(bool)
             up = np.empty_like(seq)
-            up[~bit] = seq[: plane["zeros"]]
-            up[bit] = seq[plane["zeros"] :] | kind(1 << (self.planes - 1 - level))
+            up[np.flatnonzero(~bit)] = seq[: plane["zeros"]]  # by index: many times faster than by mask
+            up[np.flatnonzero(bit)] = seq[plane["zeros"] :] | kind(1 << (self.planes - 1 - level))
             seq = up
         return seq
 
 
+def _bytes(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+#: ASCII marks, letters and digits; bytes that can start a character that is not white space (of the lead bytes of
+#: white space beyond ASCII, 0xC2 and 0xE1 to 0xE3, none); letters and digits; stops.
+GRAPH = _bytes(bytes(range(0x21, 0x7F)))
+SOLID = GRAPH | _bytes(bytes(b for b in range(0xC3, 0xF5) if b not in (0xE1, 0xE2, 0xE3)))
+ALNUM = _bytes(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+STOPS = _bytes(b".,!?;:")
+
+
 class ByteLevelEncoder:
     """Whole texts to ids with a byte-level tokenizer file.
 
-    A token never spans the place before a blank that a non-blank follows, as the splitting pattern joins that blank to
-    what follows it, nor the place between a letter or digit and a stop. Texts are cut at the first, new pieces also
-    before the stops at their end; each distinct piece is encoded once by the library (many joined in a text), and a
-    document is its pieces' ids in a row. The store has two generations: when the younger is full it becomes the older,
-    whose pieces come back when they are met, so memory is bounded and frequent pieces stay.
+    The splitting pattern goes from left to right and joins a blank to what follows it, so these places are never inside
+    a token, whether the text goes on or not: before a blank that a non-blank follows; before a line break that an ASCII
+    mark precedes, and after it, if a non-blank follows; between an ASCII letter or digit and a stop. Texts are cut
+    there, each distinct piece is encoded once by the library (many joined in a text) and remembered, and a document is
+    its pieces' ids in a row.
     """
 
-    FULL, JOINED = 700_000, 20_000
-    STRAY = re.compile(r" (?:\s|$)")
-    STOPS = ".,!?;:"
+    JOINED = 20_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -214,95 +235,101 @@ class ByteLevelEncoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token)  # a byte-level token has a character per byte
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    @classmethod
-    def cut(cls, text: str) -> list[str]:
-        """Pieces that join to the text; each but the first starts with a blank and a non-blank."""
-        if cls.STRAY.search(text):
-            out: list[str] = []
-            for p in text.split(" "):
-                if out and (not p or p[0].isspace()):
-                    out[-1] += " " + p
-                elif out:
-                    out.append(" " + p)
-                else:
-                    out.append(p)
-            return out
-        if "\0" not in text:  # in two calls, without a loop
-            return text.replace(" ", "\0 ").split("\0")
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
-    def _recall(self, pieces: set[str]) -> set[str]:
-        """The pieces that no generation has; those of the older are brought back."""
-        known, old, new = self.known, self.old, set()
-        for p in pieces:
-            if p not in known:
-                if p in old:
-                    known[p] = old[p]
-                else:
-                    new.add(p)
-        return new
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain, ended = set(), []
-        for p in pieces:
-            if p[-1] in self.STOPS and (w := p.rstrip(self.STOPS)) and w[-1].isalnum():
-                ended.append((p, w, p[len(w) :]))
-            else:
-                plain.add(p)
-        plain |= self._recall({w for _, w, _ in ended} | {t for _, _, t in ended})
-        self._learn_words(list(plain))
-        for p, w, t in ended:
-            self.known[p] = self.known[w] + self.known[t]
-
-    def _learn_words(self, words: list[str]) -> None:
-        inner = [p for p in words if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        outer = [p for p in words if not (p[0] == " " and len(p) > 1 and not p[1].isspace())]
-        for i in range(0, len(inner), self.JOINED):
-            g = inner[i : i + self.JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(g)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.cumsum(np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in g), np.int64, len(g)))
+        self.store = PieceStore(self.kind)
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Where pieces start. whole: documents that are not cut."""
+        b = data[: offsets[-1]]
+        cut = np.zeros(len(b) + 1, bool)
+        if len(b):
+            solid, graph, line = SOLID[b], GRAPH[b], b == 10
+            cut[: len(b) - 1] = (b[:-1] == 32) & solid[1:]
+            last = offsets[1:][offsets[1:] > 0] - 1
+            cut[last] = False  # what follows is another text
+            cut[1:-1] |= (line[1:] & graph[:-1]) | (STOPS[b[1:]] & ALNUM[b[:-1]])
+            cut[2:-1] |= line[1:-1] & graph[:-2] & solid[2:]
+            for i in np.flatnonzero(whole).tolist():
+                cut[offsets[i] : offsets[i + 1]] = False
+            cut[offsets[:-1]] = True
+        return np.flatnonzero(cut[:-1])
+
+    def _joined(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, between: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are solved in one text, each followed by what goes between, whose ids are left out."""
+        out, counts = [], []
+        extra = len(between)
+        for lo in range(0, len(starts), self.JOINED):
+            s, n = starts[lo : lo + self.JOINED], sizes[lo : lo + self.JOINED]
+            raw = data[spread(s, n + extra)]
+            ends = np.cumsum(n + extra)
+            if extra:
+                raw[ends - 1] = ord(between)
+            ids = np.array(self.tokenizer.encode_batch_fast([raw.tobytes().decode("utf-8")], add_special_tokens=False)[0].ids, self.kind)
             at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-            raw, w = ids.tobytes(), self.kind.itemsize
-            lo = 0
-            for p, hi in zip(g, (at * w).tolist(), strict=True):
-                self.known[p] = raw[lo:hi]
-                lo = hi
-        for p, e in zip(outer, self.tokenizer.encode_batch_fast(outer, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, self.kind).tobytes()
+            if extra:
+                ids = np.delete(ids, at - 1)
+            counts.append(np.diff(at, prepend=0) - extra)
+            out.append(ids)
+        return np.concatenate(out) if out else np.zeros(0, self.kind), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library."""
+        first, last = data[starts], data[starts + sizes - 1]
+        short = sizes <= 2 * WIDTH
+        inner = short & (sizes > 1) & (first == 32) & SOLID[data[starts + 1]]
+        outer = short & ~inner & SOLID[first] & GRAPH[last]
+        rest = np.flatnonzero(~inner & ~outer)
+        groups = [(np.flatnonzero(inner), ""), (np.flatnonzero(outer), "\n")]
+        done = [(at, *self._joined(data, starts[at], sizes[at], between)) for at, between in groups]
+        texts = [data[s : s + n].tobytes().decode("utf-8") for s, n in zip(starts[rest].tolist(), sizes[rest].tolist(), strict=True)]
+        each = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        done.append((rest, np.concatenate(each) if each else np.zeros(0, self.kind), np.fromiter(map(len, each), np.int64, len(each))))
+        counts = np.zeros(len(starts), np.int64)
+        for at, _, n in done:
+            counts[at] = n
+        out = np.empty(int(counts.sum()), self.kind)
+        ends = np.cumsum(counts)
+        for at, ids, n in done:
+            out[spread((ends - counts)[at], n)] = ids
+        return out, counts
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        import pyarrow.compute as pc
+
+        data, offsets = text_bytes(column)
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        starts = self.cuts(data, offsets, whole)
+        sizes = np.diff(starts, append=offsets[-1])
+        of = np.searchsorted(offsets, starts, side="right") - 1
+        ids, n = self.store.ids_of(data, starts, sizes, self._solve, whole[of] if whole.any() else None)
+        return ids, np.bincount(of, weights=n, minlength=len(column)).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        whole = {i: t for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        cut = [self.cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        for lo in range(0, len(cut), 256):
-            seen = set().union(*cut[lo : lo + 256])
-            seen.discard("")
-            if len(self.known) > self.FULL:
-                self.known, self.old = {}, self.known
-            if new := self._recall(seen):
-                self._learn(new)
-            self.known[""] = b""
-            for i in range(lo, min(lo + 256, len(cut))):
-                cut[i] = np.frombuffer(b"".join(map(self.known.__getitem__, cut[i])), self.kind)
-        for i, t in whole.items():
-            cut[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.kind)
-        return cut
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(n)[:-1]) if texts else []
 
 
 @cache
 def byte_level(path: str) -> ByteLevelEncoder:
-    """One per Python process: its stores serve all tasks that run there."""
+    """One per Python process: its store serves all tasks that run there."""
     return ByteLevelEncoder(path)
 
 
-def _store(path: str) -> tuple[object, str]:
-    """A file system that executors can write by, and the path in it."""
-    from pyarrow import fs
+def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about most bytes; a longer text is a run of its own."""
+    import pyarrow.compute as pc
 
-    return fs.FileSystem.from_uri(path)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    lo, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and size + n > most:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 def write_shards(docs: DataFrame, make_encoder: Callable[[], object], end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, str]:
@@ -318,29 +345,28 @@ def write_shards(docs: DataFrame, make_encoder: Callable[[], object], end_id: in
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, (store, at) = make_encoder(), _store(folder)
-        store.create_dir(at, recursive=True)
-        end = np.array([end_id], encoder.kind)
+        encoder = make_encoder()
         out: list[tuple] = []
         w = Writer()
 
         def close() -> None:
             nonlocal w
-            name = f"{part:06d}-{len(out):06d}.wm"
-            trial = f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(trial) as f:
-                f.write(w.bytes())
-            store.move(trial, f"{at}/{name}")
-            out.append((part, len(out), f"{folder}/{name}", len(w.docs), w.tokens))
+            name = f"{folder}/{part:06d}-{len(out):06d}.wm"
+            write_file(name, w.bytes())
+            out.append((part, len(out), name, len(w.docs), w.tokens))
             w = Writer()
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                piece = b.slice(lo, 512)
-                for d, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist()), strict=True):
-                    w.add(d, np.concatenate([ids, end]))
-                    if w.tokens >= shard_tokens:
-                        close()
+            for lo, hi in slices(b.column(1)):
+                ids, n = encoder.encode_column(b.column(1).slice(lo, hi - lo))
+                whole = np.empty(len(ids) + len(n), encoder.kind)
+                ends = np.cumsum(n + 1) - 1
+                inside = np.ones(len(whole), bool)
+                inside[ends] = False
+                whole[inside], whole[ends] = ids, end_id
+                w.extend(b.column(0).slice(lo, hi - lo).to_pylist(), (n + 1).tolist(), whole)
+                if w.tokens >= shard_tokens:
+                    close()
         if w.docs:
             close()
         cols = list(zip(*out, strict=True)) or [()] * 5
@@ -359,13 +385,14 @@ def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store, at = _store(file)
+                store, at = file_system(file)
                 with store.open_input_stream(at) as f:
                     r = Reader(f.read())
                 ids = r.all_ids()
                 ends = np.cumsum(r.lengths)
                 starts = ends - r.lengths
-                crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(r.doc_ids, pa.int64()), pa.array(starts + base), pa.array(r.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.repartition(parts, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.llm import langid, line_quality, mixing, permindex, pieces, pii, queries, repeats, simhash, url_filter, wavelet
+from lattica.llm import langid, line_quality, mixing, permindex, pieces, pii, queries, repeats, simhash, store, url_filter, wavelet
 from tests.helpers import SF, oracle, same
 
 P = pytest.importorskip("public_tokenizers")
@@ -114,8 +114,36 @@ def test_wavelet_over_blocks():
 @given(st.text(alphabet=st.sampled_from(list("ab Z\n\t.,!?'’;:019éß東🙂_-  ²")), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_encoder_is_the_library(text):
+    global _BYTES
+    if "_BYTES" not in globals():
+        from tokenizers import Tokenizer
+
+        _BYTES = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     e = wavelet.byte_level(P.path("byte_bpe_50k.json"))
-    assert e.encode([text])[0].tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    parts = [text, None, text[::-1], "", text[:7] + " <|endoftext|>" + text]
+    assert [x.tolist() for x in e.encode(parts)] == [_BYTES.encode(t or "", add_special_tokens=False).ids for t in parts]
+
+
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=30), st.integers(1, 3)), max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_store_keeps_strings_apart(pieces_):
+    """Strings that differ in a last zero byte, by length or past eight bytes; each is solved once while it is held."""
+    each = [p for p, n in pieces_ for _ in range(n)] + [b"a", b"a\0", b"a\0\0", b"12345678", b"123456789", b"x" * 23, b"x" * 24]
+    data = np.frombuffer(b"".join(each) + bytes(store.PAD), np.uint8)
+    sizes = np.array([len(p) for p in each])
+    starts = np.cumsum(sizes) - sizes
+    asked = []
+
+    def solve(data, starts, sizes):
+        asked.extend(data[s : s + n].tobytes() for s, n in zip(starts.tolist(), sizes.tolist()))
+        return data[store.spread(starts, sizes)].astype(np.uint16), sizes
+
+    s = store.PieceStore("<u2")
+    for _ in range(2):
+        ids, n = s.ids_of(data, starts, sizes, solve)
+        assert ids.tolist() == data[: -store.PAD].tolist() and n.tolist() == sizes.tolist()
+    short = [p for p in asked if len(p) <= store.WIDTH]
+    assert sorted(short) == sorted({p for p in each if len(p) <= store.WIDTH})
 
 
 def test_added_tokens(spark):
@@ -134,13 +162,17 @@ def test_added_tokens(spark):
 
 
 def test_wavelet_report(spark, monkeypatch):
-    monkeypatch.setattr(wavelet.ByteLevelEncoder, "FULL", 400)
+    monkeypatch.setattr(store.PieceStore, "ENTRIES", 400)
+    monkeypatch.setattr(store.PieceStore, "SLICE", 300)
+    from tokenizers import Tokenizer
+
     rows = texts(60)
-    e = wavelet.ByteLevelEncoder(P.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    wavelet.byte_level.cache_clear()
     got = {r.doc_id: r for r in wavelet.report(frame(spark, rows).repartition(3), P.path("byte_bpe_50k.json")).collect()}
     start = 0
     for i, text, *_ in rows:
-        ids = [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
 

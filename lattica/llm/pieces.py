@@ -8,8 +8,8 @@ position is relaxed over them. How a path is scored follows the model file's own
   alone. Which pairs do is found once per pair and remembered.
 Either gives the ids that the public library gives (see tests).
 
-Texts are cut before each run of blanks where no piece reaches across (looked up in the model), and each distinct part
-is solved once; the store of parts is emptied when it is full, so memory is bounded.
+Texts are cut between two characters that stand side by side in no piece (looked up in the model), as no path joins
+them; each distinct part is solved once and remembered in a store that is bounded in bytes.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; characters without a piece become their
 UTF-8 bytes' pieces; a lone surrogate can't occur; rows that repeat are treated alike; no rows give no rows.
@@ -26,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.store import PieceStore, spread, text_bytes
+from lattica.llm.wavelet import slices
+
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -33,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 class Pieces:
     """An encoder and decoder for a model file. unigram overrides the file's type."""
 
-    FULL, PAIRS = 500_000, 1_000_000
+    PAIRS = 1_000_000
 
     def __init__(self, path: str, unigram: bool | None = None) -> None:
         import ahocorasick
@@ -53,17 +56,27 @@ class Pieces:
         self.score = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, USER)}
         self.id = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (NORMAL, USER)}
         self.least = min(p.score for p in model.pieces if p.type == NORMAL) - 10.0
-        self.cuts = not any(BLANK in p.lstrip(BLANK) for p in self.id)
+        #: Whether two characters stand side by side in a piece; those beyond ASCII count as one, and stay together.
+        self.joins = np.zeros((129, 129), bool)
+        self.joins[128, 128] = True
+        for p in self.id:
+            row = [min(ord(c), 128) for c in p.replace(BLANK, " ")]
+            self.joins[row[:-1], row[1:]] = True
         self.inside = frozenset("".join(self.id))  # characters that some piece has
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.id.items():
             if self.unigram or self.merged(piece) == [piece]:  # the merges can give no other piece
                 self.automaton.add_word(piece, (i, len(piece), self.score[piece]))
         self.automaton.make_automaton()
-        self.text = [p.replace(BLANK, " ") for p in self.pieces]
-        self.plain = [p.type in (NORMAL, USER) for p in model.pieces]
-        self.of_byte = {i: b for b, i in self.byte.items()}
-        self.known: dict[str, bytes] = {}
+        # what each id decodes to, in a row of bytes
+        of_byte = {i: bytes([b]) for b, i in self.byte.items()}
+        shown = {NORMAL: lambda p: p.piece.replace(BLANK, " ").encode(), UNKNOWN: lambda p: " ⁇ ".encode()}
+        shown[USER] = shown[NORMAL]
+        texts = [of_byte[i] if i in of_byte else shown[p.type](p) if p.type in shown else b"" for i, p in enumerate(model.pieces)]
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.at = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(texts), np.uint8)
+        self.store = PieceStore("<u4")
         self.apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -137,7 +150,7 @@ class Pieces:
         if not single[i - 1] and best[i - 1] + self.least > best[i]:
             best[i], back[i] = best[i - 1] + self.least, i - 1
 
-    def _ids(self, part: str) -> bytes:
+    def _ids(self, part: str) -> list[int]:
         out: list[int] = []
         for p in self.best_path(part):
             if p in self.id:
@@ -146,54 +159,44 @@ class Pieces:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return np.array(out, "<u4").tobytes()
-
-    def parts(self, text: str) -> list[str]:
-        """Parts that join to the escaped text."""
-        text = text.replace(" ", BLANK)
-        if self.prefix and text:
-            text = BLANK + text
-        if not self.cuts or not text:
-            return [text] if text else []
-        first, *rest = text.split(BLANK)
-        out = [first] if first else []
-        run = ""
-        for p in rest:
-            run += BLANK
-            if p:
-                out.append(run + p)
-                run = ""
-        return out + [run] if run else out
+        return out
+
+    def _solve(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts by one pass over each."""
+        parts = (data[s : s + n].tobytes().decode("utf-8").replace(" ", BLANK) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True))
+        each = list(map(self._ids, parts))
+        return np.array([i for x in each for i in x], "<u4"), np.fromiter(map(len, each), np.int64, len(each))
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        import pyarrow.compute as pc
+
+        if pc.any(pc.match_substring(column, BLANK)).as_py():  # it stands for a blank
+            column = pc.replace_substring(column, BLANK, " ")
+        data, offsets = text_bytes(column, " " if self.prefix else "")
+        kind = np.minimum(data[: offsets[-1]], 128).astype(np.int32)
+        cut = np.zeros(len(kind) + 1, bool)
+        if len(kind):
+            cut[1:-1] = ~self.joins.ravel()[kind[:-1] * 129 + kind[1:]]
+            cut[offsets[:-1]] = True
+        starts = np.flatnonzero(cut[:-1])
+        ids, n = self.store.ids_of(data, starts, np.diff(starts, append=offsets[-1]), self._solve)
+        of = np.searchsorted(offsets, starts, side="right") - 1
+        return ids, np.bincount(of, weights=n, minlength=len(column)).astype(np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
-        parts = self.parts(text or "")
-        new = {p for p in parts if p not in self.known}
-        if len(self.known) + len(new) > self.FULL:
-            self.known.clear()
-            new = set(parts)
-        for p in new:
-            self.known[p] = self._ids(p)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become U+FFFD."""
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids.tolist():
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if self.plain[i]:
-                out.append(self.text[i])
-            elif i == self.unknown:
-                out.append(" ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return self.decode_all(ids, np.array([len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of ids in a row, n of them for each."""
+        raw = self.flat[spread(self.at[ids], self.size[ids])].tobytes()
+        ends = np.r_[0, np.cumsum(self.size[ids])][np.r_[0, np.cumsum(n)]].tolist()
+        skip = int(self.prefix)
+        return [raw[s + (skip and raw[s : s + 1] == b" ") : e].decode("utf-8", "replace") if e > s else "" for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @cache
@@ -201,18 +204,23 @@ def loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _coded(batch: pa.RecordBatch, p: Pieces) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    """Runs of a batch of (doc_id, text): the rows, their ids in a row, how many each has, what they decode to."""
+    for lo, hi in slices(batch.column(1)):
+        rows = batch.slice(lo, hi - lo)
+        ids, n = p.encode_column(rows.column(1))
+        yield rows, ids, n, p.decode_all(ids, n)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) per row; ids as array of int, decoded the text that they give back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = loaded(path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                ids = [p.encode(t) for t in b.column(1).to_pylist()]
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(offsets, flat), pa.array([p.decode(x) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in batches:
+            for rows, ids, n, texts in _coded(batch, p):
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), lists, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -222,13 +230,11 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = loaded(path)
-        for b in batches:
-            n, crc, exact = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = p.encode(t)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.tobytes()))
-                exact.append(p.decode(ids) == (t or "").replace(BLANK, " "))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "exact"])
+        for batch in batches:
+            for rows, ids, n, texts in _coded(batch, p):
+                raw, ends = memoryview(ids.astype("<u4")).cast("B"), np.cumsum(n)
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+                exact = [x == (t or "").replace(BLANK, " ") for x, t in zip(texts, rows.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "exact"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, exact boolean")

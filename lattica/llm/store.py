@@ -136,7 +136,8 @@ def text_bytes(column, add: str = "") -> tuple[np.ndarray, np.ndarray]:  # noqa:
 
     texts = pc.fill_null(column.cast(pa.large_string()), "")
     if add:
-        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(add, texts, ""))
+        empty = pa.scalar("", pa.large_string())
+        texts = pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(pa.scalar(add, pa.large_string()), texts, empty))
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)

@@ -5,8 +5,10 @@ Only built-in SQL functions, per row: no shuffle, so no key can become hot. A te
 A line with a word fails when one of these holds:
 - punctuation: under MIN_LINE_WORDS words and no closing mark at its end; or over SYMBOL_SHARE per cent of its word
   characters are symbols; or over MARK_SHARE per cent of its words carry a doubled "!" or "?";
-- navigation: three separators or more, or at most NAV_WORDS words that start like a menu entry;
-- boilerplate: it holds a stock phrase.
+- navigation: three separators or more, and one for every NAV_WORDS words at least; or at most NAV_WORDS words that start
+  like a menu entry;
+- boilerplate: it has at most STOCK_WORDS words and holds a stock phrase, so a long line of prose may name a cookie.
+Phrases are in the four languages of the corpus.
 
 Defined cases: a null or empty text has all counts 0 and fails the base; lines without a word never fail and stay; rows
 that repeat are judged alike; no rows give no rows; other columns are carried along by clean(). Repeated 3-word windows
@@ -16,20 +18,27 @@ are found by sorting 64-bit hashes and then compared word by word.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SPACE
-
 MIN_WORDS, MAX_REPEAT = 50, 50
-MIN_LINE_WORDS, NAV_WORDS, SYMBOL_SHARE, MARK_SHARE, MAX_LOST = 6, 8, 20, 30, 40
+MIN_LINE_WORDS, NAV_WORDS, STOCK_WORDS, SYMBOL_SHARE, MARK_SHARE, MAX_LOST = 6, 8, 40, 20, 30, 40
 SYMBOLS = "#*$%&|<>"
-BLANK = " \t\n\x0b\x0c\r"
+SYMBOL = "[#*$%&|<>]"
+#: White space inside a line, but for the blank.
+BLANKS = "\t\x0b\x0c\r"
 CLOSED = r"[.!?:;,\"'”’»…)\]。！？][\x20\x09-\x0D]*$"
-MENU = r"^[\x20\x09-\x0D]*(?i:home|menu|log ?in|sign ?(in|up)|next|previous|back to|contact|about us|share|search|skip to|read more|click here)(?:[^A-Za-z]|$)"
+MENU = r"^[\x20\x09-\x0D]*(?i:home|menu|log ?in|sign ?(in|up)|next|previous|back to|contact|about us|share|search|skip to|read more|click here|startseite|anmelden|weiter|zurück|kontakt|accueil|connexion|suivant|précédent|inicio|siguiente|anterior|contacto)(?:[^A-Za-z]|$)"
 SEPARATORS = r"[|»›>•·]"
-STOCK = r"(?i:cookie|privacy policy|terms of (?:use|service)|all rights reserved|javascript|subscribe|newsletter|lorem ipsum|copyright \(c\))"
+# Stock phrases, in lower case: fixed values.
+PHRASES = (
+    "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "javascript", "subscribe", "newsletter", "lorem ipsum", "copyright (c)",
+    "datenschutzerklärung", "alle rechte vorbehalten", "nutzungsbedingungen",
+    "politique de confidentialité", "tous droits réservés", "conditions d'utilisation",
+    "política de privacidad", "todos los derechos reservados", "términos de uso",
+)
 MARKS = r"!!|\?\?"
 
 
@@ -38,72 +47,94 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def solid(text: Column) -> Column:
-    """Code points that are not white space."""
-    return F.length(F.translate(text, BLANK, "")).cast("long")
+def words_of(line: Column) -> Column:
+    """Words of one line."""
+    for c in BLANKS:
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")  # a split by one plain character needs no pattern
 
 
 def symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.regexp_count(text, F.lit(SYMBOL)).cast("long")
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more."""
+    """Words inside 3-word windows that occur twice or more.
+
+    A window is one number: its hash, cut to leave room below for its place. In sorted order equal windows are side by
+    side; those of equal hash are compared word by word.
+    """
 
     def runs(at: Column) -> Column:
-        step = lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3))).cast("long")
+        step = lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3)))
         return F.aggregate(F.transform(at, step), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def twice(w: Column, s: Column) -> Column:
+    def twice(w: Column, s: Column, bits: Column) -> Column:
+        at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
         def same(x: Column, y: Column) -> Column:
-            return (x["h"] == y["h"]) & (F.get(w, x["i"]) == F.get(w, y["i"])) & (F.get(w, x["i"] + 1) == F.get(w, y["i"] + 1)) & (F.get(w, x["i"] + 2) == F.get(w, y["i"] + 2))
+            i, j = at(x), at(y)
+            return (F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0) & (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
 
-        found = F.filter(s, lambda x, k: ((k > 0) & F.coalesce(same(x, F.get(s, k - 1)), F.lit(False))) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)))
-        return let(F.array_sort(F.transform(found, lambda x: x["i"])), runs)
+        found = F.filter(s, lambda x, k: F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k - 1)), F.lit(False)))
+        return let(F.sort_array(F.transform(found, lambda x: at(x).cast("long"))), runs)
 
-    def windows(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(let(F.array_sort(each), lambda s: twice(w, s)))
+    def windows(w: Column, bits: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))
+        return let(F.sort_array(each), lambda s: twice(w, s, bits))
 
-    return let(words, windows)
+    bits = lambda w: F.length(F.bin(F.size(w).cast("long")))
+    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(bits(w), lambda b: windows(w, b))))
 
 
-def line_fails(line: Column) -> Column:
-    def judged(n: Column) -> Column:
-        size = solid(line)
-        loose = (n < MIN_LINE_WORDS) & ~line.rlike(CLOSED)
-        noisy = 100 * symbols(line) > SYMBOL_SHARE * size
-        shouted = 100 * F.regexp_count(line, F.lit(MARKS)) > MARK_SHARE * n
-        menu = (F.regexp_count(line, F.lit(SEPARATORS)) >= 3) | ((n <= NAV_WORDS) & line.rlike(MENU))
-        return (n > 0) & (loose | noisy | shouted | menu | line.rlike(STOCK))
+def judged(line: Column) -> Column:
+    """A struct of a line: its words, their number, characters and symbols, and whether it fails."""
+
+    def whole(w: Column) -> Column:
+        n, size, marks = F.size(w), F.length(F.array_join(w, "")).cast("long"), symbols(line)
+        return let(F.struct(n.alias("n"), size.alias("size"), marks.alias("marks")), lambda x: F.struct(w.alias("w"), x["n"].alias("n"), x["size"].alias("size"), x["marks"].alias("marks"), fails(line, x["n"], x["size"], x["marks"]).alias("bad")))
 
-    return let(F.size(words_of(line)), judged)
+    return let(words_of(line), whole)
+
+
+def fails(line: Column, n: Column, size: Column, marks: Column) -> Column:
+    loose = (n < MIN_LINE_WORDS) & ~line.rlike(CLOSED)
+    noisy = 100 * marks > SYMBOL_SHARE * size
+    shouted = 100 * F.regexp_count(line, F.lit(MARKS)) > MARK_SHARE * n
+    menu = let(F.regexp_count(line, F.lit(SEPARATORS)), lambda k: (k >= 3) & (NAV_WORDS * k >= n)) | ((n <= NAV_WORDS) & line.rlike(MENU))
+    stock = (n <= STOCK_WORDS) & let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in PHRASES]))
+    return (n > 0) & (loose | noisy | shouted | menu | stock)
+
+
+def line_fails(line: Column) -> Column:
+    return judged(line)["bad"]
 
 
 def verdict(text: Column) -> Column:
-    """A struct of the counts, the verdicts and the cleaned text."""
+    """A struct of the counts, the verdicts and the cleaned text. Every line is split into words once; what is counted of
+    a text is the sum of its lines'."""
     text = F.coalesce(text, F.lit(""))
 
-    def summed(lines: Column, bad: Column) -> Column:
-        full = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-        lost = F.aggregate(F.arrays_zip(lines.alias("line"), bad.alias("bad")), F.lit(0).cast("long"), lambda a, x: a + F.when(x["bad"], solid(x["line"])).otherwise(0))
-        kept = F.when(F.exists(bad, lambda b: b), F.array_join(F.filter(lines, lambda x, k: ~F.get(bad, k)), "\n")).otherwise(text)
-        return F.struct((F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"), F.aggregate(bad, F.lit(0).cast("long"), lambda a, b: a + b.cast("long")).alias("n_failed_lines"), lost.alias("lost"), kept.alias("clean_text"))
-
-    of_lines = let(F.split(text, "\n"), lambda lines: let(F.transform(lines, line_fails), lambda bad: summed(lines, bad)))
-    of_words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    def summed(ls: Column, lines: Column) -> Column:
+        total = lambda c, x=None: F.aggregate(ls, F.lit(0).cast("long"), lambda a, v: a + (x(v) if x else v[c]))
+        full = F.filter(lines, lambda v, k: F.get(ls, k)["n"] > 0)
+        n_bad = total("", lambda v: v["bad"].cast("long"))
+        return let(
+            F.struct(
+                F.flatten(F.transform(ls, lambda v: v["w"])).alias("w"), total("size").alias("c"), total("marks").alias("s"), n_bad.alias("bad"),
+                total("", lambda v: F.when(v["bad"], v["size"]).otherwise(0)).alias("lost"),
+                let(full, lambda f: (F.size(f) - F.size(F.array_distinct(f))).cast("long")).alias("dup"),
+            ),
+            lambda x: let(F.struct(F.size(x["w"]).cast("long").alias("n"), repeated_words(x["w"]).alias("rep")), lambda r: told(x, r, ls, lines)),
+        )
 
-    def whole(x: Column) -> Column:
-        w, ln = x["w"], x["l"]
-        failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEAT * w["n_words"])
-        kept = ~failed & (100 * ln["lost"] <= MAX_LOST * x["c"])
-        return F.struct(w["n_words"].alias("n_words"), x["c"].alias("word_chars"), x["s"].alias("n_symbols"), ln["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), kept.alias("kept"), ln["n_failed_lines"].alias("n_failed_lines"), ln["lost"].alias("lost_chars"), ln["clean_text"].alias("clean_text"))
+    def told(x: Column, r: Column, ls: Column, lines: Column) -> Column:
+        failed = (r["n"] < MIN_WORDS) | (100 * r["rep"] > MAX_REPEAT * r["n"])
+        kept = ~failed & (100 * x["lost"] <= MAX_LOST * x["c"])
+        clean = F.when(x["bad"] > 0, F.array_join(F.filter(lines, lambda v, k: ~F.get(ls, k)["bad"]), "\n")).otherwise(text)
+        return F.struct(r["n"].alias("n_words"), x["c"].alias("word_chars"), x["s"].alias("n_symbols"), x["dup"].alias("n_dup_lines"), r["rep"].alias("n_repeat_words"), failed.alias("base_failed"), kept.alias("kept"), x["bad"].alias("n_failed_lines"), x["lost"].alias("lost_chars"), clean.alias("clean_text"))
 
-    return let(F.struct(of_words.alias("w"), of_lines.alias("l"), solid(text).alias("c"), symbols(text).alias("s")), whole)
+    return let(F.split(text, "\n"), lambda lines: let(F.transform(lines, judged), lambda ls: summed(ls, lines)))
 
 
 REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
@@ -148,9 +179,9 @@ lj AS (SELECT r, line, s, n, n > 0 AND (
     (n < {MIN_LINE_WORDS} AND NOT regexp_matches(line, '{_q(CLOSED)}'))
     OR 100 * len(regexp_extract_all(line, '[{SYMBOLS}]')) > {SYMBOL_SHARE} * s
     OR 100 * len(regexp_extract_all(line, '{MARKS}')) > {MARK_SHARE} * n
-    OR len(regexp_extract_all(line, '{SEPARATORS}')) >= 3
+    OR (len(regexp_extract_all(line, '{SEPARATORS}')) >= 3 AND {NAV_WORDS} * len(regexp_extract_all(line, '{SEPARATORS}')) >= n)
     OR (n <= {NAV_WORDS} AND regexp_matches(line, '{MENU}'))
-    OR regexp_matches(line, '{STOCK}')) AS bad FROM lf),
+    OR (n <= {STOCK_WORDS} AND ({" OR ".join(f"contains(lower(line), '{_q(p)}')" for p in PHRASES)}))) AS bad FROM lf),
 la AS (SELECT r, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, coalesce(sum(s) FILTER (WHERE bad), 0)::BIGINT AS lost_chars FROM lj GROUP BY r),
 j AS (SELECT d.doc_id, coalesce(rep.n_words, 0) AS n_words, {_SOLID.format("t")}::BIGINT AS word_chars, len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_failed_lines, lost_chars
     FROM d LEFT JOIN rep USING (r) LEFT JOIN la USING (r)),

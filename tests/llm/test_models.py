@@ -228,3 +228,15 @@ def test_chunks_and_runs(spark, monkeypatch):
     for r in asked.collect():
         s = x @ x[r.id]
         assert [i for _, i in sorted(got[r.key])[:5]] == np.lexsort((np.arange(3000), -s))[:5].tolist()
+
+
+# Quality rules
+
+
+def test_long_lines_of_prose_may_hold_marks_and_phrases(spark):
+    from lattica.llm import line_quality
+
+    prose = "The baker said that a cookie needs more butter than most people think and that the « old » recipe from the « north » was the best of all those she had tried in forty years of work, even more than the one that her teacher wrote down for her."
+    lines = {prose: False, "Alle Rechte vorbehalten, Verlag und Druckerei der Stadt am Fluss.": True, "Startseite Kontakt": True, "a | b | c | d | e | f.": True}
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {r.line: r.bad for r in df.select("line", line_quality.line_fails(F.col("line")).alias("bad")).collect()} == lines

@@ -28,8 +28,8 @@ from lattica.llm.common import written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BLOCKS, PIVOTS, FILE_ROWS = 6, 16, 4096
-#: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; sets in a chunk.
-SHARED, SMALL, CHUNK = 4, 64, 1024
+#: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; shingles in a chunk.
+SHARED, SMALL, CHUNK = 4, 64, 1 << 19
 #: Above this many distinct fingerprints, files are keyed by four of eight blocks instead of two of six.
 MANY = 50_000_000
 
@@ -192,20 +192,23 @@ def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, n_pivots:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def contracted(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def contracted(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node it reaches.
 
-    Each round points every node at its smallest neighbour or itself, jumps once, and contracts the edges. Edges between
-    different roots shrink by half at least, so rounds are logarithmic.
+    Each round ranks the nodes anew by a hash, points every node at the best ranked of itself and its neighbours, jumps
+    once, and contracts the edges. The ranks are random, so a share of the nodes goes each round whatever the graph's
+    shape, and rounds are logarithmic.
     """
     edges = written(edges.select("a", "b"), "cc-edges")
-    mapped = None
-    for _ in range(rounds):
+    mapped, turn = None, 0
+    while True:
+        turn += 1
+        ranked = lambda c, t=turn: F.struct(F.xxhash64(F.lit(t), c).alias("p"), F.col(c).alias("v"))
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        least = written(least, "cc-least")
-        jump = least.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        step = written(least.join(jump, "to", "left").select("node", F.coalesce("next", "to").alias("to")), "cc-step")
+        best = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("node"), F.least(F.col("m"), ranked("a"))["v"].alias("to"))
+        best = written(best, "cc-best")
+        jump = best.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        step = written(best.join(jump, "to").select("node", F.col("next").alias("to")), "cc-step")
         if mapped is None:
             mapped = step.select("node", F.col("to").alias("root"))
         else:
@@ -215,8 +218,9 @@ def contracted(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ends = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         edges = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
         if edges.isEmpty():
-            return mapped
-    raise RuntimeError("components did not settle")
+            break
+    least = mapped.groupBy("root").agg(F.min("node").alias("least"))
+    return written(mapped.join(least, "root").select("node", F.col("least").alias("root")), "cc-roots")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -237,7 +241,11 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by the exact Jaccard similarity of shingle sets, for the pipeline
+# Near copies by the exact Jaccard similarity of shingle sets, for the pipeline.
+#
+# Fingerprints can't decide this: texts of similarity 0.8 differ by some 10 of 64 bits, so a radius that keeps them all
+# is about 20, where the distances of unlike texts to any pivot differ by less too, and pivots discard nothing. Candidates
+# are found by shared shingles instead, and the exact check is the same that would follow.
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -308,87 +316,124 @@ def connecting(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid) per row of docs, sid naming its set of shingles, and (a, b): enough links to connect all sets of
-    Jaccard similarity 0.8 or more.
-
-    Sets are filed under each shingle of their prefix. In files of up to small sets all pairs are counted, and those
-    that meet SHARED times are compared; in larger files the sets themselves meet, chunk by chunk. Nothing is lost.
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole files of rows that come sorted by their first column."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        h = rest.column(0).to_numpy()
+        last = int(np.searchsorted(h, h[-1])) if len(h) else 0
+        if last:  # the last file may go on
+            yield rest.slice(0, last)
+            rest = rest.slice(last).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _sizes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's first row of its file, and the file's size."""
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    n = np.diff(np.r_[starts, len(h)])
+    return np.repeat(starts, n), np.repeat(n, n)
+
+
+def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int = CHUNK, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, sid) per row of docs, row being the column that tells rows of a doc_id apart and sid naming its set of shingles, and (a, b): enough links to
+    connect all sets of Jaccard similarity 0.8 or more.
+
+    Sets are filed under each shingle of their prefix. First every set of a file is compared with the file's first, which
+    connects most groups whatever their size. Then only files with sets that are still apart go on: in files of up to
+    small sets all pairs are counted, and those that meet SHARED times are compared; in larger files the sets themselves
+    meet, chunk by chunk. Nothing is lost.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.xxhash64("text")).alias("row"), "text")
     hot = frequent(docs, shingle)
+    name = lambda x: _signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
-            cols = [pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "sid", "n", "pre"])
+            sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
+            cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "pre"])
 
-    marked = written(docs.mapInArrow(mark, "doc_id long, sid long, n int, pre array<long>"), "near-sets")
-    filed = marked.dropDuplicates(["sid"]).select("sid", "n", F.explode("pre").alias("h"))
+    marked = written(docs.mapInArrow(mark, "doc_id long, row long, sid long, n int, pre array<long>"), "near-sets")
+    filed = marked.dropDuplicates(["sid"]).select(F.explode("pre").alias("h"), "sid", "n")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """h, a, b of pairs in small files; h, a, null of the rows of large ones. Rows come sorted by h."""
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of files of two sets or more, with the file's first set. Rows come sorted by h and sid."""
+        for t in _files(batches):
+            first, size = _sizes(t.column(0).to_numpy())
+            at = np.flatnonzero(size > 1)
+            sid, n = t.column(1).to_numpy(), t.column(2).to_numpy()
+            cols = [t.column(0).to_numpy()[at], sid[at], n[at], sid[first[at]], n[first[at]]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "sid", "n", "ref", "ref_n"])
+
+    files = filed.repartition(parts, "h").sortWithinPartitions("h", "sid").mapInArrow(shared, "h long, sid long, n int, ref long, ref_n int")
+    files = written(files, "near-files")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                sets = [shingles(t, shingle) for t in b.column(0).slice(lo, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([name(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["sid", "s"])
+
+    def sets_of(sids: DataFrame) -> DataFrame:
+        """(sid, s) of some sets, from one text each."""
+        sids = written(sids.distinct(), "near-needed")
+        first = marked.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("k"))
+        keys = written(first.select("k.doc_id", "k.row").distinct(), "near-texts")
+        return written(_with(docs, keys).select("text").mapInArrow(again, "sid long, s array<long>").dropDuplicates(["sid"]), "near-shingles")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        at = lambda c, s: sets.select(F.col("sid").alias(c), F.col("s").alias(s))
+        enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
+        return pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").where(enough).select("a", "b")
+
+    # every set with the first of its files
+    near = (5 * F.least("n", "ref_n") >= 4 * F.greatest("n", "ref_n")) & (F.col("sid") != F.col("ref"))
+    stars = files.where(near).groupBy(F.col("ref").alias("a"), F.col("sid").alias("b")).count().where(f"count >= {SHARED}").select("a", "b")
+    stars = written(stars, "near-stars")
+    found = written(verified(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid")))), "near-star-links")
+    roots = contracted(found).withColumnRenamed("node", "sid")
+
+    # what is still apart
+    placed = files.join(roots, "sid", "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    apart = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
+    left = placed.join(apart, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h")
 
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            h, sid, n = (t.column(i).to_numpy() for i in range(3))
-            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            sizes = np.repeat(np.diff(np.r_[starts, len(h)]), np.diff(np.r_[starts, len(h)]))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """h, a, b, 0 of pairs in small files; h, a, null, n of the rows of large ones."""
+        for t in _files(batches):
+            h, sid, n, root = (t.column(i).to_numpy() for i in range(4))
+            _, sizes = _sizes(h)
             large = np.flatnonzero(sizes > small)
-            at = np.flatnonzero((sizes > 1) & (sizes <= small))
-            left, right = [], []
+            at = np.flatnonzero(sizes <= small)
+            ends = [(np.zeros(0, np.int64),) * 2]
             for d in range(1, min(small, len(at))):
-                a = np.flatnonzero(h[at[:-d]] == h[at[d:]])
-                if not len(a):
+                x = np.flatnonzero(h[at[:-d]] == h[at[d:]])
+                if not len(x):
                     break
-                i, j = at[a], at[a + d]
-                near = 5 * np.minimum(n[i], n[j]).astype(np.int64) >= 4 * np.maximum(n[i], n[j]).astype(np.int64)
-                left.append(i[near])
-                right.append(j[near])
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+                i, j = at[x], at[x + d]
+                fits = (5 * np.minimum(n[i], n[j]).astype(np.int64) >= 4 * np.maximum(n[i], n[j]).astype(np.int64)) & (root[i] != root[j])
+                ends.append((i[fits], j[fits]))
+            i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
             a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
             b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[h[i], h[large]]), pa.array(np.r_[a, sid[large]]), b], names=["h", "a", "b"])
+            sized = np.r_[np.zeros(len(i), np.int32), n[large]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[i], h[large]]), pa.array(np.r_[a, sid[large]]), b, pa.array(sized)], names=["h", "a", "b", "n"])
 
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            h = rest.column(0).to_numpy()
-            last = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            if last:  # the last file may go on
-                yield solve(rest.slice(0, last))
-                rest = rest.slice(last).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield solve(rest)
-
-    placed = filed.select("h", "sid", "n").repartition(parts, "h").sortWithinPartitions("h")
-    met = written(placed.mapInArrow(meet, "h long, a long, b long"), "near-met")
+    met = written(left.mapInArrow(meet, "h long, a long, b long, n int"), "near-met")
     pairs = written(met.where("b is not null").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"), "near-pairs")
-    large = met.where("b is null").select("h", F.col("a").alias("sid"))
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select("sid")).distinct()
-    named = marked.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    large = met.where("b is null").select("h", F.col("a").alias("sid"), "n")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select("sid")))
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(0).to_pylist()]
-            sids = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([sids, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["sid", "s"])
-
-    texts = docs.join(named.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = texts.mapInArrow(again, "sid long, s array<long>").join(needed, "sid", "left_semi").dropDuplicates(["sid"])
-    sets = written(sets, "near-texts")
-    at = lambda c, s: sets.select(F.col("sid").alias(c), F.col("s").alias(s))
-    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    verified = pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").where(enough).select("a", "b")
-
-    counts = large.groupBy("h").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    counts = large.groupBy("h").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(F.least(c, own).alias("ci"), F.greatest(c, own).alias("cj")))
     chunks = F.filter(others, lambda p: (p["ci"] < p["cj"]) | (F.col("n") == 1))  # two chunks in one task hold their own pairs
-    dealt = large.join(counts, "h").select("h", "sid", F.explode(chunks).alias("p")).select("h", "p.ci", "p.cj", "sid")
+    dealt = large.drop("n").join(counts, "h").select("h", "sid", F.explode(chunks).alias("p")).select("h", "p.ci", "p.cj", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sids, held = None, [], []
@@ -411,19 +456,33 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
         yield solve()
 
     together = dealt.join(sets, "sid").select("h", "ci", "cj", "sid", "s").repartition(parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
-    return marked.select("doc_id", "sid"), verified.union(together.mapInArrow(compare, "a long, b long")).distinct()
+    more = verified(pairs, sets).union(together.mapInArrow(compare, "a long, b long"))
+    return marked.select("doc_id", "row", "sid"), found.union(more).distinct()
 
 
 def dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs without near-duplicates: texts are linked by a Jaccard similarity of their word shingles of 0.8 or more; of
-    each component, one row with its smallest doc_id stays.
+    each component, one row stays, with the smallest doc_id (null is last).
 
-    Rows without a doc_id can't be named and stay.
+    Rows are told apart by a hash of all their columns, so unlike rows that share a doc_id are judged each by itself; of
+    rows equal in all columns one stays.
     """
-    named = docs.where("doc_id is not null")
-    marked, edges = similar(named, shingle)
+    cols = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*cols).alias("row"), "text", F.struct("*").alias("whole"))
+    marked, edges = similar(rows.select("doc_id", "row", "text"), shingle, row="row")
     roots = contracted(edges).withColumnRenamed("node", "sid")
-    first = marked.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    ranked = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("k")
+    first = marked.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(ranked).select("k.doc_id", "k.row")
     first = written(first, "near-first")
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    many = written(marked.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "near-equal")
+    kept = _with(rows, first)
+    if many.isEmpty():
+        return kept.select("whole.*")
+    equal = _with(kept, many).dropDuplicates(["doc_id", "row"])
+    return _with(kept, many, "left_anti").select("whole.*").unionByName(equal.select("whole.*"))
+
+
+def _with(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose doc_id (null like any other) and row are among keys, or are not."""
+    named = keys.select(F.col("doc_id").alias("_kd"), F.col("row").alias("_kr"))
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("_kd")) & (F.col("row") == F.col("_kr")), how)

@@ -591,7 +591,23 @@ def test_contracted_chains(spark):
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
 
 
-@pytest.mark.parametrize("small,chunk", [(64, 1024), (2, 7)])
+def test_contracted_sorted_chains(spark):
+    """Chains whose numbers rise, as long as no random order would leave them."""
+    edges = spark.range(3000).where("id % 1000 < 999").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r.node: r.root for r in simhash.contracted(edges).collect()}
+    assert got == {i: i - i % 1000 for i in range(3000)}
+
+
+def test_rows_that_share_an_id(spark):
+    """Unlike rows of one doc_id, and of none, are judged each by itself; of equal rows one stays."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 1), (2, a, "en", "y", 1), (None, c, "en", "x", 1), (None, d, "en", "x", 1), (None, b, "en", "x", 1), (3, d, "en", "x", 1), (4, "e f", "en", "x", 1), (4, "e f", "en", "x", 1), (4, "e  f", "en", "x", 1)]
+    got = [(r.doc_id, r.text) for r in simhash.dedup(frame(spark, rows, extra=True)).collect()]
+    assert sorted(got[k][1] for k in range(len(got)) if got[k][0] != 4) == sorted([a, b, c, d])
+    assert set(got) >= {(1, a), (1, b), (None, c), (3, d)} and len([g for g in got if g[0] == 4]) == 1
+
+
+@pytest.mark.parametrize("small,chunk", [(64, 1 << 19), (2, 700)])
 def test_near_copies(spark, small, chunk):
     """Planted copies at 0.8 to 0.95, a large group and chance neighbours, against all pairs."""
     rng = random.Random(4)

@@ -134,10 +134,13 @@ def _found(base: DataFrame) -> DataFrame:
             if not len(doc):
                 continue
             did, a, s, e = ids[doc.astype(np.int64)], a.astype(np.int64), s.astype(np.int64), e.astype(np.int64)
-            # rows are in corpus order, so the first of each pair of hashes is the earliest
+            # rows are in corpus order, so the first of each pair of hashes is the earliest; pairs are brought together by
+            # a mix of both and compared by both
             _, first, back = np.unique(h ^ _mix(f), return_index=True, return_inverse=True)
-            same = (did == did[first][back]) & (a == a[first][back])  # a long text's pieces may meet in an anchor
-            keep, gone = np.flatnonzero(same), np.flatnonzero(~same)
+            first = first[back]
+            later = (h == h[first]) & (f == f[first])
+            later &= (did != did[first]) | (a != a[first])  # a long text's pieces may meet in an anchor
+            keep, gone = np.flatnonzero(~later), np.flatnonzero(later)
             cols = [np.r_[x[keep], y] for x, y in ((did, did[gone]), (a, a[gone]), (s, s[gone]), (e, e[gone] + LENGTH))]
             mask = np.r_[np.zeros(len(keep), bool), np.ones(len(gone), bool)]
             hashes = [pa.array(np.r_[x[keep].view(np.int64), np.zeros(len(gone), np.int64)], mask=mask) for x in (h, f)]
@@ -308,38 +311,26 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = written(grams.select("h", (F.col("x") != F.col("y")).alias("mixed")), "repeats-grams")
     again, again_at = written_at(marks.join(grams, "h"), "repeats-anchors")
     remove(spark, found_at)
-    _release(spark)
     firsts, firsts_at = written_at(again.groupBy("h", "fh").agg(F.min(F.struct("did", "a")).alias("first")), "repeats-firsts")
     here = F.struct("did", "a")
     split = written(again.join(firsts, ["h", "fh"]).where("mixed or struct(did, a) > first").select("h", "did", "a", "s", "e", (here > F.col("first")).alias("later")), "repeats-split")
     for path in (again_at, firsts_at):
         remove(spark, path)
-    _release(spark)
     later = split.where("later").select("did", F.col("s").alias("lo"), (F.col("e") + LENGTH).alias("hi"))
     listed = split.where("not later").groupBy("did").agg(F.collect_list(F.struct("h", "a", "s", "e")).alias("marks"))
     fragments, fragments_at = written_at(_fragments(base.select("did", "text").join(listed, "did").select("did", "text", "marks")), "repeats-fragments")
-    _release(spark)
     files = written(fragments.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "repeats-files")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("did", "lo"), F.ceil(F.col("rows") / FILE_ROWS)).cast("int")
     filed = fragments.join(files, "key").select("key", salt.alias("salt"), (F.col("rows") > FILE_ROWS).alias("hot"), "did", "lo", "n", "raw")
     judged = written(_judged(filed.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")), "repeats-judged")
     remove(spark, fragments_at)
-    _release(spark)
     met = judged.where("w is not null")
     firsts = written(met.groupBy("key", "w").agg(F.min(F.struct("did", "lo")).alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats-met")
     across = met.join(firsts, ["key", "w"]).where("struct(did, lo) > first").select("did", "lo", "hi")
     return base, local.union(later).union(judged.where("w is null").select("did", "lo", "hi")).union(across)
 
 
-def _release(spark: object) -> None:
-    """Lets Spark drop the shuffle files of stages that are written and no longer referred to."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # type: ignore[attr-defined]
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     base, gone = repeated(docs)

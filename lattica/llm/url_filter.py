@@ -1,7 +1,9 @@
 """URL filter: rules on host and path, and logistic regression on hashed character n-grams where no rule fits.
 
-The regression is trained on the driver from LABELLED, a small table of urls (fixed values), with full-batch gradient
-descent, so it is the same on every run; its weights are one vector of N_BUCKETS numbers that goes with the function.
+The regression is trained from labelled(), a small table of urls that a seeded rule makes of two lists of words, with
+full-batch gradient descent, so it is the same on every run; its weights are one vector of N_BUCKETS numbers, made once
+in each process. Which urls are to be judged has no part in it. Sub-domains, domains and paths are drawn alike for both
+labels, so only names can tell them apart.
 
 Defined cases: a null url, or one without "://", has empty host and path and is allowed by the method (there is nothing
 to judge); rules hold for a host and its subdomains and for paths with the rule's prefix, the longest wins (ties can't
@@ -10,6 +12,7 @@ be: such rules would be equal); rows that repeat are judged alike; no rows give
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,21 +25,18 @@ from pyspark.sql import functions as F
 #: (verdict, host, path): fixed values.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Labelled urls: fixed values. 1 is to be blocked.
-LABELLED = (
-    (1, "cheap-pills.example.com/en/450"), (1, "www.cheap-pills.example.org/buy/now"), (1, "spam-farm.example.org/en/728"), (1, "blog.spam-farm.example.com/fr/12.html"),
-    (1, "casino-bonus.example.com/win"), (1, "free-casino.example.org/slots/play"), (1, "m.casino-win.example.com/en/9"), (1, "online-poker-bonus.example.org/de/4"),
-    (1, "adult-cams.example.com/live"), (1, "xxx-videos.example.org/en/1"), (1, "hot-xxx.example.com/watch"), (1, "porn-tube.example.org/es/33"),
-    (1, "payday-loans.example.com/apply"), (1, "cheap-viagra.example.org/pills"), (1, "replica-watches.example.com/shop"), (1, "click-bait.example.org/top10"),
-    (1, "link-farm.example.com/en/81"), (1, "seo-spam.example.org/links"), (1, "malware-download.example.com/setup.exe"), (1, "phishing-login.example.org/verify"),
-    (1, "buy-followers.example.com/cheap"), (1, "warez-crack.example.org/keygen"), (1, "torrent-free.example.com/dl"), (1, "bet-now.example.org/odds"),
-    (0, "ththre.example.com/fr/825"), (0, "m.ththth.example.org/en/25"), (0, "therha.example.com/en/676"), (0, "blog.tiontion.example.com/en/853/"),
-    (0, "www.ththen.example.com/en/148.html"), (0, "www.ththwh.example.org/en/471"), (0, "thering.example.com/en/328/"), (0, "blog.theren.example.org/es/455"),
-    (0, "news.example.com/world/politics"), (0, "docs.example.org/manual/install.html"), (0, "library.example.com/catalogue"), (0, "university.example.org/research"),
-    (0, "recipes.example.com/soup/leek"), (0, "history.example.org/castles/north"), (0, "weather.example.com/forecast"), (0, "www.museum.example.org/visit"),
-    (0, "blog.garden.example.com/roses"), (0, "m.science.example.org/physics/light"), (0, "travel.example.com/de/berlin"), (0, "music.example.org/fr/chanson"),
-    (0, "sport.example.com/es/futbol"), (0, "health.example.org/en/sleep"), (0, "forum.example.com/t/991"), (0, "code.example.org/repo/readme"),
-)
+# Words of names to be blocked, and of ordinary ones: fixed values.
+SPAM = (
+    "pills viagra pharma meds casino poker slots bonus jackpot lottery bet bets betting gamble odds xxx porn adult cams escort dating hookup loans payday credit cash "
+    "money replica watches rolex warez crack keygen torrent malware phishing spam spammer farm linkfarm clickbait click clicks followers seo backlinks traffic ads adserver "
+    "track tracker tracking popup miracle diet free win winner prize gift cheap discount deals offer nude sexy hot"
+).split()
+PLAIN = (
+    "river garden museum library school history science weather market harbour theatre kitchen forest mountain bridge village council church hospital station music painting "
+    "dance bicycle physics chemistry biology poetry novel archive journal press courier gazette recipes baker carpenter pottery knitting sailing hiking chess astronomy "
+    "geology botany language grammar travel railway airport castle island valley meadow orchard farmhouse beekeeping woodwork parliament university college research"
+).split()
+TRAIN_URLS, TRAIN_SEED = 1600, 5
 SIZES = (3, 4, 5)
 N_BUCKETS = 1 << 14
 
@@ -50,18 +50,39 @@ def buckets(host: str, path: str) -> list[int]:
     return sorted(found)
 
 
+def labelled(n: int = TRAIN_URLS, seed: int = TRAIN_SEED) -> list[tuple[int, str, str]]:
+    """(label, host, path) of n urls, 1 for those to be blocked. Half of the ordinary names are made of syllables."""
+    rng = random.Random(seed)
+    consonants, vowels = "bcdfghjklmnprstvwyz", "aeiou"
+    out = []
+    for k in range(n):
+        label = k % 2
+        if label:
+            name = rng.choice(SPAM) + rng.choice(("-", "-", "", "24")) + rng.choice(SPAM)
+        elif rng.random() < 0.5:
+            name = rng.choice(PLAIN) + rng.choice(("-", "-", "", "24")) + rng.choice(PLAIN)
+        else:
+            syllable = lambda: rng.choice(consonants) + rng.choice(("", "h", "r")) + rng.choice(vowels) + rng.choice(("", "", "n", "r", "s", "t"))
+            name = "".join(syllable() for _ in range(rng.randint(1, 4))) + rng.choice(("", "ing", "tion", "ble", "ed", "ly"))
+        host = rng.choice(("", "", "www.", "m.", "blog.", "shop.", "news.")) + name + rng.choice((".example", "", ".co")) + rng.choice((".com", ".org", ".net", ".de", ".info"))
+        path = rng.choice(("", "/", f"/en/{rng.randint(1, 9999)}", f"/de/{rng.randint(1, 9999)}.html", f"/fr/{rng.randint(1, 9999)}/", f"/{rng.randint(2000, 2030)}/index.html", "/about"))
+        out.append((label, host, path))
+    return out
+
+
 @cache
-def trained(steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    x = np.zeros((len(LABELLED), N_BUCKETS))
-    for i, (_, url) in enumerate(LABELLED):
-        host, _, path = url.partition("/")
-        at = buckets(host, "/" + path)
-        x[i, at] = 1 / np.sqrt(len(at))
-    y = np.array([v for v, _ in LABELLED], float)
+def trained(steps: int = 400, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and intercept. A url's n-grams weigh one over the root of their number each."""
+    table = labelled()
+    found = [buckets(h, p) for _, h, p in table]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    at, scale = np.concatenate(found).astype(np.int64), 1 / np.sqrt(n)
+    starts, each = np.cumsum(n) - n, np.repeat(scale, n)
+    y = np.array([v for v, _, _ in table], float)
     w, b = np.zeros(N_BUCKETS), 0.0
     for _ in range(steps):
-        miss = y - 1 / (1 + np.exp(-(x @ w + b)))
-        w += rate * (x.T @ miss - decay * w)
+        miss = y - 1 / (1 + np.exp(-(np.add.reduceat(w[at], starts) * scale + b)))
+        w += rate * (np.bincount(at, np.repeat(miss, n) * each, N_BUCKETS) / 16 - decay * w)
         b += rate * miss.mean()
     return w, b
 

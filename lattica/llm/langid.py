@@ -6,9 +6,9 @@ positives that its filter's fill makes likely are taken off; the largest share d
 
 Fitting uses at most about SAMPLE labelled rows per language, chosen by a hash of doc_id (a documented bound on the
 classifier's sample). Their n-grams are counted on the executors; a language's member is one with at least MIN_SHARE of
-its count there, seen LEAST times (or as often as any in a language with less), whose frequency is at least 1 / CONTRAST of the highest in any language. The filters' slots are put
-together on the executors too, so what reaches the driver, and goes to every task, is the table alone: SLOTS masks per
-64 languages (2 MB), whatever the corpus. No language is left out; a table over MOST_BYTES is an error.
+its count there, seen LEAST times (or as often as any in a language with less), whose frequency is at least 1 / CONTRAST
+of the highest in any language. The filters' slots are put together on the executors too, so what reaches the driver,
+and goes to every task, is the table alone: SLOTS masks per 64 languages (2 MB), whatever the corpus. No language is left out; a table over MOST_BYTES is an error.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; a text of which no n-gram is known gets
 the smallest value and score 0; with nothing to learn from, every text is "und"; ties go to the smaller
@@ -122,7 +122,7 @@ class Filters:
 def fit(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, contrast: float = CONTRAST, least: int = LEAST) -> Filters:
     """Filters from (doc_id, text, lang) of the rows that are not held out."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count()
+    sizes = written(rows.groupBy("lang").count(), "languages")  # a row per language; its measured size lets Spark choose the join
     chance = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
     drawn = rows.join(sizes, "lang").where(chance < F.lit(float(sample)) / F.col("count")).select("lang", "text")
 
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, con
 
     counted = written(drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    totals = written(totals, "grams-totals")
     top = counted.join(totals, "lang").where((F.col("n") >= F.least(F.lit(least), "most")) & (F.col("n") >= min_share * F.col("total"))).select("lang", "gram", "n")
     top = written(top, "grams-top")  # 1 / min_share rows per language at most
     langs = sorted(r["lang"] for r in top.select("lang").distinct().collect())

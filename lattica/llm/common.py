@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.state import shared_folder
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,19 +17,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when this Python process ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/lattica-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))

@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 class Pieces:
     """An encoder and decoder for a model file. unigram overrides the file's type."""
 
-    PAIRS = 1_000_000
+    PAIRS = 300_000
 
     def __init__(self, path: str, unigram: bool | None = None) -> None:
         import ahocorasick

@@ -98,9 +98,9 @@ SPACES = np.array([chr(c).isspace() for c in range(0x3002)])  # no space lies be
 INNER = re.compile(r"\w(?:[\w.@'-]*\w)?")
 FEATURES = ("bias", "hex_long", "mixed_long", "digits", "title", "cue_secret", "cue_person", "cue_account", "cue_harmless", "short_hop", "sentence_start")
 #: Distinct tokens that a process remembers, and the longest of them: bounds their bytes.
-KEPT_TOKENS, KEPT_LENGTH = 200_000, 48
+KEPT_TOKENS, KEPT_LENGTH = 100_000, 32
 #: Code points of the texts that are judged together; a longer text is judged alone.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 def _form(low: str) -> str:
@@ -426,11 +426,18 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller ones, so that less is held as Python text."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def report(docs: DataFrame) -> DataFrame:
     field = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             cols: dict[str, list] = defaultdict(list)
             for base, spans in spans_of(b.column(1).to_pylist(), field):
                 for kind in BASE:
@@ -451,7 +458,7 @@ def mask(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             given = b.column(at).to_pylist()
             texts = [None if t is None else masked(t, spans) for t, (_, spans) in zip(given, spans_of(given, field), strict=True)]
             cols = list(b.columns)

@@ -353,7 +353,7 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     name = lambda x: _signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 1000) for x in batches for lo in range(0, x.num_rows, 1000)):
             sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
             cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "pre"])

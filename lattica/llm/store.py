@@ -26,7 +26,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class PieceStore:
-    ENTRIES, SLICE = 1_500_000, 500_000
+    ENTRIES, SLICE = 700_000, 250_000
 
     def __init__(self, kind: np.dtype) -> None:
         self.kind = np.dtype(kind)

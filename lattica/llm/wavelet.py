@@ -317,7 +317,7 @@ def byte_level(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path)
 
 
-def slices(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of rows of about most bytes; a longer text is a run of its own."""
     import pyarrow.compute as pc
 

@@ -69,6 +69,15 @@ def switch(r2: Column, on: float, off: float) -> Term:
     return Term(F.when(r2 < a2, 1.0).when(r2 > b2, 0.0).otherwise(s), F.when((r2 < a2) | (r2 > b2), 0.0).otherwise(ds))
 
 
+def nonbonded(r2: Column, a: Column, b: Column, q: Column, kappa: float, cutoff: float, on: float | None = None) -> Term:
+    """Lennard-Jones with the electrostatics that kappa selects: none below zero, shifted at zero, the real-space part of
+    an Ewald sum above. on: where Lennard-Jones starts to be switched off; not switched, if left out."""
+    plain = lj(r2, a, b) if on is None else lj_switched(r2, a, b, on, cutoff)
+    if kappa < 0:
+        return plain
+    return plain + (coulomb_shifted(r2, q, cutoff) if kappa == 0 else ewald(r2, q, kappa))
+
+
 def switched(term: Term, s: Term) -> Term:
     return Term(term.e * s.e, term.f * s.e + term.e * s.f)
 
@@ -84,10 +93,14 @@ def harmonic(r: Column, k: Column | float, r0: Column | float) -> Term:
     return Term(k * d * d, 2.0 * k * d / r)
 
 
-def angle_energy(c: Column, k: float, theta0: float) -> tuple[Column, Column]:
+def value(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def angle_energy(c: Column, k: Column | float, theta0: Column | float) -> tuple[Column, Column]:
     """k (acos c - theta0)^2 and its derivative by c."""
-    d = F.acos(c) - F.lit(theta0)
-    return F.lit(k) * d * d, -2.0 * F.lit(k) * d / F.sqrt(1.0 - c * c)
+    d = F.acos(c) - value(theta0)
+    return value(k) * d * d, -2.0 * value(k) * d / F.sqrt(1.0 - c * c)
 
 
 def chebyshev(n: int, c: Column) -> tuple[Column, Column]:
@@ -114,5 +127,21 @@ def dihedral_energy(c: Column, k: float, n: int, delta: float) -> tuple[Column,
     return e, de + 0.0 * sin_n
 
 
-def improper_energy(c: Column, k: float, psi0: float) -> tuple[Column, Column]:
+#: The largest multiplicity that a table of dihedrals may hold.
+MOST_FOLDS = 6
+
+
+def dihedral_energy_of(c: Column, k: Column, n: Column, delta: Column) -> tuple[Column, Column]:
+    """The same with k, n (0 to MOST_FOLDS) and delta from columns."""
+    t, u = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for m in range(MOST_FOLDS + 1):
+        tm, um = chebyshev(m, c)
+        t, u = F.when(n == m, tm).otherwise(t), F.when(n == m, um).otherwise(u)
+    s = F.greatest(F.sqrt(1.0 - c * c), F.lit(1e-12))  # where it vanishes, so does sin(delta) in any field that has a force there
+    flat = F.abs(F.sin(delta)) < 1e-12
+    a, b = F.cos(delta), F.when(flat, 0.0).otherwise(F.sin(delta))
+    return k * (1.0 + a * t + b * u * s), k * n * (a * u - b * t / s)
+
+
+def improper_energy(c: Column, k: Column | float, psi0: Column | float) -> tuple[Column, Column]:
     return angle_energy(c, k, psi0)

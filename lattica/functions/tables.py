@@ -1,7 +1,7 @@
 """Potentials as tables: any energy function becomes piecewise quintics in r, fitted on the driver, evaluated in plans.
 
-The nodes are denser where the curve bends more (by the sixth derivative's sixth root) and their number doubles until
-the error is within the tolerance. Each piece matches value, slope and curvature at both ends, so the table is C2.
+The nodes are denser where the curve bends more (by the cube root of its second derivative) and their number doubles
+until the error is within the tolerance. Each piece matches value, slope and curvature at both ends, so the table is C2.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ class Table:
     error: float
 
     def value(self, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Energies and slopes dE/dr; below a the first piece's quadratic expansion at a goes on."""
+        """Energies and slopes dE/dr; below a the first piece goes on."""
         r = np.asarray(r, float)
         i = np.clip(np.searchsorted(self.nodes, r, side="right") - 1, 0, len(self.coeffs) - 1)
         half = 0.5 * np.diff(self.nodes)[i]
@@ -81,32 +81,38 @@ def frame(spark: SparkSession, tables: dict[int, Table]) -> DataFrame:
     return spark.createDataFrame(rows, "pot_id int, ind int, lo double, hi double, c0 double, c1 double, c2 double, c3 double, c4 double, c5 double")
 
 
+#: Slots of the uniform index of a table, at most.
+SLOTS = 1 << 14
+
+
+def slots(spark: SparkSession, table: Table) -> DataFrame:
+    """(slot, piece): the pieces that a slot of a uniform index over the domain touches, each with lo, half and c0..c5."""
+    n = min(SLOTS, 4 * len(table.coeffs))
+    edges = table.a + (table.b - table.a) * np.arange(n + 1) / n
+    first = np.clip(np.searchsorted(table.nodes, edges[:-1], side="right") - 1, 0, len(table.coeffs) - 1)
+    last = np.clip(np.searchsorted(table.nodes, edges[1:], side="left") - 1, 0, len(table.coeffs) - 1)
+    half = 0.5 * np.diff(table.nodes)
+    piece = lambda k: (float(table.nodes[k]), float(half[k]), *map(float, table.coeffs[k]))
+    rows = [(s, [piece(k) for k in range(a, b + 1)]) for s, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True))]
+    return spark.createDataFrame(rows, "slot int, pieces array<struct<lo:double,half:double,c0:double,c1:double,c2:double,c3:double,c4:double,c5:double>>")
+
+
 def evaluated(rows: DataFrame, table: Table, r2: str = "r2") -> DataFrame:
-    """rows with e and f = (dE/dr) / r from a table, as an expression: the nodes and coefficients are array literals, so
-    there is neither join nor Python per row."""
-    nodes, half = [float(x) for x in table.nodes], [float(x) for x in 0.5 * np.diff(table.nodes)]
-    r = F.sqrt(F.col(r2))
-    # place among the nodes: a fine uniform index gives the piece of a slot's start, and at most a step corrects it
-    slots = 4 * len(half)
-    while True:
-        starts = np.searchsorted(table.nodes, table.a + (table.b - table.a) * np.arange(slots) / slots, side="right") - 1
-        nexts = np.searchsorted(table.nodes, table.a + (table.b - table.a) * (np.arange(slots) + 1) / slots, side="left") - 1
-        if (nexts - starts).max() <= 1 or slots > 1 << 16:
-            break
-        slots *= 2
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    slot = F.least(F.greatest(F.floor((r - table.a) * (slots / (table.b - table.a))), F.lit(0)), F.lit(slots - 1)).cast("int")
-    found = rows.withColumn("_r", r).withColumn("_i", F.get(lit([int(x) for x in starts]), slot))
-    up = (F.col("_i") < len(half) - 1) & (F.col("_r") >= F.get(lit(nodes), F.col("_i") + 1))
-    found = found.withColumn("_i", F.col("_i") + up.cast("int"))
-    found = found.withColumn("_h", F.get(lit(half), F.col("_i"))).withColumn("_t", (F.col("_r") - F.get(lit(nodes), F.col("_i"))) / F.col("_h") - 1.0)
-    c = [F.get(lit([float(x) for x in table.coeffs[:, k]]), F.col("_i")) for k in range(6)]
-    t = F.col("_t")
+    """rows with e and f = (dE/dr) / r from a table: an equi-join on the slot of r with at most SLOTS small rows, whose size
+    Spark knows, then the last of the slot's pieces that starts at r or before."""
+    index = slots(rows.sparkSession, table)
+    n = min(SLOTS, 4 * len(table.coeffs))
+    r = F.col("_r")
+    slot = F.least(F.greatest(F.floor((r - table.a) * (n / (table.b - table.a))), F.lit(0)), F.lit(n - 1)).cast("int")
+    met = rows.withColumn("_r", F.sqrt(F.col(r2))).withColumn("slot", slot).join(index.withColumnRenamed("slot", "_slot"), F.col("slot") == F.col("_slot"))
+    more = F.size(F.filter("pieces", lambda p: p["lo"] <= F.col("_r")))
+    found = met.withColumn("_p", F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))).otherwise(F.get("pieces", F.greatest(more - 1, F.lit(0)))))
+    found = found.withColumn("_t", (r - F.col("_p.lo")) / F.col("_p.half") - 1.0)
+    t, c = F.col("_t"), [F.col(f"_p.c{k}") for k in range(6)]
     e: Column = c[5]
     for k in (4, 3, 2, 1, 0):
         e = c[k] + t * e
     d: Column = 5.0 * c[5]
     for k in (4, 3, 2, 1):
         d = float(k) * c[k] + t * d
-    term = Term(e, d / F.col("_h") / F.col("_r"))
-    return found.withColumns({"e": term.e, "f": term.f}).drop("_r", "_i", "_h", "_t")
+    return found.withColumns({"e": e, "f": d / F.col("_p.half") / r}).drop("_r", "slot", "_slot", "pieces", "_p", "_t")

@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.potentials import Term, angle_energy, dihedral_energy, harmonic
+from lattica.functions.potentials import Term, angle_energy, dihedral_energy, dihedral_energy_of, harmonic
 from lattica.operators.binning import image
 from lattica.schema import GHOST, Box
 
 Vec = tuple[Column, Column, Column]
+FORCES = ("fx", "fy", "fz")
 
 
 def placed(topology: DataFrame, ps: DataFrame, ends: str) -> DataFrame:
@@ -57,10 +58,16 @@ def minus(a: Vec, b: Vec) -> Vec:
     return a[0] - b[0], a[1] - b[1], a[2] - b[2]
 
 
+def ends(df: DataFrame, parts: dict[str, Vec]) -> DataFrame:
+    """(id, fx, fy, fz, e): a row per end of each interaction with its force; the first end has the energy, others 0."""
+    first = next(iter(parts))
+    rows = F.array(*[F.struct(F.col(x).cast("long").alias("id"), *[u.alias(n) for u, n in zip(v, FORCES, strict=True)], (F.col("e") if x == first else F.lit(0.0)).alias("e")) for x, v in parts.items()])
+    return df.select(F.explode(rows).alias("w")).select("w.*")
+
+
 def spread(df: DataFrame, parts: dict[str, Vec]) -> DataFrame:
     """(id, fx, fy, fz): forces on the ends, summed."""
-    ends = F.array(*[F.struct(F.col(e).alias("id"), *[u.alias(n) for u, n in zip(v, ("fx", "fy", "fz"), strict=True)]) for e, v in parts.items()])
-    return df.select(F.explode(ends).alias("w")).groupBy(F.col("w.id").alias("id")).agg(*[F.sum(f"w.{c}").alias(c) for c in ("fx", "fy", "fz")])
+    return ends(df, parts).groupBy("id").agg(*[F.sum(c).alias(c) for c in FORCES])
 
 
 def bond_terms(bonds: DataFrame, ps: DataFrame, bond_pot: DataFrame, box: Box) -> DataFrame:
@@ -74,12 +81,17 @@ def bond_terms(bonds: DataFrame, ps: DataFrame, bond_pot: DataFrame, box: Box) -
     return rows.withColumns({"e": t.e, "f": t.f})
 
 
+def bond_parts(terms: DataFrame) -> tuple[DataFrame, dict[str, Vec]]:
+    return terms, {"i": times(-F.col("f"), vec("d")), "j": times(F.col("f"), vec("d"))}
+
+
 def bond_forces(terms: DataFrame) -> DataFrame:
-    return spread(terms, {"i": times(-F.col("f"), vec("d")), "j": times(F.col("f"), vec("d"))})
+    return spread(*bond_parts(terms))
 
 
-def angle_terms(angles: DataFrame, ps: DataFrame, box: Box, k: float, theta0: float, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
-    """angles (vertex j) with arms u, v, their lengths, c = cos, e and de = dE/dc; c is held to [lo, hi]."""
+def angle_terms(angles: DataFrame, ps: DataFrame, box: Box, k: Column | float, theta0: Column | float, lo: float = -1.0, hi: float = 1.0) -> DataFrame:
+    """angles (vertex j) with arms u, v, their lengths, c = cos, e and de = dE/dc; c is held to [lo, hi]. k and theta0 are
+    numbers, or columns of angles, as a parameter file's assignment gives them."""
     rows = named(placed(angles, ps, "ijk"), u=between("i", "j", box), v=between("k", "j", box))
     rows = rows.withColumns({"nu": F.sqrt(dot(vec("u"), vec("u"))), "nv": F.sqrt(dot(vec("v"), vec("v")))})
     rows = rows.withColumn("raw", dot(vec("u"), vec("v")) / (F.col("nu") * F.col("nv")))
@@ -88,27 +100,33 @@ def angle_terms(angles: DataFrame, ps: DataFrame, box: Box, k: float, theta0: fl
     return rows.withColumns({"e": e, "de": de})
 
 
-def angle_forces(terms: DataFrame) -> DataFrame:
+def angle_parts(terms: DataFrame) -> tuple[DataFrame, dict[str, Vec]]:
     c, de, nu, nv = F.col("raw"), F.col("de"), F.col("nu"), F.col("nv")
     gi = times(1.0 / nu, minus(times(1.0 / nv, vec("v")), times(c / nu, vec("u"))))
     gk = times(1.0 / nv, minus(times(1.0 / nu, vec("u")), times(c / nv, vec("v"))))
     rows = named(terms, i_=times(-de, gi), k_=times(-de, gk))
     both = tuple(-(p + q) for p, q in zip(vec("i_"), vec("k_"), strict=True))
-    return spread(rows, {"i": vec("i_"), "j": both, "k": vec("k_")})
+    return rows, {"i": vec("i_"), "j": both, "k": vec("k_")}
+
+
+def angle_forces(terms: DataFrame) -> DataFrame:
+    return spread(*angle_parts(terms))
 
 
-def dihedral_terms(dihedrals: DataFrame, ps: DataFrame, box: Box, k: float, n: int, delta: float) -> DataFrame:
-    """dihedrals with a = xi - xj, b = xk - xj, c = xl - xk, normals m = a x b and n = c x b, cosphi, e and de."""
+def dihedral_terms(dihedrals: DataFrame, ps: DataFrame, box: Box, k: Column | float, n: Column | int, delta: Column | float) -> DataFrame:
+    """dihedrals with a = xi - xj, b = xk - xj, c = xl - xk, normals m = a x b and n = c x b, cosphi, e and de. k, n and
+    delta are numbers, or all columns of dihedrals."""
     rows = named(placed(dihedrals, ps, "ijkl"), a=between("i", "j", box), b=between("k", "j", box), c=between("l", "k", box))
     rows = named(rows, m=cross(vec("a"), vec("b")), n=cross(vec("c"), vec("b")))
     rows = rows.withColumns({"m2": dot(vec("m"), vec("m")), "n2": dot(vec("n"), vec("n"))})
     cos = dot(vec("m"), vec("n")) / F.sqrt(F.col("m2") * F.col("n2"))
     rows = rows.withColumn("cosphi", F.least(F.greatest(cos, F.lit(-1.0)), F.lit(1.0)))
-    e, de = dihedral_energy(F.col("cosphi"), k, n, delta)
+    energy = dihedral_energy_of if isinstance(n, Column) else dihedral_energy
+    e, de = energy(F.col("cosphi"), k, n, delta)  # type: ignore[arg-type]
     return rows.withColumns({"e": e, "de": de})
 
 
-def dihedral_forces(terms: DataFrame) -> DataFrame:
+def dihedral_parts(terms: DataFrame) -> tuple[DataFrame, dict[str, Vec]]:
     """By the chain rule through the normals: with p = dcos/dm and q = dcos/dn, the ends get b x p and b x q, and b's
     share a x p + c x q, with its sign, goes to the middle."""
     s = F.sqrt(F.col("m2") * F.col("n2"))
@@ -122,7 +140,11 @@ def dihedral_forces(terms: DataFrame) -> DataFrame:
     ga, gb, gc = vec("ga"), vec("gb"), vec("gc")
     on_j = tuple(-(x + y) for x, y in zip(ga, gb, strict=True))
     on_k = tuple(x - y for x, y in zip(gb, gc, strict=True))
-    return spread(rows, {"i": times(de, ga), "j": times(de, on_j), "k": times(de, on_k), "l": times(de, gc)})
+    return rows, {"i": times(de, ga), "j": times(de, on_j), "k": times(de, on_k), "l": times(de, gc)}
+
+
+def dihedral_forces(terms: DataFrame) -> DataFrame:
+    return spread(*dihedral_parts(terms))
 
 
 def excluded_terms(exclusions: DataFrame, ps: DataFrame, pair_pot: DataFrame, box: Box, term) -> DataFrame:  # noqa: ANN001

@@ -31,10 +31,26 @@ def inner_radius(energy: Callable[[float], float], r0: float, tol: float = 1e-5)
 
 
 def electrostatics(kappa: float) -> str:
-    """Mode by the screening parameter: none below zero, shifted at zero, ewald above."""
+    """Mode by the screening parameter: none below zero, shifted at zero, ewald above; potentials.nonbonded() is its term."""
     return "none" if kappa < 0 else "shifted" if kappa == 0 else "ewald"
 
 
+def type_of(types: DataFrame, by: str = "name") -> DataFrame:
+    """(name, type): the first species of each name, by name or by name2, as a lookup finds it."""
+    return types.groupBy(F.col(by).alias("name")).agg(F.min("type").alias("type"))
+
+
+def without_vertex(angles: DataFrame, named: DataFrame, species: str) -> DataFrame:
+    """Angles whose vertex j is not of a species, such as those of rigid water. named: (id, name)."""
+    return angles.join(named.where(F.col("name") == species).select(F.col("id").alias("j")), "j", "left_anti").select(*angles.columns)
+
+
+def water_numbered(ps: DataFrame, named: DataFrame, oxygen: str = "OT") -> DataFrame:
+    """ps with vid := the oxygen's id for every oxygen and the two hydrogens after it, by an equi-join on ids."""
+    parts = named.where(F.col("name") == oxygen).select(F.col("id").alias("_o"), F.explode(F.sequence(F.col("id"), F.col("id") + 2)).alias("id"))
+    return ps.join(parts, "id", "left").withColumn("vid", F.coalesce("_o", "vid")).select(*ps.columns)
+
+
 def _names(topology: DataFrame, named: DataFrame, ends: str) -> DataFrame:
     """topology with the species name of each end; named: (id, name)."""
     out = topology

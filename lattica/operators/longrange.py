@@ -1,4 +1,4 @@
-"""Smooth particle-mesh sums: charges spread to a grid by B-splines, convolved by FFT, energies read back.
+"""Smooth particle-mesh sums: charges spread to a grid by B-splines, convolved by FFT, energies and forces read back.
 
 The spread is a grouped sum over the cluster; the grid, whose size follows the box and kappa (mesh), is convolved in one
 task.
@@ -38,22 +38,57 @@ def spline(u: Column) -> Column:
     return F.when((u <= 0) | (u >= 4), 0.0).when(u < 1, p1).when(u < 2, p2).when(u < 3, p3).otherwise(p4)
 
 
-def spread(ps: DataFrame, box: Box, grid: int) -> DataFrame:
-    """(gx, gy, gz, q): each charge on its 4^3 grid points."""
+def slope(u: Column) -> Column:
+    """The derivative of spline()."""
+    p1 = u * u / 2.0
+    p2 = ((-9.0 * u + 24.0) * u - 12.0) / 6.0
+    p3 = ((9.0 * u - 48.0) * u + 60.0) / 6.0
+    p4 = -(4.0 - u) * (4.0 - u) / 2.0
+    return F.when((u <= 0) | (u >= 4), 0.0).when(u < 1, p1).when(u < 2, p2).when(u < 3, p3).otherwise(p4)
+
+
+def cardinal(u: np.ndarray, order: int) -> np.ndarray:
+    """Cardinal B-spline of any order by its recursion, for what is computed on the driver."""
+    u = np.asarray(u, float)
+    if order == 2:
+        return np.maximum(0.0, 1.0 - np.abs(u - 1.0))
+    return (u * cardinal(u, order - 1) + (order - u) * cardinal(u - 1.0, order - 1)) / (order - 1)
+
+
+def near_points(ps: DataFrame, box: Box, grid: int) -> DataFrame:
+    """Each charge once for each of its 4^3 grid points: id, q, gx, gy, gz, with the weight w and its derivatives wx, wy,
+    wz by position."""
     rows = ps.select("id", "q", *[((F.col(c) - F.lit(o)) * F.lit(grid / d)).alias(f"u{c}") for c, o, d in zip("xyz", box.origin, box.dim, strict=True)])
     for c in "xyz":
         base = F.floor(F.col(f"u{c}"))
-        near = F.array(*[F.struct(F.pmod(base - k, F.lit(grid)).cast("int").alias("g"), spline(F.col(f"u{c}") - base + float(k)).alias("w")) for k in range(ORDER)])
+        at = [F.col(f"u{c}") - base + float(k) for k in range(ORDER)]
+        near = F.array(*[F.struct(F.pmod(base - k, F.lit(grid)).cast("int").alias("g"), spline(u).alias("w"), slope(u).alias("d")) for k, u in enumerate(at)])
         rows = rows.withColumn(f"g{c}", F.explode(near))
-    weight = F.col("q") * F.col("gx.w") * F.col("gy.w") * F.col("gz.w")
-    return rows.select(*[F.col(f"g{c}.g").alias(f"g{c}") for c in "xyz"], weight.alias("q")).groupBy("gx", "gy", "gz").agg(F.sum("q").alias("q"))
+    w = {c: F.col(f"g{c}.w") for c in "xyz"}
+    d = {c: F.col(f"g{c}.d") * F.lit(grid / edge) for c, edge in zip("xyz", box.dim, strict=True)}
+    return rows.select(
+        "id", "q", *[F.col(f"g{c}.g").alias(f"g{c}") for c in "xyz"], (w["x"] * w["y"] * w["z"]).alias("w"),
+        (d["x"] * w["y"] * w["z"]).alias("wx"), (w["x"] * d["y"] * w["z"]).alias("wy"), (w["x"] * w["y"] * d["z"]).alias("wz"),
+    )
+
+
+def spread(ps: DataFrame, box: Box, grid: int) -> DataFrame:
+    """(gx, gy, gz, q): each charge on its 4^3 grid points."""
+    points = near_points(ps, box, grid)
+    return points.groupBy("gx", "gy", "gz").agg(F.sum(F.col("q") * F.col("w")).alias("q"))
+
+
+def forces(ps: DataFrame, grid_phi: DataFrame, box: Box, grid: int) -> DataFrame:
+    """(id, fx, fy, fz): minus the gradient of energy(), as the potential on the grid gives it back to the charges."""
+    met = near_points(ps, box, grid).join(grid_phi.select("gx", "gy", "gz", "phi"), ["gx", "gy", "gz"])
+    return met.groupBy("id").agg(*[F.sum(-F.col("q") * F.col("phi") * F.col(f"w{c}")).alias(f"f{c}") for c in "xyz"])
 
 
 def influence(box: Box, grid: int, kappa: float) -> np.ndarray:
     """Theta(m): the reciprocal kernel with the splines' factors, for the half that rfftn gives; 0 at the origin."""
     m = np.fft.fftfreq(grid, 1.0 / grid)
     k = np.arange(ORDER - 1)
-    at = np.array([1 / 6, 4 / 6, 1 / 6])  # the spline at 1, 2, 3
+    at = cardinal(np.arange(1.0, ORDER), ORDER)
     den = (at * np.exp(2j * np.pi * np.outer(m, k) / grid)).sum(axis=1)
     b = 1.0 / np.abs(den) ** 2
     half = grid // 2 + 1
@@ -78,7 +113,7 @@ def convolved(grid_q: DataFrame, box: Box, grid: int, kappa: float) -> DataFrame
         for gx in range(grid):
             yield pd.DataFrame({"gx": np.full(gy.size, gx), "gy": gy, "gz": gz, "q": q[gx].ravel(), "phi": phi[gx].ravel()})
 
-    return grid_q.coalesce(1).mapInPandas(solve, "gx int, gy int, gz int, q double, phi double")
+    return grid_q.repartition(1).mapInPandas(solve, "gx int, gy int, gz int, q double, phi double")
 
 
 def energy(grid_phi: DataFrame) -> DataFrame:

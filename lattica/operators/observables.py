@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.binning import differences, half_shell
+from lattica.operators.state import running
 from lattica.schema import GAS, Box
 
 V = ("vx", "vy", "vz")
@@ -68,9 +69,13 @@ def cell_counts(binned_ps: DataFrame) -> DataFrame:
 
 
 def cell_offsets(binned_ps: DataFrame) -> DataFrame:
-    """(cell, n, start): particles in the cells before. The order is over cells, after the aggregation."""
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    return cell_counts(binned_ps).select("cell", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    """(cell, n, start): particles in the cells before."""
+    return running(cell_counts(binned_ps), "start", "cell", of=F.col("n")).select("cell", "n", F.col("start").cast("long").alias("start"))
+
+
+def cell_energies(terms: DataFrame, binned_ps: DataFrame) -> DataFrame:
+    """(cell, e): the energy of a pair belongs to the cell of its first particle; terms have i and e."""
+    return terms.join(binned_ps.select(F.col("id").alias("i"), "cell"), "i").groupBy("cell").agg(F.sum("e").alias("e"))
 
 
 #: Weights of a neighbour that shares a face, an edge or a corner: fixed values.

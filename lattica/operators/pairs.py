@@ -11,16 +11,25 @@ from lattica.schema import Box
 PAIR = ("id", "type", "q", "x", "y", "z")
 
 
-def neighbour_pairs(ps: DataFrame, box: Box, columns: tuple[str, ...] = PAIR) -> DataFrame:
-    """(i, j, type_i, type_j, ..., dx, dy, dz, r2): each unordered pair within the cutoff once; d = x_i - x_j.
+def neighbour_pairs(ps: DataFrame, box: Box, columns: tuple[str, ...] = PAIR, exclusions: DataFrame | None = None) -> DataFrame:
+    """(i, j, type_i, type_j, ..., dx, dy, dz, r2): each unordered pair within the cutoff once; d = x_i - x_j. Pairs in
+    exclusions (i, j) are left out: a particle's few excluded partners go with its row through the join on cells, so the
+    pairs themselves are not shuffled.
 
     Only the columns that pairs need are shuffled. Rows are dealt by their own cell before they are copied to the half
     shell of neighbour cells, so that a small number of input files does not bound the parallelism.
     """
     cells = binned(ps.select(*columns), box)
     left = _neighbours(cells.repartition("cx", "cy", "cz"), box).drop("cx", "cy", "cz", "cell").alias("a")
-    right = cells.drop("cell").alias("b")
+    right = cells.drop("cell")
+    if exclusions is not None:  # on the side that is not copied to neighbour cells
+        ends = F.explode(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("o")), F.struct(F.col("j").alias("id"), F.col("i").alias("o"))))
+        partners = exclusions.select(ends.alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.collect_set("e.o").alias("_out"))
+        right = right.join(partners, "id", "left")
+    right = right.alias("b")
     met = left.join(right, (F.col("a.nx") == F.col("b.cx")) & (F.col("a.ny") == F.col("b.cy")) & (F.col("a.nz") == F.col("b.cz")) & (~F.col("a.own") | (F.col("a.id") < F.col("b.id"))))
+    if exclusions is not None:
+        met = met.where(F.col("b._out").isNull() | ~F.array_contains(F.col("b._out"), F.col("a.id")))
     extra = [c for c in columns if c not in ("id", "x", "y", "z")]
     d = differences("a", "b", box)
     named = met.select(
@@ -54,7 +63,7 @@ def both_ends(pairs: DataFrame, f: str = "f") -> DataFrame:
 
 
 def without_exclusions(pairs: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Pairs that are not excluded; exclusions (i, j) with i <= j."""
+    """The same for pairs that are there already; exclusions (i, j) with i <= j."""
     key = pairs.withColumns({"_lo": F.least("i", "j"), "_hi": F.greatest("i", "j")})
     gone = exclusions.select(F.col("i").alias("_lo"), F.col("j").alias("_hi"))
     return key.join(gone, ["_lo", "_hi"], "left_anti").drop("_lo", "_hi")

@@ -1,20 +1,44 @@
-"""Tables that are settled in the folder all executors share, so that loops don't grow their plans."""
+"""Tables settled in the folder all executors share, and numbers and running sums without a window over all rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame, name: str = "state") -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one only where it is unset) and reread."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset a local session gets a temporary one; on a cluster that is an
+    error, as executors could not read what the driver wrote."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame, name: str = "state") -> DataFrame:
+    """df written to the shared folder and reread, so that loops don't grow their plans and any executor can be lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, before: str, *order: str, of: Column | None = None) -> DataFrame:
+    """df, range-sorted by order and settled, with a column before: the sum of of (1 for each row, if left out) over all
+    rows before a row.
+
+    Sums run inside each range and start from the sums of the ranges before, of which there are few; no task sees all rows.
+    """
+    rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"), (F.lit(1) if of is None else of).cast("long").alias("_v"))
+    rows = settled(rows, "ranges")
+    sums = rows.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, "_part").withColumn(before, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_part", "_at", "_v", "_start")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.integrate import random_velocities
 from lattica.schema import Box
 
 SPACING, CUTOFF = 0.3125, 0.75
@@ -56,6 +57,19 @@ def particles(spark: SparkSession, sf_dir: str, displaced: bool = False, wrap: b
     )
 
 
+def lattice(spark: SparkSession, n: int, box: Box, mass: float, speed: float, seed: int) -> DataFrame:
+    """n particles of one species in the middle of the cells of the smallest cubic lattice that holds them, with random
+    velocities of one speed less their drift."""
+    nx = 1
+    while nx**3 < n:
+        nx += 1
+    i = F.col("id")
+    at = (F.floor(i / (nx * nx)), F.floor(i / nx) % nx, i % nx)
+    places = {c: (k + 0.5) * (d / nx) + o for c, k, d, o in zip("xyz", at, box.dim, box.origin, strict=True)}
+    ps = spark.range(n).withColumns({"vid": i, "type": F.lit(0), "flags": F.lit(0), "q": F.lit(0.0), **places, "m": F.lit(mass)})
+    return random_velocities(ps, speed, seed)
+
+
 def types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, "OT", "OT-0.8476", 15.9994, -0.8476, 0.6364, 0.1776), (1, "HT", "HT0.4238", 1.00794, 0.4238, 0.1924, 0.0225)], "type int, name string, name2 string, mass double, charge double, eps double, rmin double")
 

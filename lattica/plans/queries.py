@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import re
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from lattica.functions import potentials as pot
 from lattica.functions import tables
 from lattica.operators import binning, bonded, constraints, forcefield, integrate, longrange, observables, pairs
+from lattica.operators.state import settled, shared_folder
 from lattica.plans import fixtures
-from lattica.plans.system import ParticleSystem
+from lattica.plans.registry import ForceField, TopologyBuilder
+from lattica.plans.system import CLASSES, ParticleSystem
 from lattica.schema import COULOMB, GAS, Box
 from lattica.sources import arrays, parameters, structure
 
@@ -57,6 +59,12 @@ def every_type(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, j, A if i + j == 0 else 0.0, B if i + j == 0 else 0.0) for i in (0, 1) for j in (0, 1)], "type_i int, type_j int, a double, b double")
 
 
+def oxygen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of oxygens, with their potential; others are left out before the join on cells."""
+    ps, box = water(spark, sf_dir)
+    return pairs.with_potential(pairs.neighbour_pairs(ps.where("type = 0"), box), oo(spark))
+
+
 def pair_rows(spark: SparkSession, sf_dir: str, table: DataFrame) -> DataFrame:
     ps, box = water(spark, sf_dir)
     return pairs.with_potential(pairs.neighbour_pairs(ps, box), table)
@@ -174,12 +182,12 @@ def pairs_within_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{P}, {PR} SELECT count(*) AS n, {RND(f'sum({LJ})')} AS e FROM pr WHERE ti = 0 AND tj = 0")
 def pair_energy_lj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summed(pair_rows(spark, sf_dir, oo(spark)), pot.lj(F.col("r2"), F.col("a"), F.col("b")))
+    return summed(oxygen_rows(spark, sf_dir), pot.lj(F.col("r2"), F.col("a"), F.col("b")))
 
 
 @query(f"{P}, {PR} SELECT count(*) AS n, {RND(f'sum({LJ} * {SW})')} AS e FROM pr WHERE ti = 0 AND tj = 0")
 def pair_energy_lj_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summed(pair_rows(spark, sf_dir, oo(spark)), pot.lj_switched(F.col("r2"), F.col("a"), F.col("b"), ON, RC))
+    return summed(oxygen_rows(spark, sf_dir), pot.lj_switched(F.col("r2"), F.col("a"), F.col("b"), ON, RC))
 
 
 @query(f"{P}, {PR} SELECT count(*) AS n, {RND(f'sum({K} * qq / r)')} AS e FROM pr")
@@ -209,14 +217,12 @@ def pair_energy_lj_ewald_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed(rows, pot.lj_switched(F.col("r2"), F.col("a"), F.col("b"), ON, RC) + pot.ewald(F.col("r2"), QQ(), KAPPA))
 
 
-@query(f"{P}, {PR} SELECT count(*) AS n, true AS within_tolerance FROM pr WHERE ti = 0 AND tj = 0")
+@query(f"{P}, {PR} SELECT count(*) AS n, round(sum({LJ}), 2) AS e, round(min({LJ}), 3) AS lowest, round(max({LJ}), 3) AS highest, round(sum({LJ_F}), 0) + 0.0::DOUBLE AS f FROM pr WHERE ti = 0 AND tj = 0")
 def pair_energy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fitted table of the oxygens' potential against its closed form."""
-    table = tables.fitted(lambda r: A / r**12 - B / r**6, 0.2, RC + 0.01, 1e-6, lambda r: -12 * A / r**13 + 6 * B / r**7)
-    rows = tables.evaluated(pair_rows(spark, sf_dir, oo(spark)), table)
-    exact = pot.lj(F.col("r2"), F.col("a"), F.col("b")).e
-    off = F.max(F.abs(F.col("e") - exact) / F.greatest(F.abs(exact), F.lit(1.0)))
-    return rows.agg(F.count("*").alias("n"), (off <= 1e-5).alias("within_tolerance"))
+    """Energies and slopes of the oxygens from a fitted table; the SQL has the closed form."""
+    table = tables.fitted(lambda r: A / r**12 - B / r**6, 0.2, RC + 0.01, 1e-9, lambda r: -12 * A / r**13 + 6 * B / r**7)
+    rows = tables.evaluated(oxygen_rows(spark, sf_dir), table)
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("e"), 2).alias("e"), F.round(F.min("e"), 3).alias("lowest"), F.round(F.max("e"), 3).alias("highest"), (F.round(F.sum("f"), 0) + 0.0).alias("f"))
 
 
 def lj_coulomb(rows: DataFrame) -> pot.Term:
@@ -236,9 +242,14 @@ def pair_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(all_forces(spark, sf_dir))
 
 
-@query(f"{P} SELECT count(*) AS n, 0::DOUBLE AS fx, 0::DOUBLE AS fy, 0::DOUBLE AS fz FROM p")
+SUMS = lambda rows: f"SELECT id, sum(fx) AS fx, sum(fy) AS fy, sum(fz) AS fz FROM ({rows}) GROUP BY id"
+PAIR_ENDS = lambda f, where="true": f"SELECT i AS id, -({f}) * dx AS fx, -({f}) * dy AS fy, -({f}) * dz AS fz FROM pr WHERE {where} UNION ALL SELECT j, ({f}) * dx, ({f}) * dy, ({f}) * dz FROM pr WHERE {where}"
+
+
+@query(f"{P}, {PR}, f AS ({SUMS(PAIR_ENDS(F_SQL))}) SELECT count(*) AS n, {RND('sum(fx)')} AS fx, {RND('sum(fy)')} AS fy, {RND('sum(fz)')} AS fz, round(sum(sqrt(fx * fx + fy * fy + fz * fz)), 3) AS size, {RND('max(fx)')} AS most FROM f")
 def net_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_forces(spark, sf_dir).agg(F.count("*").alias("n"), *[r4(F.sum(c)).alias(c) for c in ("fx", "fy", "fz")])
+    size = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy") + F.col("fz") * F.col("fz"))
+    return all_forces(spark, sf_dir).agg(F.count("*").alias("n"), *[r4(F.sum(c)).alias(c) for c in ("fx", "fy", "fz")], F.round(F.sum(size), 3).alias("size"), r4(F.max("fx")).alias("most"))
 
 
 # Bonded terms
@@ -361,7 +372,8 @@ def exclusion_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs.without_exclusions(pair_rows(spark, sf_dir, every_type(spark)), exclusions(spark, sf_dir))
+    ps, box = water(spark, sf_dir)
+    rows = pairs.with_potential(pairs.neighbour_pairs(ps, box, exclusions=exclusions(spark, sf_dir)), every_type(spark))
     t = lj_coulomb(rows)
     return rows.withColumns({"e": t.e, "f": t.f})
 
@@ -371,13 +383,29 @@ def nonbonded_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_pairs(spark, sf_dir).agg(F.count("*").alias("n"), r4(F.sum("e")).alias("e"))
 
 
-@query(f"""{PD}, t{BONDS.replace("t AS", "b AS", 1)}, ub AS ({ends_sql("ij", "tb")}), wb AS (SELECT *, {diff_sql("d", "i", "j")} FROM ub),
-eb AS (SELECT sum({N(BOND_K)} * (sqrt({DOT("d", "d")}) - {N(BOND_R0)}) * (sqrt({DOT("d", "d")}) - {N(BOND_R0)})) AS e FROM wb),
-{ANGLES}, u0 AS ({ends_sql("ijk")}), u1 AS (SELECT *, {diff_sql("u", "i", "j")}, {diff_sql("v", "k", "j")} FROM u0),
-ea AS (SELECT sum({N(ANGLE_K)} * (acos({DOT("u", "v")} / sqrt({DOT("u", "u")} * {DOT("v", "v")})) - {N(THETA0)}) * (acos({DOT("u", "v")} / sqrt({DOT("u", "u")} * {DOT("v", "v")})) - {N(THETA0)})) AS e FROM u1)
-SELECT 'bond' AS term, {RND("e")} AS value FROM eb UNION ALL SELECT 'angle', {RND("e")} FROM ea UNION ALL SELECT 'total', {RND("(SELECT e FROM eb) + (SELECT e FROM ea)")}""")
+def renamed(sql: str, mark: str) -> str:
+    """The steps of a query after the particles, under names of their own."""
+    return re.sub(r"\b(t|u|u0|u1|u2|u3|w)\b", lambda m: f"{m.group()}_{mark}", sql[len(PD) + 2 :])
+
+
+#: All interactions of the displaced water: pairs pr, bonds bt, angles ang, dihedrals dt.
+ALL = f"{PD}, {PR}, {renamed(BT, 'b')}, {renamed(AT, 'a')}, {renamed(DT_, 'd')}"
+E_BOND, E_ANGLE, E_DIH = f"{N(BOND_K)} * (r - {N(BOND_R0)}) * (r - {N(BOND_R0)})", f"{N(ANGLE_K)} * (theta - {N(THETA0)}) * (theta - {N(THETA0)})", f"{N(DIH_K)} * (1 + cos({DIH_N} * phi))"
+
+
+@query(f"""{ALL}, e AS (SELECT 'nonbond' AS term, sum({EX_E}) AS e FROM pr UNION ALL SELECT 'exclusion', -sum({EX_E}) FROM pr WHERE mi = mj UNION ALL SELECT 'bond', sum({E_BOND}) FROM bt
+UNION ALL SELECT 'angle', sum({E_ANGLE}) FROM ang UNION ALL SELECT 'dihedral', sum({E_DIH}) FROM dt)
+SELECT term, {RND("e")} AS value FROM e UNION ALL SELECT 'total', {RND("sum(e)")} FROM e""")
 def energy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = observables.breakdown(bond=bond_rows(spark, sf_dir), angle=angle_rows(spark, sf_dir))
+    ps, box = water(spark, sf_dir, True)
+    rows = pairs.with_potential(pairs.neighbour_pairs(ps, box), every_type(spark))
+    listed = exclusions(spark, sf_dir)
+    for e in "ij":
+        listed = listed.join(ps.select(F.col("id").alias(e), F.col("q").alias(f"q_{e}")), e)
+    found = observables.breakdown(
+        nonbond=rows.withColumn("e", lj_coulomb(rows).e), exclusion=bonded.excluded_terms(listed, ps, every_type(spark), box, lj_coulomb),
+        bond=bond_rows(spark, sf_dir), angle=angle_rows(spark, sf_dir), dihedral=dihedral_rows(spark, sf_dir),
+    )
     return found.select("term", r4("value").alias("value"))
 
 
@@ -470,17 +498,45 @@ def velocity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DPD_A, DPD_G, DPD_SEED = 25.0, 4.5, 7
-_C, _D = integrate.NORMAL_C, integrate.NORMAL_D
 
 
-@query(f"""{P}, {PR}, h AS (SELECT *, (i * 7919 + j * 104729 + {DPD_SEED}) % 1000003 AS a FROM pr), u AS (SELECT *, ((a * a + 12345 * a + 6789) % 999983 + 0.5::DOUBLE) / 999983::DOUBLE AS u, 1 - r / {N(RC)} AS w FROM h),
-t AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS t FROM u), zz AS (SELECT *, (CASE WHEN u < 0.5::DOUBLE THEN -1 ELSE 1 END) * (t - ({N(_C[0])} + t * ({N(_C[1])} + t * {N(_C[2])})) / (1 + t * ({N(_D[0])} + t * ({N(_D[1])} + t * {N(_D[2])})))) AS z FROM t),
-dp AS (SELECT *, -((-{N(DPD_G)} * w * (dx * wx + dy * wy + dz * wz) / r + {N(math.sqrt(2.0 / DT))} * z) * {N(DPD_G)} + {N(DPD_A)}) * w / r AS ff FROM zz) {ENDS("dp", "ff")}""")
+def poly_sql(x: str, factors: tuple[float, ...]) -> str:
+    out = N(factors[0])
+    for c in factors[1:]:
+        out = f"({out} * {x} + {N(c)})"
+    return out
+
+
+def noise_sql(rows: str, seed: int, step: int = 0) -> str:
+    """CTEs to zz: rows with z, a normal number of each pair."""
+    p, o, f = integrate.PRIME, integrate.OTHER, integrate.FACTORS
+    tail = f"{poly_sql('t', integrate.NORMAL_C)} / {poly_sql('t', integrate.NORMAL_D)}"
+    return f"""n1 AS (SELECT *, least(i, j) % {p} AS lo, greatest(i, j) % {p} AS hi FROM {rows}), n2 AS (SELECT *, (lo * {f[0]} + hi * {f[1]} + {(seed * 1000003 + step) % p * f[2]}) % {p} AS na FROM n1),
+n3 AS (SELECT *, (na * na) % {o} AS nb FROM n2), n4 AS (SELECT *, (nb * {f[3]} + hi * {f[4]} + lo) % {p} AS nc FROM n3), n5 AS (SELECT *, (((nc * nc) % {o} * {f[5]} + nb) % {p} + 0.5::DOUBLE) / {p}::DOUBLE AS u FROM n4),
+n6 AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS t, u - 0.5::DOUBLE AS h, (u - 0.5::DOUBLE) * (u - 0.5::DOUBLE) AS h2 FROM n5),
+zz AS (SELECT *, CASE WHEN u < {N(integrate.NORMAL_LOW)} THEN {tail} WHEN u > {N(1.0 - integrate.NORMAL_LOW)} THEN -({tail}) ELSE h * {poly_sql('h2', integrate.NORMAL_A)} / {poly_sql('h2', integrate.NORMAL_B)} END AS z, 1 - r / {N(RC)} AS w FROM n6)"""
+
+
+def dpd_sql(rows: str, step: int = 0) -> str:
+    return f"{noise_sql(rows, DPD_SEED, step)}, dp AS (SELECT *, -((-{N(DPD_G)} * w * (dx * wx + dy * wy + dz * wz) / r + {N(math.sqrt(2.0 / DT))} * z) * {N(DPD_G)} + {N(DPD_A)}) * w / r AS ff FROM zz) {ENDS('dp', 'ff')}"
+
+
+@query(f"{P}, {PR}, {dpd_sql('pr')}")
 def dpd_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps, box = water(spark, sf_dir)
     return rounded(pairs.both_ends(integrate.dpd_pairs(ps, box, DPD_A, DPD_G, DT, DPD_SEED)))
 
 
+PR2 = PR.replace("FROM p a JOIN p b", "FROM p2 a JOIN p2 b").replace("pr0", "qr0").replace("pr1", "qr1").replace("pr AS", "qr AS")
+
+
+@query(f"{P}, {PR}, {FS}, p2 AS (SELECT p.* EXCLUDE (vx, vy, vz), " + ", ".join(f"v{c} + {N(DT / 2)} * coalesce(f{c}, 0) / m AS v{c}" for c in "xyz") + f" FROM p LEFT JOIN fs USING (id)), {PR2}, {dpd_sql('qr', 3)}")
+def dpd_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dissipative forces of a run's third step, on velocities half a step on."""
+    rows = integrate.projected(massed(spark, sf_dir), pairs.both_ends(kept_pairs(spark, sf_dir)), DT)
+    return rounded(pairs.both_ends(integrate.dpd_pairs(rows, fixtures.box(spark, sf_dir), DPD_A, DPD_G, DT, DPD_SEED, 3)))
+
+
 # Rigid groups
 
 
@@ -499,18 +555,52 @@ def rigid_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.groups(ends)
 
 
-@query(f"{P} SELECT count(DISTINCT vid) AS groups, count(*) AS parts, true AS settled, true AS momentum_kept FROM p")
-def shake_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A free step of the water, then SHAKE: groups, whether residuals are within tolerance and momentum is kept."""
-    box = fixtures.box(spark, sf_dir)
+def free_step(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The water, and the water after a step without forces."""
     rows = massed(spark, sf_dir)
-    moved = rows.select("*", *[(F.col(c) + DT * F.col(v)).alias(f"n{c}") for c, v in zip("xyz", ("vx", "vy", "vz"), strict=True)])
-    state = moved.select(F.col("vid").alias("rid"), "id", "m", *[F.col(f"n{c}").alias(c) for c in "xyz"], "vx", "vy", "vz", *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    return rows, rows.withColumns({c: F.col(c) + DT * F.col(v) for c, v in zip("xyz", ("vx", "vy", "vz"), strict=True)})
+
+
+def constrained_step(spark: SparkSession, sf_dir: str, preconditioned: bool) -> DataFrame:
+    """A free step of the water, put back on its constraints: their squared lengths, and each molecule's momentum."""
+    before, after = free_step(spark, sf_dir)
+    box = fixtures.box(spark, sf_dir)
     edges = rigid_edges(spark, sf_dir).select(F.floor(F.col("i") / 3).alias("rid"), "i", "j", "d2")
-    found = constraints.shake(state, edges, box, DT)
-    drift = sum((F.abs(F.sum(F.col("m") * (F.col(f"found.{v}") - F.col(f"rows.{v}")))) for v in ("vx", "vy", "vz")), F.lit(0.0))
-    met = found.alias("found").join(rows.alias("rows"), "id")
-    return met.agg(F.count_distinct("rid").alias("groups"), F.count("*").alias("parts"), (F.max("residual") <= 1e-7).alias("settled"), (drift <= 1e-6 * F.sum("m")).alias("momentum_kept"))
+    found = settled(integrate.constrained(after, before, edges, box, DT, preconditioned))
+    lengths = bonded.named(bonded.placed(edges, found, "ij"), d=bonded.between("i", "j", box))
+    d2 = lengths.groupBy("rid").agg(*[F.round(f(bonded.dot(bonded.vec("d"), bonded.vec("d"))), 6).alias(n) for f, n in ((F.sum, "d2"), (F.max, "longest"))])
+    momentum = found.groupBy(F.col("vid").alias("rid")).agg(*[r4(F.sum(F.col("m") * F.col(f"v{c}"))).alias(f"p{c}") for c in "xyz"], r4(F.sum(F.col("m") * F.col("z"))).alias("mz"))
+    return momentum.join(d2, "rid")
+
+
+#: A constraint's length stays what it was, a molecule's momentum too, and its centre of mass moves as if it were free.
+SHAKEN = f"""{P}, l AS (SELECT a.vid AS rid, a.edge, a.x - b.x AS ux, a.y - b.y AS uy, a.z - b.z AS uz FROM p a JOIN p b ON a.vid = b.vid AND a.id < b.id), l1 AS (SELECT rid, {IMG("ux")} AS dx, {IMG("uy")} AS dy, {IMG("uz")} AS dz FROM l),
+l2 AS (SELECT rid, round(sum(dx * dx + dy * dy + dz * dz), 6) AS d2, round(max(dx * dx + dy * dy + dz * dz), 6) AS longest FROM l1 GROUP BY rid)
+SELECT vid AS rid, {RND("sum(m * vx)")} AS px, {RND("sum(m * vy)")} AS py, {RND("sum(m * vz)")} AS pz, {RND(f"sum(m * (z + {N(DT)} * vz))")} AS mz, any_value(d2) AS d2, any_value(longest) AS longest FROM p JOIN l2 ON vid = rid GROUP BY vid"""
+
+
+@query(SHAKEN)
+def shake_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constrained_step(spark, sf_dir, False)
+
+
+@query(SHAKEN)
+def pshake_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constrained_step(spark, sf_dir, True)
+
+
+@query("SELECT count(*) * 3 AS constraints, count(*) AS groups, count(*) * 3 AS parts FROM orders WHERE o_orderkey % 3 = 0")
+def constraint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.counted(rigid_edges(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS i, o_orderkey + s AS j, CASE s WHEN 1 THEN 4::DOUBLE ELSE 2::DOUBLE END AS d2 FROM orders, (VALUES (1), (2)) v(s) WHERE o_orderkey % 3 = 0")
+def constraints_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint given again, the other way round, takes its last length."""
+    o = fixtures.particles(spark, sf_dir).where("id % 3 = 0")
+    row = lambda i, j, d2: F.struct(i.alias("i"), j.alias("j"), F.lit(d2).alias("d2"))
+    some = o.select(F.explode(F.array(row(F.col("id"), F.col("id") + 1, 1.0), row(F.col("id"), F.col("id") + 2, 2.0))).alias("e")).select("e.*")
+    return constraints.added(some, o.select((F.col("id") + 1).alias("i"), F.col("id").alias("j"), F.lit(4.0).alias("d2")))
 
 
 # Force field
@@ -633,10 +723,9 @@ NBFIX OT HT 1 2 3 4
 
 
 def sample(spark: SparkSession, name: str, text: str) -> str:
-    """A small file of our own, in the shared folder if there is one."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).rstrip("/")
-    path = f"{folder}/lattica-samples/{name}"
-    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A small file of our own in the shared folder, under a name of its own."""
+    path = f"{shared_folder(spark)}/lattica-samples/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(path)
     return path
 
 
@@ -684,12 +773,18 @@ def pdb_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Long range
 
 
-@query(f"{P} SELECT count(*) AS parts, {RND('sum(q)')} AS q FROM p")
+W4 = lambda u: f"(CASE WHEN {u} <= 0 OR {u} >= 4 THEN 0 WHEN {u} < 1 THEN {u} * {u} * {u} / 6 WHEN {u} < 2 THEN (((-3 * {u} + 12) * {u} - 12) * {u} + 4) / 6 WHEN {u} < 3 THEN (((3 * {u} - 24) * {u} + 60) * {u} - 44) / 6 ELSE (4 - {u}) * (4 - {u}) * (4 - {u}) / 6 END)"
+#: Points along an edge: the smallest product of 2, 3 and 5 that is fine enough.
+MESH = f"ms AS (SELECT min(n) AS gn FROM (SELECT (pow(2, a.r) * pow(3, b.r) * pow(5, c.r))::BIGINT AS n FROM range(0, 12) a(r), range(0, 8) b(r), range(0, 6) c(r)), g WHERE n >= {2 * longrange.ORDER} AND n >= edge * {N(KAPPA)} / {N(longrange.SPACING)})"
+
+
+@query(f"""{P}, {MESH}, s AS (SELECT q, gn, {", ".join(f"{c} * (gn / edge) AS u{c}" for c in "xyz")} FROM p, ms),
+k AS (SELECT q, {", ".join(f"((floor(u{c})::BIGINT - {c}k.r + gn) % gn)::INT AS g{c}, {W4(f'(u{c} - floor(u{c}) + {c}k.r)')} AS w{c}" for c in "xyz")} FROM s, range(0, 4) xk(r), range(0, 4) yk(r), range(0, 4) zk(r))
+SELECT gx, gy, gz, {RND("sum(q * wx * wy * wz)")} AS q FROM k GROUP BY gx, gy, gz""")
 def spme_charge_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid holds all charge."""
+    """The charge on every point of the grid."""
     ps, box = water(spark, sf_dir)
-    grid = longrange.spread(ps, box, longrange.mesh(box, KAPPA)).agg(F.sum("q").alias("q"))
-    return ps.agg(F.count("*").alias("parts")).crossJoin(grid).select("parts", r4("q").alias("q"))
+    return longrange.spread(ps, box, longrange.mesh(box, KAPPA)).select("gx", "gy", "gz", r4("q").alias("q"))
 
 
 @query()
@@ -699,14 +794,202 @@ def spme_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longrange.energy(longrange.convolved(longrange.spread(ps, box, grid), box, grid, KAPPA)).select(r4("e").alias("e"))
 
 
+@query()
+def spme_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ps, box = water(spark, sf_dir)
+    grid = longrange.mesh(box, KAPPA)
+    phi = settled(longrange.convolved(longrange.spread(ps, box, grid), box, grid, KAPPA), "phi")
+    return rounded(longrange.forces(ps, phi, box, grid))
+
+
+# Inserts, unloads, lookups
+
+
+@query("SELECT o_orderkey AS id, (o_orderkey // 3)::BIGINT AS vid, 0::INT AS flags FROM orders")
+def particles_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ps = arrays.loaded(fixtures.particles(spark, sf_dir))
+    return arrays.added(ps.where("id % 50 <> 0"), ps.where("id % 50 = 0").drop("flags", "q")).select("id", "vid", "flags")
+
+
+@query(f"{P}, {PR}, {CD} SELECT (SELECT count(*) FROM p) AS n, count(*) AS pairs, {RND(f'sum({EX_E})')} AS epot FROM pr")
+def unload_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All particles, and the energies of the cells summed up."""
+    ps, box = water(spark, sf_dir)
+    rows = pair_rows(spark, sf_dir, every_type(spark))
+    cells = observables.cell_energies(rows.withColumn("e", lj_coulomb(rows).e), binning.binned(ps, box)).agg(r4(F.sum("e")).alias("epot"))
+    return arrays.unloaded(ps, ("id",)).agg(F.count("*").alias("n")).join(rows.agg(F.count("*").alias("pairs")), F.lit(True)).join(cells, F.lit(True))
+
+
+@query(f"{P}, {BIN} SELECT cell, id, x, y, z FROM c WHERE cell % 3 = 0")
+def particles_unload_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = binning.binned(*water(spark, sf_dir))
+    return arrays.unloaded_cells(cells, cells.where("cell % 3 = 0").select("cell"), ("id", "x", "y", "z"))
+
+
+@query(f"{P}, {BIN} SELECT cell, id, vx FROM c WHERE id % 7 <> 0 AND cell % 2 = 0")
+def particles_stray_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = binning.binned(flagged(spark, sf_dir), fixtures.box(spark, sf_dir))
+    return arrays.strays(cells, cells.where("cell % 2 = 0").select("cell"), ("id", "vx"))
+
+
+@query(f"{fixtures.cte(True, False)} SELECT id, " + ", ".join(f"CASE WHEN id % 7 = 0 THEN {c} ELSE {c} - edge * floor({c} / edge) END AS {c}" for c in "xyz") + " FROM p")
+def particles_wrap_real(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.particles(spark, sf_dir, displaced=True, wrap=False).withColumn("flags", F.when(F.col("id") % 7 == 0, 2).otherwise(0))
+    return arrays.wrapped_real(raw, fixtures.box(spark, sf_dir)).select("id", "x", "y", "z")
+
+
+@query(f"{P} SELECT CASE type WHEN 0 THEN 'OT-0.8476' ELSE 'HT0.4238' END AS name, min(type) AS type, count(*) AS n FROM p GROUP BY 1")
+def type_lookup_by_name2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = fixtures.types(spark)
+    named = fixtures.particles(spark, sf_dir).join(types.select("type", F.col("name2").alias("name")), "type").select("id", "name")
+    return named.join(forcefield.type_of(types, "name2"), "name").groupBy("name").agg(F.min("type").alias("type"), F.count("*").alias("n"))
+
+
+@query(f"{BP} SELECT o // 3 AS aid, o AS i, o + 1 AS j, o + 2 AS k FROM v")
+def rigid_water_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the angles at oxygens and at first hydrogens, those at oxygens go."""
+    at_o = fixtures.angles(fixtures.particles(spark, sf_dir)).drop("pid")
+    at_h = at_o.select("aid", F.col("j").alias("i"), F.col("i").alias("j"), "k")
+    return forcefield.without_vertex(at_o.union(at_h), named_water(spark, sf_dir), "OT").select("aid", "i", "j", "k")
+
+
+@query("SELECT o_orderkey AS id, o_orderkey - o_orderkey % 3 AS vid FROM orders")
+def water_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forcefield.water_numbered(fixtures.particles(spark, sf_dir), named_water(spark, sf_dir)).select("id", "vid")
+
+
+@query(f"{PD}, {BONDS.replace('t AS', 'bb AS', 1)}, {ANGLES.replace('t AS', 'aa AS', 1)}, {DIHEDRALS.replace('t AS', 'dd AS', 1)}" + """
+SELECT 'atom' AS kind, count(*) AS n, sum(id)::BIGINT AS first, sum(type)::BIGINT AS last, round(sum(q), 4) + 0.0::DOUBLE AS q FROM p UNION ALL SELECT 'bond', count(*), sum(i)::BIGINT, sum(j)::BIGINT, 0 FROM bb
+UNION ALL SELECT 'angle', count(*), sum(i)::BIGINT, sum(k)::BIGINT, 0 FROM aa UNION ALL SELECT 'dihedral', count(*), sum(i)::BIGINT, sum(l)::BIGINT, 0 FROM dd""")
+def psf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The water written as a PSF and read again."""
+    ps = massed(spark, sf_dir).join(fixtures.types(spark).select("type", "name"), "type")
+    path = f"{shared_folder(spark)}/lattica-samples/dump-{uuid.uuid4().hex}"
+    structure.write_psf(path, ps, fixtures.bonds(ps), fixtures.angles(ps), fixtures.dihedrals(ps, ps.count()))
+    top = structure.read_psf(spark, path)
+    of = lambda df, kind, a, b, q: df.agg(F.count("*").alias("n"), F.sum(a).cast("long").alias("first"), F.sum(b).cast("long").alias("last"), q.alias("q")).select(F.lit(kind).alias("kind"), "n", "first", "last", "q")
+    none = F.first(F.lit(0.0))
+    return of(top.atoms, "atom", "id", "type", r4(F.sum("q"))).union(of(top.bonds, "bond", "i", "j", none)).union(of(top.angles, "angle", "i", "k", none)).union(of(top.dihedrals, "dihedral", "i", "l", none))
+
+
+LJ_OO = "CASE WHEN ti + tj = 0 THEN {} ELSE 0 END"
+
+
+@query(f"{P}, {PR} SELECT 'none' AS mode, {RND('sum(' + LJ_OO.format(f'{LJ} * {SW}') + ')')} AS e FROM pr UNION ALL SELECT 'shifted', {RND('sum(' + LJ_OO.format(LJ) + f' + {K} * qq * (1 / r - 1 / {N(RC)}))')} FROM pr UNION ALL SELECT 'ewald', {RND('sum(' + LJ_OO.format(f'{LJ} * {SW}') + f' + {EW})')} FROM pr")
+def electrostatics_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term that each value of kappa selects, the first and last with a switch, over one set of pairs."""
+    rows = pair_rows(spark, sf_dir, every_type(spark))
+    terms = [pot.nonbonded(F.col("r2"), F.col("a"), F.col("b"), QQ(), kappa, RC, on) for kappa, on in ((-1.0, ON), (0.0, None), (KAPPA, ON))]
+    sums = rows.agg(*[r4(F.sum(t.e)).alias(forcefield.electrostatics(k)) for t, k in zip(terms, (-1.0, 0.0, KAPPA), strict=True)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("e")) for m in sums.columns])).alias("x")).select("x.*")
+
+
+@query("SELECT * FROM (VALUES ('pair', 0::INT, 1::INT, 1.5::DOUBLE, 2.5::DOUBLE), ('pair', 1, 0, 1.5, 2.5), ('pair', 0, 0, 3.0, 4.0), ('bond', 0, 1, 9.0, 0.1), ('bond', 1, 0, 9.0, 0.1), ('type', 0, 0, 15.9994, -0.8476), ('type', 1, 0, 1.00794, 0.4238), ('exclusion', 0, 1, 0.0, 0.0), ('topology', 1, 1, 1.0, 0.0)) t(kind, i, j, a, b)")
+def registered_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species, potentials and topology as the builders give them."""
+    field, top = ForceField(), TopologyBuilder()
+    o, h = field.add_type("OT", 15.9994, -0.8476), field.add_type("HT", 1.00794, 0.4238)
+    field.add_pair(o, h, 1.0, 1.0)
+    field.add_pair(h, o, 1.5, 2.5)
+    field.add_pair(o, o, 3.0, 4.0)
+    field.add_bond(h, o, 9.0, 0.1)
+    top.add_bond(0, 1)
+    top.add_angle(1, 0, 2, field.add_angle(5.0, 1.9))
+    top.add_dihedral(0, 1, 2, 3, field.add_dihedral(1.0, 3, 0.0))
+    top.add_exclusion(1, 0)
+    t, u = field.tables(spark), top.tables(spark)
+    row = lambda df, kind, i, j, a, b: df.select(F.lit(kind).alias("kind"), F.col(i).cast("int").alias("i"), F.col(j).cast("int").alias("j"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    c, zero = F.col, F.lit(0.0)
+    counts = u["bonds"].select(F.lit(1).alias("one")).groupBy("one").count().join(u["angles"].agg(F.count("*").alias("m")), F.lit(True)).join(u["dihedrals"].agg(F.count("*").alias("k")), F.lit(True))
+    return row(t["pair_pot"], "pair", "type_i", "type_j", c("a"), c("b")).union(row(t["bond_pot"], "bond", "type_i", "type_j", c("k"), c("r0"))).union(row(t["types"].withColumn("zero", F.lit(0)), "type", "type", "zero", c("mass"), c("charge"))).union(row(u["exclusions"], "exclusion", "i", "j", zero, zero)).union(row(counts, "topology", "count", "m", c("k"), zero))
+
+
+SPEED, V_SEED = 0.7, 11
+
+
+def drawn_sql(step: int) -> str:
+    """The uniform number of a particle."""
+    p, o, f = integrate.PRIME, integrate.OTHER, integrate.FACTORS
+    a = f"((id % {p} * {f[0]} + id % {p} * {f[1]} + {(V_SEED * 1000003 + step) % p * f[2]}) % {p})"
+    b = f"(({a} * {a}) % {o})"
+    c = f"(({b} * {f[3]} + id % {p} * {f[4]} + id % {p}) % {p})"
+    return f"(((({c} * {c}) % {o} * {f[5]} + {b}) % {p} + 0.5::DOUBLE) / {p}::DOUBLE)"
+
+
+@query(f"""n AS (SELECT count(*) AS atoms FROM orders), g AS (SELECT min(r) AS nx FROM n, range(1, 2000) AS t(r) WHERE r * r * r >= atoms), l AS (SELECT r AS id, nx FROM n, g, range(0, 10000000) t(r) WHERE r < atoms),
+p AS (SELECT id, (id // (nx * nx) + 0.5::DOUBLE) * (3::DOUBLE / nx) AS x, ((id // nx) % nx + 0.5::DOUBLE) * (3::DOUBLE / nx) AS y, (id % nx + 0.5::DOUBLE) * (3::DOUBLE / nx) AS z, 2 * {drawn_sql(1)} - 1 AS up, 2 * pi() * {drawn_sql(2)} AS turn FROM l),
+v AS (SELECT *, {SPEED}::DOUBLE * sqrt(1 - up * up) * cos(turn) AS vx, {SPEED}::DOUBLE * sqrt(1 - up * up) * sin(turn) AS vy, {SPEED}::DOUBLE * up AS vz FROM p), c AS (SELECT avg(vx) AS ax, avg(vy) AS ay, avg(vz) AS az FROM v)
+SELECT id, {RND("x")} AS x, {RND("y")} AS y, {RND("z")} AS z, {RND("vx - ax")} AS vx, {RND("vy - ay")} AS vy, {RND("vz - az")} AS vz FROM v, c""")
+def lattice_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many particles as orders on a cubic lattice, with random velocities of one speed and no drift."""
+    box = Box((0.0,) * 3, (3.0,) * 3, 0.7)
+    ps = fixtures.lattice(spark, fixtures.orders(spark, sf_dir).count(), box, 39.948, SPEED, V_SEED)
+    return ps.select("id", *[r4(c).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
+
+
+@query(f"{ALL}, e AS (SELECT 'bond' AS term, count(*) AS n, sum(188280::DOUBLE * (r0 - 0.09572::DOUBLE) * (r0 - 0.09572::DOUBLE)) AS e FROM (SELECT greatest({N(BOND_A)}, least({N(BOND_B)}, r)) AS r0 FROM bt) UNION ALL SELECT 'angle', count(*), sum(230.12::DOUBLE * (theta - 104.52::DOUBLE * pi() / 180) * (theta - 104.52::DOUBLE * pi() / 180)) FROM ang UNION ALL SELECT 'dihedral', count(*), sum(0.8368::DOUBLE * (1 + cos(3 * phi))) FROM dt) SELECT term, n, round(e, 3) AS e FROM e")
+def parsed_field_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter file read, assigned to the topology by species and evaluated, each interaction with its own line."""
+    p = parameters.read_charmm(spark, sample(spark, "charmm", CHARMM))
+    ps, box = water(spark, sf_dir, True)
+    named = named_water(spark, sf_dir)
+    lengths = forcefield.assigned_bonds(fixtures.bonds(ps), named, p.bonds).select("bid", "i", "j", "force", "r0")
+    kinds = p.bonds.join(forcefield.type_of(fixtures.types(spark)).select(F.col("name").alias("t1"), F.col("type").alias("type_i")), "t1").join(forcefield.type_of(fixtures.types(spark)).select(F.col("name").alias("t2"), F.col("type").alias("type_j")), "t2")
+    both = kinds.select("type_i", "type_j", F.col("force").alias("k"), "r0").unionByName(kinds.select(F.col("type_j").alias("type_i"), F.col("type_i").alias("type_j"), F.col("force").alias("k"), "r0"))
+    bond = bonded.bond_terms(lengths.select("bid", "i", "j"), ps, both.withColumns({"a": F.lit(BOND_A), "b": F.lit(BOND_B)}), box)
+    angles = forcefield.assigned_angles(fixtures.angles(ps).drop("pid"), named, p.angles).select("aid", "i", "j", "k", "force", "theta0")
+    dihedrals = forcefield.assigned_dihedrals(fixtures.dihedrals(ps, ps.count()), named, p.dihedrals).select("did", "i", "j", "k", "l", "force", "n", "delta")
+    found = {"bond": bond, "angle": bonded.angle_terms(angles, ps, box, F.col("force"), F.col("theta0")), "dihedral": bonded.dihedral_terms(dihedrals, ps, box, F.col("force"), F.col("n"), F.col("delta"))}
+    rows = [df.agg(F.count("*").alias("n"), F.round(F.sum("e"), 3).alias("e")).select(F.lit(k).alias("term"), "n", "e") for k, df in found.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 # Runs
 
 
-def system(spark: SparkSession, sf_dir: str) -> ParticleSystem:
-    return ParticleSystem(massed(spark, sf_dir), fixtures.box(spark, sf_dir), every_type(spark), lj_coulomb, exclusions(spark, sf_dir))
+def system(spark: SparkSession, sf_dir: str, **more: object) -> ParticleSystem:
+    return ParticleSystem(massed(spark, sf_dir), fixtures.box(spark, sf_dir), every_type(spark), lj_coulomb, exclusions(spark, sf_dir), **more)
+
+
+def flexible(spark: SparkSession, sf_dir: str, **more: object) -> ParticleSystem:
+    """The displaced water with bonds, angles and dihedrals."""
+    ps = massed(spark, sf_dir, True)
+    angles = fixtures.angles(ps).withColumns({"force": F.lit(ANGLE_K), "theta0": F.lit(THETA0)})
+    dihedrals = fixtures.dihedrals(ps, ps.count()).withColumns({"force": F.lit(DIH_K), "n": F.lit(DIH_N), "delta": F.lit(0.0)})
+    return ParticleSystem(ps, fixtures.box(spark, sf_dir), every_type(spark), lj_coulomb, exclusions(spark, sf_dir), fixtures.bonds(ps), bond_pot(spark), angles, dihedrals, **more)
+
+
+RAW = lambda rows, parts: " UNION ALL ".join(f"SELECT {e} AS id, {g.format(c='x')} AS fx, {g.format(c='y')} AS fy, {g.format(c='z')} AS fz FROM {rows}" for e, g in parts.items())
+F_BOND = f"(2 * {N(BOND_K)} * (r - {N(BOND_R0)}) / r)"
+ALL_ENDS = " UNION ALL ".join((
+    PAIR_ENDS(F_SQL, "mi <> mj"), RAW("bt", {"i": f"-{F_BOND} * d{{c}}", "j": f"{F_BOND} * d{{c}}"}), RAW("ang", {"i": ANGLE_I, "k": ANGLE_K_, "j": f"-({ANGLE_I}) - ({ANGLE_K_})"}),
+    RAW("dt", {"i": S_DIH + " * " + DIH_I, "l": S_DIH + " * " + DIH_L, "j": f"{S_DIH} * ({DIH_MID} - {DIH_I})", "k": f"-{S_DIH} * ({DIH_MID} + {DIH_L})"}),
+))
+
+
+@query(f"{ALL}, fs AS ({SUMS(ALL_ENDS)}), v1 AS (SELECT id, p.edge, x, y, z, " + ", ".join(f"v{c} + {N(DT)} * coalesce(f{c}, 0) / m AS v{c}" for c in "xyz") + " FROM p LEFT JOIN fs USING (id)), x1 AS (SELECT id, vx, vy, vz, edge, " + ", ".join(f"{c} + {N(DT)} * v{c} AS {c}" for c in "xyz") + " FROM v1) SELECT id, " + ", ".join(f"round({c} - edge * floor({c} / edge), 3) + 0.0::DOUBLE AS {c}, round(v{c}, 3) + 0.0::DOUBLE AS v{c}" for c in "xyz") + " FROM x1")
+def full_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step under pairs, bonds, angles and dihedrals."""
+    return flexible(spark, sf_dir).step(DT).particles.select("id", *[(F.round(c, 3) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
+
+
+@query(f"{ALL} SELECT {RND(f'(SELECT sum({EX_E}) FROM pr WHERE mi <> mj)')} AS nonbond, {RND(f'(SELECT sum({E_BOND}) FROM bt)')} AS bond, {RND(f'(SELECT sum({E_ANGLE}) FROM ang)')} AS angle, {RND(f'(SELECT sum({E_DIH}) FROM dt)')} AS dihedral, {RND(EK)} AS ekin FROM p")
+def state_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports of a state, by class."""
+    return flexible(spark, sf_dir).stats(0).select(*[r4(c).alias(c) for c in (*CLASSES, "ekin")])
 
 
 @query()
 def trajectory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rows = system(spark, sf_dir).trajectory(5, DT)
+    """Three steps of the rigid water: constraints, thermostat, and a list of pairs kept while it lasts."""
+    edges = rigid_edges(spark, sf_dir).select(F.floor(F.col("i") / 3).alias("rid"), "i", "j", "d2")
+    _, rows = system(spark, sf_dir, constraints=settled(edges, "constraints"), heat=(300.0, 0.1), skin=SKIN).trajectory(3, DT)
     return rows.select("step", *[F.round(c, 3).alias(c) for c in ("epot", "ekin", "temperature")])
+
+
+@query("SELECT s AS step, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM orders, (VALUES (1), (2)) v(s) GROUP BY s")
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of a run that were put away, read again."""
+    folder = f"{shared_folder(spark)}/lattica-snapshots-{uuid.uuid4().hex}"
+    system(spark, sf_dir).trajectory(2, DT, every=1, folder=folder)
+    return spark.read.parquet(folder).groupBy(F.col("step").cast("int").alias("step")).agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("ids"))

@@ -4,65 +4,134 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.potentials import Term
-from lattica.operators import observables
-from lattica.operators.binning import differences
-from lattica.operators.integrate import advanced
-from lattica.operators.pairs import PAIR, both_ends, neighbour_pairs, with_potential, without_exclusions
+from lattica.operators import bonded, observables
+from lattica.operators.binning import differences, wrapped
+from lattica.operators.integrate import FORCES, constrained, dpd_pairs, moved, projected, thermostat
+from lattica.operators.pairs import PAIR, neighbour_pairs, with_potential
 from lattica.operators.state import settled
 from lattica.schema import Box
 
+#: Classes of energy, each a column of ParticleSystem.work().
+CLASSES = ("nonbond", "bond", "angle", "dihedral")
+
 
 @dataclass(frozen=True)
 class ParticleSystem:
-    """particles carry m; pair_pot has each type pair in both orders; term makes energy and force of a joined pair."""
+    """particles carry m; pair_pot has each type pair in both orders; term makes energy and force of a joined pair.
+
+    exclusions (i, j) take no part in pairs; bonds and bond_pot are bond_terms'; angles carry force and theta0, dihedrals
+    force, n and delta, as a parameter file's assignment gives them. constraints (rid, i, j, d2) are kept in each step;
+    heat is (target, strength) of the thermostat; dpd (alpha, gamma, seed) adds dissipative forces; with a skin the pairs
+    of one state serve the steps after it until a particle has moved too far.
+    """
 
     particles: DataFrame
     box: Box
     pair_pot: DataFrame
     term: Callable[[DataFrame], Term]
     exclusions: DataFrame | None = None
+    bonds: DataFrame | None = None
+    bond_pot: DataFrame | None = None
+    angles: DataFrame | None = None
+    dihedrals: DataFrame | None = None
+    constraints: DataFrame | None = None
+    preconditioned: bool = False
+    heat: tuple[float, float] | None = None
+    dpd: tuple[float, float, int] | None = None
+    skin: float = 0.0
+    kept: SkinList | None = None
 
     def pairs(self) -> DataFrame:
-        found = with_potential(neighbour_pairs(self.particles, self.box), self.pair_pot)
-        return without_exclusions(found, self.exclusions) if self.exclusions is not None else found
+        found = self.kept.pairs(self.particles) if self.kept else neighbour_pairs(self.particles, self.box, PAIR, self.exclusions)
+        return with_potential(found, self.pair_pot)
 
     def terms(self) -> DataFrame:
         rows = self.pairs()
         t = self.term(rows)
         return rows.withColumns({"e": t.e, "f": t.f})
 
-    def forces(self) -> DataFrame:
-        return both_ends(self.terms())
+    def parts(self) -> dict[str, tuple[DataFrame, dict[str, bonded.Vec]]]:
+        """Every class's interactions, with the force on each of their ends."""
+        out = {"nonbond": bonded.bond_parts(self.terms())}
+        if self.bonds is not None and self.bond_pot is not None:
+            out["bond"] = bonded.bond_parts(bonded.bond_terms(self.bonds, self.particles, self.bond_pot, self.box))
+        if self.angles is not None:
+            out["angle"] = bonded.angle_parts(bonded.angle_terms(self.angles, self.particles, self.box, F.col("force"), F.col("theta0")))
+        if self.dihedrals is not None:
+            out["dihedral"] = bonded.dihedral_parts(bonded.dihedral_terms(self.dihedrals, self.particles, self.box, F.col("force"), F.col("n"), F.col("delta")))
+        return out
+
+    def work(self) -> DataFrame:
+        """(id, fx, fy, fz, nonbond, bond, angle, dihedral): the force on each particle and, by class, the energy of the
+        interactions whose first end it is. Forces and energies come from one pass over the interactions."""
+        ends = [bonded.ends(*p).withColumn("kind", F.lit(k)) for k, p in self.parts().items()]
+        energies = [F.sum(F.when(F.col("kind") == k, F.col("e")).otherwise(0.0)).alias(k) for k in CLASSES]
+        return reduce(DataFrame.union, ends).groupBy("id").agg(*[F.sum(c).alias(c) for c in FORCES], *energies)
 
-    def step(self, dt: float) -> ParticleSystem:
-        """One leapfrog step, lazy."""
-        return replace(self, particles=advanced(self.particles, self.forces(), dt, self.box))
+    def forces(self) -> DataFrame:
+        return self.work().select("id", *FORCES)
+
+    def step(self, dt: float, work: DataFrame | None = None, number: int = 0) -> ParticleSystem:
+        """One leapfrog step, lazy: forces (of work, if it is there), positions, constraints, thermostat, wrap. number
+        tells apart the noise of the steps of a run."""
+        forces = (self.work() if work is None else work).select("id", *FORCES)
+        if self.dpd:
+            alpha, gamma, seed = self.dpd
+            rows = dpd_pairs(projected(self.particles, forces, dt), self.box, alpha, gamma, dt, seed, number).withColumn("e", F.lit(0.0))
+            forces = forces.union(bonded.spread(*bonded.bond_parts(rows))).groupBy("id").agg(*[F.sum(c).alias(c) for c in FORCES])
+        now = moved(self.particles, forces, dt)
+        if self.constraints is not None:
+            now = constrained(now, self.particles, self.constraints, self.box, dt, self.preconditioned)
+        if self.heat:
+            now = thermostat(now, observables.temperature(now, self.fixed()), *self.heat)
+        return replace(self, particles=wrapped(now, self.box).select(*self.particles.columns))
+
+    def fixed(self) -> int:
+        """Degrees of freedom that the constraints take."""
+        return 0 if self.constraints is None else self.constraints.count()
 
     def settled(self) -> ParticleSystem:
-        """The particles written and reread, so that plans don't grow with steps and any executor can be lost."""
-        return replace(self, particles=settled(self.particles))
-
-    def stats(self, step: int) -> DataFrame:
-        """(step, epot, ekin, temperature)."""
-        epot = self.terms().agg(F.sum("e").alias("epot"))
-        return epot.crossJoin(observables.temperature(self.particles)).select(F.lit(step).alias("step"), "epot", "ekin", "temperature")
-
-    def trajectory(self, steps: int, dt: float) -> tuple[ParticleSystem, DataFrame]:
-        """The system after some steps and a row of stats for each."""
-        now, rows = self, None
+        """The particles written and reread, so that plans don't grow with steps and any executor can be lost; with a
+        skin, the list of pairs is made anew where it is stale."""
+        now = replace(self, particles=settled(self.particles))
+        if not self.skin or (now.kept and not now.kept.stale(now.particles)):
+            return now
+        return replace(now, kept=SkinList.made(now.particles, now.box, now.skin, now.exclusions))
+
+    def stats(self, step: int, work: DataFrame | None = None) -> DataFrame:
+        """(step, nonbond, bond, angle, dihedral, epot, ekin, temperature)."""
+        sums = (self.work() if work is None else work).agg(*[F.sum(k).alias(k) for k in CLASSES])
+        epot = sums.select("*", reduce(lambda a, b: a + b, [F.col(k) for k in CLASSES]).alias("epot"))
+        return epot.crossJoin(observables.temperature(self.particles, self.fixed())).select(F.lit(step).alias("step"), *CLASSES, "epot", "ekin", "temperature")
+
+    def trajectory(self, steps: int, dt: float, every: int = 0, folder: str | None = None) -> tuple[ParticleSystem, DataFrame]:
+        """The system after some steps and a row of stats for each. Interactions are worked out once for each state: a
+        step takes the forces that the stats before it were made with. With every, the particles of every such step are
+        added to folder, by step."""
+        now, rows = self.settled(), None
+        work = settled(now.work(), "work")
         for s in range(1, steps + 1):
-            now = now.step(dt).settled()
-            row = now.stats(s)
+            now = now.step(dt, work, s).settled()
+            work = settled(now.work(), "work")
+            row = now.stats(s, work)
             rows = row if rows is None else rows.union(row)
+            if every and s % every == 0:
+                snapshot(now.particles, s, str(folder))
         assert rows is not None
         return now, rows
 
 
+def snapshot(ps: DataFrame, step: int, folder: str) -> None:
+    """Adds a state to a folder of states, parted by step; a step written again is replaced."""
+    ps.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/step={step}")
+
+
 @dataclass(frozen=True)
 class SkinList:
     """Pairs within cutoff + skin of a state, kept until a particle has moved too far."""
@@ -73,13 +142,13 @@ class SkinList:
     ends: DataFrame
 
     @classmethod
-    def made(cls, ps: DataFrame, box: Box, skin: float) -> SkinList:
+    def made(cls, ps: DataFrame, box: Box, skin: float, exclusions: DataFrame | None = None) -> SkinList:
         wide = replace(box, cutoff=box.cutoff + skin)
-        return cls(box, skin, ps.select("id", "x", "y", "z"), neighbour_pairs(ps, wide).select("i", "j").persist())
+        return cls(box, skin, ps.select("id", "x", "y", "z"), settled(neighbour_pairs(ps, wide, PAIR, exclusions).select("i", "j"), "skin"))
 
     def stale(self, now: DataFrame) -> bool:
-        moved = observables.max_displacement(now, self.then, self.box)
-        return bool(observables.rebuild_needed(moved, self.skin, self.box.cutoff).first()["rebuild"])
+        found = observables.max_displacement(now, self.then, self.box)
+        return bool(observables.rebuild_needed(found, self.skin, self.box.cutoff).first()["rebuild"])
 
     def pairs(self, now: DataFrame) -> DataFrame:
         """The pairs within the cutoff now, from the kept list."""

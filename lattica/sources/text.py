@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.state import running, settled
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text): lines of a file of any size, or of a folder's files by name, numbered from 0."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_place"), F.col("value").alias("text"))
+    return running(settled(rows, "lines"), "line", "_file", "_place").select("line", "text")
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text): lines of one file in order, numbered from 0."""
+    """(line, text): lines of one small file (a table of parameters) in order, numbered from 0."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 

@@ -293,3 +293,196 @@ def test_pdb_round_trip(spark, tmp_path):
     (tmp_path / "b.pdb").write_text(text)
     got = structure.read_pdb(spark, f"file://{tmp_path}/b.pdb").toPandas()
     assert np.allclose(got["x"], [i * 0.1 for i in range(12)], atol=1e-4)
+
+
+# Whole steps
+
+
+def chain_system(spark, **more):
+    """A small gas with bonds, angles and dihedrals along its ids."""
+    s = small_system(spark, 64)
+    ids = range(0, 60, 4)
+    bonds = spark.createDataFrame([(i, i, i + 1) for i in ids], "bid long, i long, j long")
+    angles = spark.createDataFrame([(i, i, i + 1, i + 2, 20.0 + i, 1.8) for i in ids], "aid long, i long, j long, k long, force double, theta0 double")
+    dihedrals = spark.createDataFrame([(i, i, i + 1, i + 2, i + 3, 0.5, i % 7, 0.3 if i % 3 else 0.0) for i in ids], "did long, i long, j long, k long, l long, force double, n int, delta double")
+    bond_pot = spark.createDataFrame([(0, 0, 500.0, 0.4, 0.01, 2.0)], "type_i int, type_j int, k double, r0 double, a double, b double")
+    return ParticleSystem(s.particles, s.box, s.pair_pot, s.term, None, bonds, bond_pot, angles, dihedrals, **more)
+
+
+def energy(s):
+    row = s.stats(0).first()
+    return row.epot, row.ekin
+
+
+def test_work_is_minus_the_gradient(spark):
+    s = chain_system(spark)
+    f = {r.id: (r.fx, r.fy, r.fz) for r in s.work().collect()}
+    assert np.allclose(np.sum(list(f.values()), axis=0), 0, atol=1e-8)
+    h = 1e-5
+    for i, axis in ((0, "x"), (9, "y"), (30, "z")):
+        at = lambda d, i=i, axis=axis: energy(ParticleSystem(**{**s.__dict__, "particles": s.particles.withColumn(axis, F.col(axis) + F.when(F.col("id") == i, d).otherwise(0.0))}))[0]
+        assert f[i]["xyz".index(axis)] == pytest.approx(-(at(h) - at(-h)) / (2 * h), rel=1e-4, abs=1e-4)
+
+
+def test_whole_steps_keep_energy_and_momentum(spark, tmp_path):
+    """Without thermostat, energy (kinetic at the half step, so to first order) and momentum are kept; snapshots are there."""
+    s = chain_system(spark, skin=0.03)
+    after, rows = s.trajectory(4, 0.0005, every=2, folder=f"file://{tmp_path}/states")
+    total = [r.epot + r.ekin for r in rows.orderBy("step").collect()]
+    assert max(total) - min(total) < 0.02 * abs(total[0])
+    momentum = lambda ps: np.array(ps.agg(*[F.sum(F.col("m") * F.col(v)) for v in ("vx", "vy", "vz")]).first())
+    assert np.allclose(momentum(s.particles), momentum(after.particles), atol=1e-8)
+    states = spark.read.parquet(f"file://{tmp_path}/states")
+    assert {(r.step, r["count"]) for r in states.groupBy("step").count().collect()} == {(2, 64), (4, 64)}
+    last = states.where("step = 4").orderBy("id").select("x", "vx").toPandas()
+    assert np.allclose(last, after.particles.orderBy("id").select("x", "vx").toPandas())
+
+
+def test_a_step_makes_one_pair_join(spark):
+    """Forces and energies of a state come from one join on cells, and exclusions need no exchange above it."""
+    s = chain_system(spark)
+    plan = s.work()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("nx#") and plan.count("(nx#") <= 1
+    gone = spark.createDataFrame([(0, 1), (2, 3)], "i long, j long")
+    found = pairs.neighbour_pairs(s.particles, s.box, exclusions=gone)
+    tree = found._jdf.queryExecution().sparkPlan().toString()
+    above = tree[: tree.index("Join")] if "Join" in tree else tree
+    assert "Exchange" not in above and "LeftAnti" not in tree
+    a = {(min(r.i, r.j), max(r.i, r.j)) for r in found.collect()}
+    assert a == {(r.i, r.j) for r in pairs.all_pairs(s.particles, s.box).collect()} - {(0, 1), (2, 3)}
+
+
+def test_thermostat_and_noise_in_a_run(spark):
+    s = small_system(spark)
+    hot, rows = ParticleSystem(**{**s.__dict__, "heat": (50.0, 1.0)}).trajectory(1, 0.0005)
+    assert rows.first()["temperature"] == pytest.approx(50.0)
+    noisy = ParticleSystem(**{**s.__dict__, "dpd": (25.0, 4.5, 7)})
+    one, two = noisy.step(0.0005, number=1), noisy.step(0.0005, number=2)
+    p = lambda x: np.array(x.particles.agg(*[F.sum(F.col("m") * F.col(v)) for v in ("vx", "vy", "vz")]).first())
+    assert np.allclose(p(one), p(two), atol=1e-8) and one.particles.agg(F.sum(F.abs("vx"))).first() != two.particles.agg(F.sum(F.abs("vx"))).first()
+
+
+def rigid_molecules(spark, n=40):
+    """Bent chains of two to five parts, some with all distances fixed."""
+    rng = random.Random(8)
+    state, rules, nid = [], [], 0
+    for g in range(n):
+        size = 2 + g % 4
+        at = [np.array([rng.random() * 3 for _ in range(3)])]
+        for _ in range(size - 1):
+            step = np.array([rng.uniform(-1, 1) for _ in range(3)])
+            at.append(at[-1] + 0.12 * step / np.linalg.norm(step))
+        links = [(a, a + 1) for a in range(size - 1)] + ([(0, 2)] if size == 3 else [])
+        for k, x in enumerate(at):
+            new = x + np.array([rng.uniform(-0.004, 0.004) for _ in range(3)])
+            state.append((g, nid + k, 1.0 + k, *map(float, new), 0.1, 0.2, 0.3, *map(float, x)))
+        rules += [(g, nid + a, nid + b, float(np.sum((at[a] - at[b]) ** 2))) for a, b in links]
+        nid += size
+    cols = "rid long, id long, m double, x double, y double, z double, vx double, vy double, vz double, ox double, oy double, oz double"
+    return spark.createDataFrame(state, cols), spark.createDataFrame(rules, "rid long, i long, j long, d2 double")
+
+
+def test_both_solvers_agree(spark):
+    state, rules = rigid_molecules(spark)
+    box = Box((0.0,) * 3, (3.0,) * 3, 0.7)
+    a, b = (constraints.shake(state, rules, box, 0.002, tol=1e-12, preconditioned=p).toPandas().sort_values("id") for p in (False, True))
+    assert len(a) == state.count() and (a["residual"] < 1e-11).all() and (b["residual"] < 1e-11).all()
+    assert np.allclose(a[["x", "y", "z", "vx", "vy", "vz"]], b[["x", "y", "z", "vx", "vy", "vz"]], atol=1e-7)
+    assert b["sweeps"].mean() < a["sweeps"].mean()
+
+
+def test_groups_that_are_too_large(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(11)], "i long, j long")
+    with pytest.raises(ValueError, match="more than 10"):
+        constraints.groups(edges)
+    with pytest.raises(ValueError, match="more than 10"):
+        constraints.groups(spark.createDataFrame([(0, i) for i in range(1, 12)], "i long, j long"))
+
+
+def test_mesh_forces_are_minus_the_gradient(spark):
+    rng = random.Random(4)
+    parts = [(i, (-1.0) ** i, *[rng.random() * 2 for _ in range(3)]) for i in range(8)]
+    box, grid, kappa = Box((0.0,) * 3, (2.0,) * 3, 0.5), 32, 2.0
+
+    def phi(rows):
+        ps = spark.createDataFrame(rows, "id long, q double, x double, y double, z double")
+        return ps, longrange.convolved(longrange.spread(ps, box, grid), box, grid, kappa)
+
+    f = {r.id: (r.fx, r.fy, r.fz) for r in longrange.forces(*phi(parts), box, grid).collect()}
+    h = 1e-4
+    for i, axis in ((0, 0), (3, 1), (6, 2)):
+        up, down = (longrange.energy(phi([tuple(v + (d if k == i and n == 2 + axis else 0) for n, v in enumerate(p)) for k, p in enumerate(parts)])[1]).first()["e"] for d in (h, -h))
+        assert f[i][axis] == pytest.approx(-(up - down) / (2 * h), rel=1e-4, abs=1e-6)
+
+
+def test_splines(spark):
+    u = np.linspace(0.05, 3.95, 40)
+    df = spark.createDataFrame([(float(x),) for x in u], "u double").select(longrange.spline(F.col("u")).alias("w"), longrange.slope(F.col("u")).alias("d")).toPandas()
+    assert np.allclose(df["w"], longrange.cardinal(u, 4))
+    assert np.allclose(df["d"], longrange.cardinal(u, 3) - longrange.cardinal(u - 1, 3))
+
+
+def test_inverse_normal(spark):
+    from statistics import NormalDist
+
+    u = [1e-9, 1e-4, 0.02, 0.0243, 0.1, 0.5, 0.7, 0.9757, 0.99999]
+    got = spark.createDataFrame([(x,) for x in u], "u double").select(integrate.normal(F.col("u")).alias("z")).toPandas()["z"]
+    assert np.allclose(got, [NormalDist().inv_cdf(x) for x in u], rtol=2e-9, atol=1e-9)
+
+
+def test_noise_differs_by_step_and_pair(spark):
+    df = spark.range(300).select(F.col("id").alias("i"), (F.col("id") * 7 + 1).alias("j"))
+    a, b = (df.select(integrate.uniform(F.col("i"), F.col("j"), 7, s).alias("u")).toPandas()["u"] for s in (1, 2))
+    assert a.nunique() == b.nunique() == 300 and not set(a) & set(b) and abs(a.mean() - 0.5) < 0.06 and abs(np.corrcoef(a, b)[0, 1]) < 0.2
+
+
+def test_ids_by_place_and_running_sums(spark):
+    from lattica.operators.state import running
+    from lattica.sources import arrays
+
+    rng = random.Random(3)
+    rows = [(rng.random(), rng.random(), rng.random(), 0) for _ in range(500)]
+    got = arrays.loaded(spark.createDataFrame(rows, "x double, y double, z double, type int").repartition(7)).orderBy("id").collect()
+    assert [(r.id, r.x) for r in got] == [(i, x) for i, (x, *_) in enumerate(sorted(rows))]
+    sums = running(spark.createDataFrame([(i, i % 5) for i in range(200)], "k long, v long").repartition(5), "before", "k", of=F.col("v")).orderBy("k").collect()
+    assert [r.before for r in sums] == [sum(i % 5 for i in range(k)) for k in range(200)]
+
+
+def test_registry_checks():
+    from lattica.plans.registry import ForceField, TopologyBuilder
+
+    f, t = ForceField(), TopologyBuilder()
+    f.add_type("A", 1.0)
+    for bad in (lambda: f.add_type("A", 2.0), lambda: f.add_pair(0, 1, 1.0, 1.0), lambda: t.add_bond(1, 1), lambda: t.add_angle(0, 1, 0), lambda: t.add_exclusion(-1, 2)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_topology_appended(spark):
+    from lattica.plans.registry import more
+
+    table = spark.createDataFrame([(0, 5, 6), (1, 7, 8)], "bid long, i long, j long")
+    got = more(table, spark.createDataFrame([(3, 4), (1, 2)], "i long, j long"), "bid").orderBy("bid").collect()
+    assert [tuple(r) for r in got] == [(0, 5, 6), (1, 7, 8), (2, 1, 2), (3, 3, 4)]
+    assert [r.bid for r in more(table.limit(0), spark.createDataFrame([(3, 4)], "i long, j long"), "bid").collect()] == [0]
+
+
+def test_token_predicates(spark):
+    from lattica.sources import text
+
+    df = spark.createDataFrame([(c,) for c in (" ", "\t", "a", "!", "{", "\n")], "c string")
+    got = df.select(text.is_space(F.col("c")).alias("s"), text.starts_comment(F.col("c"), "!{").alias("b"), text.stops_comment(F.col("c")).alias("e")).collect()
+    assert [tuple(r) for r in got] == [(True, False, False), (True, False, False), (False, False, False), (False, True, False), (False, True, False), (True, False, True)]
+
+
+def test_psf_numbers_broken_into_lines(spark, tmp_path):
+    """Several rows to a line and rows across lines are read alike; excluded species are not written."""
+    from lattica.sources import structure
+
+    text = "PSF\n\n 4 !NATOM\n" + "".join(f" {k} W 1 WAT A{k} {'OT' if k % 2 else 'HT'} {0.5 * k} 1.0 0\n" for k in range(1, 5)) + "\n 3 !NBOND: bonds\n 1 2 1\n 3\n 2 4\n\n 1 !NTHETA: angles\n 2 1 3\n"
+    (tmp_path / "a.psf").write_text(text)
+    top = structure.read_psf(spark, f"file://{tmp_path}/a.psf")
+    assert [(r.bid, r.i, r.j) for r in top.bonds.orderBy("bid").collect()] == [(0, 0, 1), (1, 0, 2), (2, 1, 3)]
+    assert [(r.i, r.j, r.k) for r in top.angles.collect()] == [(1, 0, 2)] and top.dihedrals.count() == 0 and top.types.count() == 4
+    lines = structure.psf_lines(top.atoms, top.bonds, top.angles, top.dihedrals, ("HT",)).where("line like '%!%'").collect()
+    assert {r.line.split("!")[1].split(":")[0]: int(r.line.split()[0]) for r in lines} == {"NATOM": 2, "NBOND": 1, "NTHETA": 0, "NPHI": 0, "NIMPHI": 0}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller ones, so that a worker holds less as Python objects."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def file_system(path: str) -> tuple[object, str]:
     """A file system that executors can use, and the path in it."""
     from pyarrow import fs

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import parts_of
+
 BASE = ("email", "ip", "card", "phone")
 LABELS = ("", "person", "secret", "account")
 KINDS = {k: i for i, k in enumerate((*BASE, *LABELS[1:]))}
@@ -426,18 +428,11 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller ones, so that less is held as Python text."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 def report(docs: DataFrame) -> DataFrame:
     field = fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts_of(batches, 1000):
             cols: dict[str, list] = defaultdict(list)
             for base, spans in spans_of(b.column(1).to_pylist(), field):
                 for kind in BASE:
@@ -458,7 +453,7 @@ def mask(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _parts(batches):
+        for b in parts_of(batches, 1000):
             given = b.column(at).to_pylist()
             texts = [None if t is None else masked(t, spans) for t, (_, spans) in zip(given, spans_of(given, field), strict=True)]
             cols = list(b.columns)

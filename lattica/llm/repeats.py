@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import remove, written, written_at
+from lattica.llm.common import parts_of, remove, written, written_at
 
 LENGTH, GRAM = 100, 24
-FILE_ROWS, BLOCK_ROWS = 4096, 16_384
+FILE_ROWS, BLOCK_ROWS = 4096, 8192
 #: Bytes in a piece that anchors are found in at once; positions inside it take PLACE bits.
 PIECE, PLACE = 1 << 19, 20
 
@@ -127,7 +127,7 @@ def _found(base: DataFrame) -> DataFrame:
     come as rows without h, from byte s to byte e."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches, 2500):
             docs = sorted(((d, (t or "").encode("utf-8", "surrogatepass")) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), key=lambda x: x[0])
             ids = np.array([d for d, _ in docs], np.int64)
             doc, h, f, a, s, e = anchors(docs)
@@ -154,31 +154,29 @@ def _fragments(listed: DataFrame) -> DataFrame:
     half = (LENGTH - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                dids, starts, sizes, raws, cores, sides, hashes = [], [], [], [], [], [], []
-                for did, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    for m in marks:
-                        h, a, s, e = m["h"], m["a"], m["s"], m["e"]
-                        # windows that start over half bytes before the anchor hold the bytes from a - half;
-                        # the others hold those up to half bytes after the gram
-                        cut = min(max(a - half, s), e + 1)
-                        for side, lo, hi, core in ((0, s, cut - 1, data[a - half : a + GRAM] if a >= half else b""), (1, cut, e, data[a : a + GRAM + half])):
-                            if lo <= hi:
-                                dids.append(did)
-                                starts.append(lo)
-                                sizes.append(hi - lo + 1)
-                                raws.append(data[lo : hi + LENGTH])
-                                cores.append(core)
-                                sides.append(side)
-                                hashes.append(h)
-                if dids:
-                    width = GRAM + half
-                    grid = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in cores), np.uint8).reshape(-1, width)
-                    key = _mix(_words(grid, 2) ^ np.array(hashes, np.int64).view(np.uint64) + np.array(sides, np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(dids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], names=["key", "did", "lo", "n", "raw"])
+        for b in parts_of(batches, 500):
+            dids, starts, sizes, raws, cores, sides, hashes = [], [], [], [], [], [], []
+            for did, text, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                for m in marks:
+                    h, a, s, e = m["h"], m["a"], m["s"], m["e"]
+                    # windows that start over half bytes before the anchor hold the bytes from a - half;
+                    # the others hold those up to half bytes after the gram
+                    cut = min(max(a - half, s), e + 1)
+                    for side, lo, hi, core in ((0, s, cut - 1, data[a - half : a + GRAM] if a >= half else b""), (1, cut, e, data[a : a + GRAM + half])):
+                        if lo <= hi:
+                            dids.append(did)
+                            starts.append(lo)
+                            sizes.append(hi - lo + 1)
+                            raws.append(data[lo : hi + LENGTH])
+                            cores.append(core)
+                            sides.append(side)
+                            hashes.append(h)
+            if dids:
+                width = GRAM + half
+                grid = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in cores), np.uint8).reshape(-1, width)
+                key = _mix(_words(grid, 2) ^ np.array(hashes, np.int64).view(np.uint64) + np.array(sides, np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(dids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(raws, pa.binary())], names=["key", "did", "lo", "n", "raw"])
 
     return listed.mapInArrow(run, "key long, did long, lo int, n int, raw binary")
 
@@ -269,7 +267,7 @@ def _cut(joined: DataFrame) -> DataFrame:
     """From (doc_id, text, gone: array of (lo, hi) or null): what is left of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches, 1000):
             rows = []
             for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")

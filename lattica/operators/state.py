@@ -29,16 +29,19 @@ def settled(df: DataFrame, name: str = "state") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, before: str, *order: str, of: Column | None = None) -> DataFrame:
+def running(df: DataFrame, before: str | dict[str, Column], *order: str | Column, of: Column | None = None) -> DataFrame:
     """df, range-sorted by order and settled, with a column before: the sum of of (1 for each row, if left out) over all
-    rows before a row.
+    rows before a row. before may name several such columns, each with what it sums.
 
     Sums run inside each range and start from the sums of the ranges before, of which there are few; no task sees all rows.
     """
-    rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"), (F.lit(1) if of is None else of).cast("long").alias("_v"))
+    wanted = before if isinstance(before, dict) else {before: F.lit(1).cast("long") if of is None else of}
+    values = [v.alias(f"_v{k}") for k, v in enumerate(wanted.values())]
+    rows = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"), *values)
     rows = settled(rows, "ranges")
-    sums = rows.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    sums = rows.groupBy("_part").agg(*[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(values))])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_s{k}") for k in range(len(values))])
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, "_part").withColumn(before, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_part", "_at", "_v", "_start")
+    met = rows.join(starts, "_part").withColumns({name: F.col(f"_s{k}") + F.coalesce(F.sum(f"_v{k}").over(inside), F.lit(0)) for k, name in enumerate(wanted)})
+    return met.drop("_part", "_at", *[f"_{x}{k}" for x in "vs" for k in range(len(values))])

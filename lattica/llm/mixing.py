@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import word_count, written
+from lattica.operators.state import running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, DRAWS, SEED = 1.5, 2.0, 32, 17
@@ -31,26 +32,24 @@ def draw(doc_id: Column, k: int, seed: int = SEED) -> Column:
 
 
 def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Adds target to (source, source_size). One row per source, so the global order is over an aggregated table.
+    """(source, source_size, weight, target) from (source, source_size), a row per source.
 
     A source's cap binds below the level cap * size / weight; in order of that level the capped ones are a prefix, and
-    the rest share what the prefix leaves by weight.
+    the rest share what the prefix leaves by weight. Places and sums in that order run range by range, so sources may be
+    as many as hosts.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    n = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    ranked = sources.select("*", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), n + 1).alias("weight"))
+    by_name = F.col("source").asc_nulls_last()
+    ranked = running(sources.select("source", "source_size"), "n", by_name)
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("n"), F.lit(len(weights))).cast("int") + 1))
     ranked = ranked.withColumn("level", F.lit(float(cap)) * F.col("source_size") / F.col("weight"))
-    by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = ranked.select(
-        "*",
-        ((F.lit(float(share)) * F.sum("source_size").over(whole) - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)).alias("fill"),
-    )
-    water = F.max(F.when(F.col("fill") <= F.col("level"), F.col("fill"))).over(whole)  # the highest is the first that fits
+    ranked = running(ranked, {"size_before": F.col("source_size"), "weight_before": F.col("weight")}, "level", by_name)
+    ranked = written(ranked, "mix-levels")
+    total = ranked.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
+    fill = (F.lit(float(share) * float(total["s"] or 0)) - F.lit(float(cap)) * F.col("size_before")) / (F.lit(float(total["w"] or 0)) - F.col("weight_before"))
+    water = ranked.select("level", fill.alias("fill")).where("fill <= level").agg(F.max("fill")).first()[0]  # the highest is the first that fits
     top = F.lit(float(cap)) * F.col("source_size")
-    target = F.coalesce(F.least(top, water * F.col("weight")), top)
-    return shared.select("source", "source_size", "weight", target.alias("target"))
+    target = top if water is None else F.least(top, F.lit(water) * F.col("weight"))
+    return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
 def copies(rate: Column, u: Column) -> Column:

@@ -82,21 +82,14 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
 
 
 def spanning(fps: np.ndarray, table: np.ndarray, bits: int, split: int | None = None) -> list[tuple[int, int]]:
-    """Index pairs that connect what is linked. table: distances to the pivots. split: only pairs across this index."""
+    """Index pairs that connect what is linked, each with the first of its component. table: distances to the pivots.
+    split: only pairs across this index."""
     n = len(fps)
     label = np.arange(n)
     order = np.argsort(table[:, 0], kind="stable")
     near = table[order, 0].astype(np.int64)
     ends = np.searchsorted(near, near + bits, side="right")
     counts = ends - np.arange(n) - 1
-    out: list[tuple[int, int]] = []
-
-    def find(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return int(x)
-
     lo = 0
     while lo < n:  # rows of order, as many as make about two million pairs
         hi = max(lo + 1, int(np.searchsorted(np.cumsum(counts[lo:]), 2_000_000, side="right")) + lo)
@@ -112,13 +105,19 @@ def spanning(fps: np.ndarray, table: np.ndarray, bits: int, split: int | None =
             if far.any():
                 a, b = a[~far], b[~far]
         linked = np.bitwise_count(fps[a] ^ fps[b]) <= bits
-        for x, y in zip(a[linked].tolist(), b[linked].tolist(), strict=True):
-            i, j = find(x), find(y)
-            if i != j:
-                label[max(i, j)] = min(i, j)
-                out.append((x, y))
+        a, b = a[linked], b[linked]
+        while True:  # smallest labels go along all links at once, then along themselves
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
         lo = hi
-    return out
+    rest = np.flatnonzero(label != np.arange(n))
+    return list(zip(label[rest].tolist(), rest.tolist(), strict=True))
 
 
 def _small(fps: np.ndarray, table: np.ndarray, run: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

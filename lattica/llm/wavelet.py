@@ -24,11 +24,12 @@ from functools import cache, cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import file_system, new_path, write_file, written
 from lattica.llm.store import WIDTH, PieceStore, spread, text_bytes
+from lattica.operators.state import running
 
 MAGIC = b"WVLTMTX2"
 BLOCK_BITS = 1 << 17
@@ -378,8 +379,7 @@ def write_shards(docs: DataFrame, make_encoder: Callable[[], object], end_id: in
 
 def read_documents(spark: SparkSession, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files. start counts the ids of all before it."""
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    based = shards.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long").alias("base"))
+    based = running(shards, "base", "part", "seq", of=F.col("tokens")).select("file", F.col("base").cast("long").alias("base"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

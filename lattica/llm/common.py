@@ -82,6 +82,27 @@ def write_file(path: str, data: bytes) -> None:
     store.move(trial, at)
 
 
+
+class Scratch:
+    """Tables written inside a with block are removed at its end, but for those that it was told to keep."""
+
+    def __enter__(self) -> Scratch:
+        self.since, self.kept = len(_written), set()
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written_at(df, name)
+        self.kept.add(path)
+        return out
+
+    def __exit__(self, kind: type | None, *rest: object) -> None:
+        if kind is None:
+            gone = [x for x in _written[self.since :] if x[1] not in self.kept]
+            for spark, path in gone:
+                remove(spark, path)
+                _written.remove((spark, path))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

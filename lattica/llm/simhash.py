@@ -24,12 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import written
+from lattica.llm.common import Scratch, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BLOCKS, PIVOTS, FILE_ROWS = 6, 16, 4096
-#: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; shingles in a chunk.
-SHARED, SMALL, CHUNK = 4, 64, 1 << 19
+#: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; shingles in a chunk;
+#: buckets that a set's shingles are counted in; rows of counts in a chunk.
+SHARED, SMALL, CHUNK, BUCKETS, COUNTS = 4, 64, 1 << 19, 256, 2048
 #: Above this many distinct fingerprints, files are keyed by four of eight blocks instead of two of six.
 MANY = 50_000_000
 
@@ -285,6 +286,24 @@ def frequent(docs: DataFrame, shingle: int, most: int = 200_000) -> np.ndarray:
     return top.column("h").to_numpy()[::-1].view(np.uint64)
 
 
+def counted(found: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of BUCKETS buckets; 255 stands for more."""
+    return np.minimum(np.bincount((found & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _grid(column: pa.Array) -> np.ndarray:
+    """Counts of a column as a matrix."""
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
+    return raw[column.offset * BUCKETS : (column.offset + len(column)) * BUCKETS].reshape(-1, BUCKETS)
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether sets may have a similarity of 0.8: they share at most the smaller count of each bucket, so their distance
+    in counts is a lower bound of the shingles that they don't share. Nothing similar is discarded."""
+    both = np.minimum(x, y).sum(axis=-1, dtype=np.int64)
+    return (9 * both >= 4 * (nx.astype(np.int64) + ny)) | (x.max(axis=-1, initial=0) == 255) | (y.max(axis=-1, initial=0) == 255)
+
+
 def connecting(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Index pairs of similar sets that connect what is linked: each set meets all that no other has reached yet."""
     out: list[tuple[int, int]] = []
@@ -343,8 +362,9 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
 
     Sets are filed under each shingle of their prefix. First every set of a file is compared with the file's first, which
     connects most groups whatever their size. Then only files with sets that are still apart go on: in files of up to
-    small sets all pairs are counted, and those that meet SHARED times are compared; in larger files the sets themselves
-    meet, chunk by chunk. Nothing is lost.
+    small sets all pairs are counted, and those that meet SHARED times are compared; in larger files all sets meet, chunk
+    by chunk. Pairs are discarded by their counts in buckets, a table made once for each set, before the sets themselves
+    are fetched. Nothing is lost.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(row) if row else F.xxhash64("text")).alias("row"), "text")
@@ -354,11 +374,11 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(lo, 1000) for x in batches for lo in range(0, x.num_rows, 1000)):
             sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
-            cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "pre"])
+            cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(counted, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "c", "pre"])
 
-    marked = written(docs.mapInArrow(mark, "doc_id long, row long, sid long, n int, pre array<long>"), "near-sets")
-    filed = marked.dropDuplicates(["sid"]).select(F.explode("pre").alias("h"), "sid", "n")
+    marked = written(docs.mapInArrow(mark, "doc_id long, row long, sid long, n int, c binary, pre array<long>"), "near-sets")
+    filed = marked.select("sid", "n", "pre").dropDuplicates(["sid"]).select(F.explode("pre").alias("h"), "sid", "n")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of files of two sets or more, with the file's first set. Rows come sorted by h and sid."""
@@ -385,6 +405,25 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
         keys = written(first.select("k.doc_id", "k.row").distinct(), "near-texts")
         return written(_with(docs, keys).select("text").mapInArrow(again, "sid long, s array<long>").dropDuplicates(["sid"]), "near-shingles")
 
+    def counts_of(sids: DataFrame) -> DataFrame:
+        return marked.select("sid", "n", "c").join(sids.distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+
+    def bounded(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose counts allow that they are similar."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = may_be_similar(_grid(b.column(3)), _grid(b.column(5)), b.column(2).to_numpy(), b.column(4).to_numpy())
+                at = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
+
+        pairs = written(pairs, name)
+        each = counts_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+        x = each.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        y = each.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        met = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "ca", "nb", "cb")
+        return written(met.mapInArrow(run, "a long, b long"), f"{name}-bounded")
+
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         at = lambda c, s: sets.select(F.col("sid").alias(c), F.col("s").alias(s))
         enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
@@ -393,7 +432,7 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     # every set with the first of its files
     near = (5 * F.least("n", "ref_n") >= 4 * F.greatest("n", "ref_n")) & (F.col("sid") != F.col("ref"))
     stars = files.where(near).groupBy(F.col("ref").alias("a"), F.col("sid").alias("b")).count().where(f"count >= {SHARED}").select("a", "b")
-    stars = written(stars, "near-stars")
+    stars = bounded(stars, "near-stars")
     found = written(verified(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid")))), "near-star-links")
     roots = contracted(found).withColumnRenamed("node", "sid")
 
@@ -403,7 +442,7 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     left = placed.join(apart, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """h, a, b, 0 of pairs in small files; h, a, null, n of the rows of large ones."""
+        """h, a, b of pairs in small files; h, a, null, n, root of the rows of large ones."""
         for t in _files(batches):
             h, sid, n, root = (t.column(i).to_numpy() for i in range(4))
             _, sizes = _sizes(h)
@@ -421,18 +460,59 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
             a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
             b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(large), pa.int64())])
             sized = np.r_[np.zeros(len(i), np.int32), n[large]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[i], h[large]]), pa.array(np.r_[a, sid[large]]), b, pa.array(sized)], names=["h", "a", "b", "n"])
+            roots_ = np.r_[np.zeros(len(i), np.int64), root[large]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[h[i], h[large]]), pa.array(np.r_[a, sid[large]]), b, pa.array(sized), pa.array(roots_)], names=["h", "a", "b", "n", "root"])
+
+    met = written(left.mapInArrow(meet, "h long, a long, b long, n int, root long"), "near-met")
+    pairs = bounded(met.where("b is not null").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"), "near-pairs")
+    large = met.where("b is null").select("h", F.col("a").alias("sid"), "n", "root")
+
+    def chunked(rows: DataFrame, counts: DataFrame, *cols: str) -> DataFrame:
+        """Rows once for every two chunks of their file that they are in; counts: (h, chunks)."""
+        own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
+        others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, own).alias("ci"), F.greatest(c, own).alias("cj")))
+        two = F.filter(others, lambda p: (p["ci"] < p["cj"]) | (F.col("chunks") == 1))  # two chunks in one task hold their own pairs
+        return rows.join(counts, "h").select("h", "sid", *cols, F.explode(two).alias("p")).select("h", "p.ci", "p.cj", "sid", *cols)
+
+    def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(h, sid) of the sets that may be similar to one of another root. Whole chunks come sorted."""
+        key, held = None, []
 
-    met = written(left.mapInArrow(meet, "h long, a long, b long, n int"), "near-met")
-    pairs = written(met.where("b is not null").groupBy("a", "b").count().where(f"count >= {SHARED}").select("a", "b"), "near-pairs")
-    large = met.where("b is null").select("h", F.col("a").alias("sid"), "n")
+        def solve() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            n, root, c = t.column(4).to_numpy(), t.column(5).to_numpy(), np.concatenate([_grid(x.column(6)) for x in held])
+            hit = np.zeros(len(n), bool)
+            for i in range(len(n) - 1):
+                fits = (root[i + 1 :] != root[i]) & may_be_similar(c[i + 1 :], c[i][None], n[i + 1 :], n[i : i + 1])
+                hit[i + 1 :] |= fits
+                hit[i] |= fits.any()
+            at = pa.array(np.flatnonzero(hit))
+            return pa.RecordBatch.from_arrays([t.column(0).combine_chunks().take(at), t.column(3).combine_chunks().take(at)], names=["h", "sid"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(k).to_numpy() for k in range(3)])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]).tolist()
+            for lo, hi in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                if held and tuple(keys[:, lo]) != key:
+                    yield solve()
+                    held = []
+                key = tuple(keys[:, lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield solve()
+
+    rows = large.join(counts_of(large.select("sid")).select("sid", "c"), "sid")
+    whole = chunked(rows, large.groupBy("h").agg(F.ceil(F.count("*") / COUNTS).cast("int").alias("chunks")), "n", "root", "c")
+    whole = whole.repartition(parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj")
+    fit = whole.mapInArrow(partnered, "h long, sid long").distinct()
+    large = written(large.join(fit, ["h", "sid"], "left_semi").select("h", "sid", "n"), "near-large")
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(large.select("sid")))
 
-    counts = large.groupBy("h").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("n"))
-    own = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(F.least(c, own).alias("ci"), F.greatest(c, own).alias("cj")))
-    chunks = F.filter(others, lambda p: (p["ci"] < p["cj"]) | (F.col("n") == 1))  # two chunks in one task hold their own pairs
-    dealt = large.drop("n").join(counts, "h").select("h", "sid", F.explode(chunks).alias("p")).select("h", "p.ci", "p.cj", "sid")
+    # a chunk is as large as its sets, about CHUNK shingles
+    counts = large.groupBy("h").agg(F.ceil(F.sum("n") / chunk).cast("int").alias("chunks"))
+    dealt = chunked(large.drop("n"), counts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sids, held = None, [], []
@@ -468,12 +548,13 @@ def dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     cols = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*cols).alias("row"), "text", F.struct("*").alias("whole"))
-    marked, edges = similar(rows.select("doc_id", "row", "text"), shingle, row="row")
-    roots = contracted(edges).withColumnRenamed("node", "sid")
-    ranked = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("k")
-    first = marked.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(ranked).select("k.doc_id", "k.row")
-    first = written(first, "near-first")
-    many = written(marked.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "near-equal")
+    with Scratch() as scratch:
+        marked, edges = similar(rows.select("doc_id", "row", "text"), shingle, row="row")
+        roots = contracted(edges).withColumnRenamed("node", "sid")
+        ranked = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("k")
+        first = marked.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid")).agg(ranked).select("k.doc_id", "k.row")
+        first = scratch.keep(first, "near-first")
+        many = scratch.keep(marked.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "near-equal")
     kept = _with(rows, first)
     if many.isEmpty():
         return kept.select("whole.*")

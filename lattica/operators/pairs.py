@@ -75,3 +75,9 @@ def distinct_exclusions(*lists: DataFrame) -> DataFrame:
     for x in lists[1:]:
         union = union.union(x.select("i", "j"))
     return union.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+
+
+def exclusions_of(bonds: DataFrame | None = None, angles: DataFrame | None = None, dihedrals: DataFrame | None = None, constraints: DataFrame | None = None) -> DataFrame:
+    """(i, j), i < j, each once: the ends of all that is bonded or held at a distance."""
+    ends = [(bonds, "j"), (angles, "k"), (dihedrals, "l"), (constraints, "j")]
+    return distinct_exclusions(*[top.select("i", F.col(e).alias("j")) for top, e in ends if top is not None])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
 
 
+@lru_cache(maxsize=16)
+def _edge(spark: SparkSession, sf_dir: str) -> int:
+    return lattice_edge(orders(spark, sf_dir).count())
+
+
 def box(spark: SparkSession, sf_dir: str, cutoff: float = CUTOFF) -> Box:
-    edge = lattice_edge(orders(spark, sf_dir).count()) * SPACING
+    edge = _edge(spark, sf_dir) * SPACING
     return Box((0.0, 0.0, 0.0), (edge,) * 3, cutoff)
 
 
@@ -35,7 +42,7 @@ def wrapped(u: Column, edge: float) -> Column:
 def particles(spark: SparkSession, sf_dir: str, displaced: bool = False, wrap: bool = True) -> DataFrame:
     """The particle table. displaced adds small exact shifts, so that molecules differ."""
     keys = orders(spark, sf_dir)
-    nx = lattice_edge(keys.count())
+    nx = _edge(spark, sf_dir)  # counted once per session and table
     edge = nx * SPACING
     i = F.col("o_orderkey").cast("long")
     mol = F.floor(i / 3)

@@ -157,8 +157,7 @@ def particle_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_lookup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = fixtures.types(spark)
     named = fixtures.particles(spark, sf_dir).join(types.select("type", "name"), "type").select("id", "name")
-    first = types.groupBy("name").agg(F.min("type").alias("type"))
-    return named.join(first, "name").groupBy("name").agg(F.min("type").alias("type"), F.count("*").alias("n"))
+    return named.join(forcefield.type_of(types), "name").groupBy("name").agg(F.min("type").alias("type"), F.count("*").alias("n"))
 
 
 @query(f"""{P}, {CD},
@@ -349,8 +348,8 @@ def dihedral_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps = fixtures.particles(spark, sf_dir)
-    ends = fixtures.angles(ps).select(F.col("i"), F.col("k").alias("j"))
-    return pairs.distinct_exclusions(fixtures.bonds(ps), ends, fixtures.bonds(ps).select(F.col("j").alias("i"), F.col("i").alias("j")))
+    twice = fixtures.bonds(ps).select(F.col("j").alias("i"), F.col("i").alias("j"))
+    return pairs.exclusions_of(fixtures.bonds(ps).unionByName(twice, allowMissingColumns=True), fixtures.angles(ps))
 
 
 @query("SELECT a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b ON a.o_orderkey // 3 = b.o_orderkey // 3 AND a.o_orderkey < b.o_orderkey")
@@ -358,6 +357,13 @@ def exclusion_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exclusions(spark, sf_dir)
 
 
+@query(f"{P}, {DIHEDRALS} SELECT a.o_orderkey AS i, b.o_orderkey AS j FROM orders a JOIN orders b ON a.o_orderkey // 3 = b.o_orderkey // 3 AND a.o_orderkey < b.o_orderkey UNION SELECT i, l FROM t")
+def exclusions_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From bonds, angles, dihedrals and constraints."""
+    ps = fixtures.particles(spark, sf_dir)
+    return pairs.exclusions_of(fixtures.bonds(ps), fixtures.angles(ps), fixtures.dihedrals(ps, ps.count()), rigid_edges(spark, sf_dir))
+
+
 EX_E = f"((CASE WHEN ti + tj = 0 THEN {LJ} ELSE 0 END) + {K} * qq / r)"
 
 

@@ -78,9 +78,13 @@ def matrix(keys: list[bytes], width: int, kind: str) -> np.ndarray:
 
 def order(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each row, nearest first."""
-    out = np.empty((len(x), min(prefix, len(pivots))), np.uint16)
+    prefix = min(prefix, len(pivots))
+    out = np.empty((len(x), prefix), np.uint16)
     for lo in range(0, len(x), 4096):
-        out[lo : lo + 4096] = np.argsort(-(x[lo : lo + 4096].astype(float) @ pivots.T), axis=1, kind="stable")[:, :prefix]
+        far = -(x[lo : lo + 4096].astype(float) @ pivots.T)
+        near = np.sort(np.argpartition(far, prefix - 1, axis=1)[:, :prefix], axis=1) if prefix < len(pivots) else np.broadcast_to(np.arange(prefix), far.shape)
+        by = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+        out[lo : lo + 4096] = np.take_along_axis(near, by, axis=1)
     return out
 
 

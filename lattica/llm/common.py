@@ -60,6 +60,7 @@ def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def file_system(path: str) -> tuple[object, str]:

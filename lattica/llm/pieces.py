@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 class Pieces:
     """An encoder and decoder for a model file. unigram overrides the file's type."""
 
-    PAIRS = 300_000
+    PAIRS, PARTS = 200_000, 400_000
 
     def __init__(self, path: str, unigram: bool | None = None) -> None:
         import ahocorasick
@@ -76,7 +76,7 @@ class Pieces:
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.at = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
-        self.store = PieceStore("<u4")
+        self.store = PieceStore("<u4", self.PARTS)
         self.apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -206,10 +206,11 @@ def loaded(path: str) -> Pieces:
 
 def _coded(batch: pa.RecordBatch, p: Pieces) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
     """Runs of a batch of (doc_id, text): the rows, their ids in a row, how many each has, what they decode to."""
-    for lo, hi in slices(batch.column(1)):
+    for lo, hi in slices(batch.column(1), 1 << 20):
         rows = batch.slice(lo, hi - lo)
         ids, n = p.encode_column(rows.column(1))
         yield rows, ids, n, p.decode_all(ids, n)
+    pa.default_memory_pool().release_unused()
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

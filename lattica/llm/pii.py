@@ -100,9 +100,9 @@ SPACES = np.array([chr(c).isspace() for c in range(0x3002)])  # no space lies be
 INNER = re.compile(r"\w(?:[\w.@'-]*\w)?")
 FEATURES = ("bias", "hex_long", "mixed_long", "digits", "title", "cue_secret", "cue_person", "cue_account", "cue_harmless", "short_hop", "sentence_start")
 #: Distinct tokens that a process remembers, and the longest of them: bounds their bytes.
-KEPT_TOKENS, KEPT_LENGTH = 100_000, 32
+KEPT_TOKENS, KEPT_LENGTH = 40_000, 32
 #: Code points of the texts that are judged together; a longer text is judged alone.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 
 def _form(low: str) -> str:

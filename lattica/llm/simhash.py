@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Scratch, written
+from lattica.llm.common import Scratch, parts_of, written
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BLOCKS, PIVOTS, FILE_ROWS = 6, 16, 4096
@@ -281,7 +281,7 @@ def frequent(docs: DataFrame, shingle: int, most: int = 200_000) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], names=["h"])
 
     every = max(1, docs.count() // 10_000)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
     top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).toArrow()
     return top.column("h").to_numpy()[::-1].view(np.uint64)
 
@@ -372,7 +372,7 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     name = lambda x: _signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(lo, 1000) for x in batches for lo in range(0, x.num_rows, 1000)):
+        for b in parts_of(batches, 1000):
             sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
             cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(counted, sets)), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "c", "pre"])

@@ -3,7 +3,8 @@
 Texts are cut into pieces that a tokenizer solves one by one; pieces repeat, so each is solved once and remembered. A
 piece of up to WIDTH bytes is three words of eight bytes, the last with its size, so keys are exact. They are found by
 open addressing, with arrays instead of a loop over pieces. Longer pieces are solved whenever they come. When over
-ENTRIES pieces are held the store is emptied, and pieces are taken SLICE at a time, so its bytes are bounded.
+entries pieces are held those that came but once are dropped, and pieces are taken SLICE at a time, so its bytes are
+bounded.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class PieceStore:
-    ENTRIES, SLICE = 700_000, 250_000
+    ENTRIES, SLICE = 600_000, 120_000
 
-    def __init__(self, kind: np.dtype) -> None:
-        self.kind = np.dtype(kind)
-        self.slots = 1 << (2 * (self.ENTRIES + self.SLICE) - 1).bit_length()
+    def __init__(self, kind: np.dtype, entries: int | None = None) -> None:
+        self.kind, self.entries = np.dtype(kind), entries or self.ENTRIES
+        self.slots = 1 << (2 * (self.entries + self.SLICE) - 1).bit_length()
         self._empty()
 
     def _empty(self) -> None:
@@ -40,6 +41,16 @@ class PieceStore:
         self.start = np.empty(1 << 12, np.int64)
         self.n = np.empty(1 << 12, np.uint8)
         self.ids = np.empty(1 << 14, self.kind)
+        self.met = np.zeros(1 << 12, bool)
+
+    def _thin(self) -> None:
+        """Leaves what was asked for again since the store was last thinned, if that is half of what it holds or less."""
+        keep = np.flatnonzero(self.met[: self.count])
+        if len(keep) > self.entries // 2:
+            return self._empty()
+        keys, n, ids = self.keys[:, keep], self.n[keep], self.ids[spread(self.start[keep], self.n[keep].astype(np.int64))]
+        self._empty()
+        self._add(keys, self._hash(keys), ids, n.astype(np.int64))
 
     @staticmethod
     def _keys(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,6 +91,7 @@ class PieceStore:
             self.keys = np.concatenate([self.keys, np.empty_like(self.keys)], axis=1)
             self.start = np.concatenate([self.start, np.empty_like(self.start)])
             self.n = np.concatenate([self.n, np.empty_like(self.n)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         new = np.arange(self.count, self.count + more, dtype=np.int32)
@@ -102,13 +114,14 @@ class PieceStore:
             cuts = range(0, len(starts), self.SLICE)
             parts = [self.ids_of(data, starts[i : i + self.SLICE], sizes[i : i + self.SLICE], solve, None if alone is None else alone[i : i + self.SLICE]) for i in cuts]
             return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
-        if self.count > self.ENTRIES:
-            self._empty()
+        if self.count > self.entries:
+            self._thin()
         held = sizes <= WIDTH if alone is None else (sizes <= WIDTH) & ~alone
         short, long = np.flatnonzero(held), np.flatnonzero(~held)
         keys = self._keys(data, starts[short], sizes[short])
         h = self._hash(keys)
         at = self._find(keys, h)
+        self.met[at[at >= 0]] = True
         miss = np.flatnonzero(at < 0)
         while len(miss):
             _, first = np.unique(h[miss], return_index=True)

@@ -89,13 +89,15 @@ def polynomial(x: Column, factors: tuple[float, ...]) -> Column:
     return out
 
 
-def normal(u: Column) -> Column:
-    """Inverse of the normal distribution."""
-    q = u - 0.5
-    middle = q * polynomial(q * q, NORMAL_A) / polynomial(q * q, NORMAL_B)
-    t = F.sqrt(-2.0 * F.ln(F.least(u, 1.0 - u)))
-    tail = polynomial(t, NORMAL_C) / polynomial(t, NORMAL_D)
-    return F.when(u < NORMAL_LOW, tail).when(u > 1.0 - NORMAL_LOW, -tail).otherwise(middle)
+def with_normal(rows: DataFrame, u: Column, name: str) -> DataFrame:
+    """rows with a column of the inverse of the normal distribution at u. What its formula repeats are columns first, so
+    that each is worked out once and the generated code stays small enough to be compiled."""
+    least = F.least(F.col("_u"), 1.0 - F.col("_u"))
+    steps = rows.withColumn("_u", u).withColumns({"_t": F.sqrt(-2.0 * F.ln(least)), "_q": F.col("_u") - 0.5}).withColumn("_q2", F.col("_q") * F.col("_q"))
+    tail = polynomial(F.col("_t"), NORMAL_C) / polynomial(F.col("_t"), NORMAL_D)
+    middle = F.col("_q") * polynomial(F.col("_q2"), NORMAL_A) / polynomial(F.col("_q2"), NORMAL_B)
+    out = F.when(F.abs("_q") <= 0.5 - NORMAL_LOW, middle).otherwise(-F.signum("_q") * tail)
+    return steps.withColumn(name, out).drop("_u", "_t", "_q", "_q2")
 
 
 def random_velocities(ps: DataFrame, speed: float, seed: int) -> DataFrame:
@@ -122,7 +124,7 @@ def dpd_pairs(ps: DataFrame, box: Box, alpha: float, gamma: float, dt: float, se
     """
     pairs = neighbour_pairs(ps, box, ("id", "x", "y", "z", *V))
     r = F.sqrt("r2")
-    rows = pairs.withColumns({"r": r, "w": 1.0 - r / F.lit(box.cutoff), "z": normal(uniform(F.col("i"), F.col("j"), seed, step))})
+    rows = with_normal(pairs, uniform(F.col("i"), F.col("j"), seed, step), "z").withColumns({"r": r, "w": 1.0 - r / F.lit(box.cutoff)})
     along = sum((F.col(d) * (F.col(f"{v}_i") - F.col(f"{v}_j")) for d, v in zip(("dx", "dy", "dz"), V, strict=True)), F.lit(0.0)) / F.col("r")
     f = ((-F.lit(gamma) * F.col("w") * along + F.lit(math.sqrt(2.0 / dt)) * F.col("z")) * F.lit(gamma) + F.lit(alpha)) * F.col("w") / F.col("r")
     return rows.withColumn("f", -f)

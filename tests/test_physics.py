@@ -184,7 +184,7 @@ def test_dpd_noise_is_symmetric_and_normal(spark):
     df = spark.range(200).select(F.col("id").alias("i"), (F.col("id") * 3 + 1).alias("j"))
     a = df.select(integrate.uniform(F.col("i"), F.col("j"), 7).alias("a"), integrate.uniform(F.col("j"), F.col("i"), 7).alias("b")).toPandas()
     assert (a["a"] == a["b"]).all() and a["a"].between(0, 1).all() and a["a"].nunique() > 190
-    z = spark.createDataFrame([(0.5,), (0.975,), (0.1,)], "u double").select(integrate.normal(F.col("u")).alias("z")).toPandas()["z"]
+    z = integrate.with_normal(spark.createDataFrame([(0.5,), (0.975,), (0.1,)], "u double"), F.col("u"), "z").toPandas()["z"]
     assert np.allclose(z, [0.0, 1.95996, -1.28155], atol=1e-3)
 
 
@@ -426,7 +426,7 @@ def test_inverse_normal(spark):
     from statistics import NormalDist
 
     u = [1e-9, 1e-4, 0.02, 0.0243, 0.1, 0.5, 0.7, 0.9757, 0.99999]
-    got = spark.createDataFrame([(x,) for x in u], "u double").select(integrate.normal(F.col("u")).alias("z")).toPandas()["z"]
+    got = integrate.with_normal(spark.createDataFrame([(x,) for x in u], "u double").coalesce(1), F.col("u"), "z").toPandas()["z"]
     assert np.allclose(got, [NormalDist().inv_cdf(x) for x in u], rtol=2e-9, atol=1e-9)
 
 

@@ -98,13 +98,13 @@ def slots(spark: SparkSession, table: Table) -> DataFrame:
 
 
 def evaluated(rows: DataFrame, table: Table, r2: str = "r2") -> DataFrame:
-    """rows with e and f = (dE/dr) / r from a table: an equi-join on the slot of r with at most SLOTS small rows, whose size
-    Spark knows, then the last of the slot's pieces that starts at r or before."""
+    """rows with e and f = (dE/dr) / r from a table: an equi-join on the slot of r with SLOTS small rows at most, which
+    go to every task, then the last of the slot's pieces that starts at r or before."""
     index = slots(rows.sparkSession, table)
     n = min(SLOTS, 4 * len(table.coeffs))
     r = F.col("_r")
     slot = F.least(F.greatest(F.floor((r - table.a) * (n / (table.b - table.a))), F.lit(0)), F.lit(n - 1)).cast("int")
-    met = rows.withColumn("_r", F.sqrt(F.col(r2))).withColumn("slot", slot).join(index.withColumnRenamed("slot", "_slot"), F.col("slot") == F.col("_slot"))
+    met = rows.withColumn("_r", F.sqrt(F.col(r2))).withColumn("slot", slot).join(F.broadcast(index.withColumnRenamed("slot", "_slot")), F.col("slot") == F.col("_slot"))
     more = F.size(F.filter("pieces", lambda p: p["lo"] <= F.col("_r")))
     found = met.withColumn("_p", F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))).otherwise(F.get("pieces", F.greatest(more - 1, F.lit(0)))))
     found = found.withColumn("_t", (r - F.col("_p.lo")) / F.col("_p.half") - 1.0)

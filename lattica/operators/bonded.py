@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.potentials import Term, angle_energy, dihedral_energy, dihedral_energy_of, harmonic
 from lattica.operators.binning import image
+from lattica.operators.state import small
 from lattica.schema import GHOST, Box
 
 Vec = tuple[Column, Column, Column]
@@ -73,7 +74,7 @@ def spread(df: DataFrame, parts: dict[str, Vec]) -> DataFrame:
 def bond_terms(bonds: DataFrame, ps: DataFrame, bond_pot: DataFrame, box: Box) -> DataFrame:
     """bonds with dx, dy, dz, r2, e, f. bond_pot: (type_i, type_j, k, r0, a, b) in both orders; lengths are held to
     [a, b] for the energy, and bonds whose types have no potential are left out."""
-    rows = named(placed(bonds, ps, "ij"), d=between("i", "j", box)).join(bond_pot, ["type_i", "type_j"])
+    rows = named(placed(bonds, ps, "ij"), d=between("i", "j", box)).join(small(bond_pot), ["type_i", "type_j"])
     rows = rows.withColumn("r2", dot(vec("d"), vec("d")))
     r = F.sqrt(F.least(F.greatest(F.col("r2"), F.col("a") * F.col("a")), F.col("b") * F.col("b")))
     rows = rows.withColumn("r", r)
@@ -149,7 +150,7 @@ def dihedral_forces(terms: DataFrame) -> DataFrame:
 
 def excluded_terms(exclusions: DataFrame, ps: DataFrame, pair_pot: DataFrame, box: Box, term) -> DataFrame:  # noqa: ANN001
     """Excluded pairs within the cutoff that have a potential, with e negated: what to add to the pair energy."""
-    rows = named(placed(exclusions, ps, "ij"), d=between("i", "j", box)).join(pair_pot, ["type_i", "type_j"])
+    rows = named(placed(exclusions, ps, "ij"), d=between("i", "j", box)).join(small(pair_pot), ["type_i", "type_j"])
     rows = rows.withColumn("r2", dot(vec("d"), vec("d"))).where(F.col("r2") <= box.cutoff**2)
     t: Term = term(rows)
     return rows.withColumns({"e": -t.e, "f": -t.f})

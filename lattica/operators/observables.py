@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.binning import differences, half_shell
-from lattica.operators.state import running
+from lattica.operators.state import running, small
 from lattica.schema import GAS, Box
 
 V = ("vx", "vy", "vz")
@@ -16,7 +16,7 @@ V = ("vx", "vy", "vz")
 
 def massed(ps: DataFrame, types: DataFrame) -> DataFrame:
     """Adds m. types has a row per species."""
-    return ps.join(types.select("type", F.col("mass").alias("m")), "type")
+    return ps.join(small(types.select("type", F.col("mass").alias("m"))), "type")
 
 
 def square(*cols: str) -> Column:

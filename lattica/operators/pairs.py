@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.binning import _neighbours, binned, differences
+from lattica.operators.state import small
 from lattica.schema import Box
 
 PAIR = ("id", "type", "q", "x", "y", "z")
@@ -26,18 +27,21 @@ def neighbour_pairs(ps: DataFrame, box: Box, columns: tuple[str, ...] = PAIR, ex
         ends = F.explode(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("o")), F.struct(F.col("j").alias("id"), F.col("i").alias("o"))))
         partners = exclusions.select(ends.alias("e")).groupBy(F.col("e.id").alias("id")).agg(F.collect_set("e.o").alias("_out"))
         right = right.join(partners, "id", "left")
-    right = right.alias("b")
+    # merged, never broadcast: the copies' size is not in Spark's estimate, and a merge spills
+    right = right.hint("merge").alias("b")
     met = left.join(right, (F.col("a.nx") == F.col("b.cx")) & (F.col("a.ny") == F.col("b.cy")) & (F.col("a.nz") == F.col("b.cz")) & (~F.col("a.own") | (F.col("a.id") < F.col("b.id"))))
-    if exclusions is not None:
-        met = met.where(F.col("b._out").isNull() | ~F.array_contains(F.col("b._out"), F.col("a.id")))
     extra = [c for c in columns if c not in ("id", "x", "y", "z")]
     d = differences("a", "b", box)
     named = met.select(
         F.col("a.id").alias("i"), F.col("b.id").alias("j"), *[F.col(f"{t}.{c}").alias(f"{c}_{n}") for c in extra for t, n in (("a", "i"), ("b", "j"))],
-        *[x.alias(n) for x, n in zip(d, ("dx", "dy", "dz"), strict=True)],
+        *[x.alias(n) for x, n in zip(d, ("dx", "dy", "dz"), strict=True)], *([F.col("b._out").alias("_out")] if exclusions is not None else []),
     )
     r2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    return named.withColumn("r2", r2).where(F.col("r2") <= F.lit(box.cutoff * box.cutoff))
+    found = named.withColumn("r2", r2).where(F.col("r2") <= F.lit(box.cutoff * box.cutoff))
+    if exclusions is None:
+        return found
+    # after the distance, which leaves a fraction of the candidates
+    return found.where(F.col("_out").isNull() | ~F.array_contains("_out", F.col("i"))).drop("_out")
 
 
 def all_pairs(ps: DataFrame, box: Box, columns: tuple[str, ...] = PAIR) -> DataFrame:
@@ -51,8 +55,8 @@ def all_pairs(ps: DataFrame, box: Box, columns: tuple[str, ...] = PAIR) -> DataF
 
 def with_potential(pairs: DataFrame, pair_pot: DataFrame) -> DataFrame:
     """Pairs whose types interact, with the parameters. pair_pot holds each type pair in both orders; it has a row per
-    pair of species, and Spark broadcasts it after looking at its size."""
-    return pairs.join(pair_pot, ["type_i", "type_j"])
+    pair of species and is broadcast if it is small, so that pairs are not shuffled."""
+    return pairs.join(small(pair_pot), ["type_i", "type_j"])
 
 
 def both_ends(pairs: DataFrame, f: str = "f") -> DataFrame:

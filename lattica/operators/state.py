@@ -29,6 +29,16 @@ def settled(df: DataFrame, name: str = "state") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of species or of pairs of them that goes to every task, at most.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint, if it was counted to have most rows at most; else as it is, to be joined by a shuffle. For
+    tables made on the driver, whose size Spark does not know."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def running(df: DataFrame, before: str | dict[str, Column], *order: str | Column, of: Column | None = None) -> DataFrame:
     """df, range-sorted by order and settled, with a column before: the sum of of (1 for each row, if left out) over all
     rows before a row. before may name several such columns, each with what it sums.

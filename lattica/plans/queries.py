@@ -797,7 +797,7 @@ def spme_charge_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spme_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps, box = water(spark, sf_dir)
     grid = longrange.mesh(box, KAPPA)
-    return longrange.energy(longrange.convolved(longrange.spread(ps, box, grid), box, grid, KAPPA)).select(r4("e").alias("e"))
+    return longrange.mesh_energy(longrange.transformed(ps, box, grid), box, grid, KAPPA).select(r4("e").alias("e"))
 
 
 @query()

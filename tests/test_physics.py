@@ -415,6 +415,38 @@ def test_mesh_forces_are_minus_the_gradient(spark):
         assert f[i][axis] == pytest.approx(-(up - down) / (2 * h), rel=1e-4, abs=1e-6)
 
 
+def test_mesh_by_slabs(spark):
+    """Energy and forces from slabs are those of the grid in rows, also on an odd grid, where most planes are empty and where
+    charges or places are missing; the rows are held to one transform of the whole grid."""
+    rng, grid = random.Random(6), 45
+    box, kappa = Box((-0.5, 0.25, 1.0), (2.0, 2.5, 3.0), 0.5), 2.0
+    parts = [(i, (-1.0) ** i, *[o + rng.random() * d * (0.1 if i < 6 else 1.2) for o, d in zip(box.origin, box.dim, strict=True)]) for i in range(9)]
+    parts += [(9, None, 0.0, 1.0, 2.0), (10, 1.0, None, 1.0, 2.0)]
+    for rows in (parts, parts[:6]):
+        ps = spark.createDataFrame(rows, "id long, q double, x double, y double, z double")
+        phi = longrange.convolved(longrange.spread(ps.dropna(), box, grid), box, grid, kappa)
+        planes = longrange.transformed(ps, box, grid)
+        e, want = (x.first()["e"] for x in (longrange.mesh_energy(planes, box, grid, kappa), longrange.energy(phi)))
+        assert (e is None and want is None) or e == pytest.approx(want, rel=1e-9, abs=1e-12)
+        want = {r.id: (r.fx, r.fy, r.fz) for r in longrange.forces(ps.dropna(), phi, box, grid).collect()}
+        got = {r.id: (r.fx, r.fy, r.fz) for r in longrange.mesh_forces(ps, longrange.potential(planes, box, grid, kappa), box, grid).collect()}
+        assert set(got) == {r[0] for r in rows if r[2] is not None} and got.pop(9, None) in (None, (None,) * 3)
+        assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-8, abs=1e-11) for i in got)
+        if rows is parts:
+            q = np.zeros((grid,) * 3)
+            for r in phi.collect():
+                q[r.gx, r.gy, r.gz] = r.q
+            whole = np.fft.irfftn(np.fft.rfftn(q) * longrange.influence(box, grid, kappa), q.shape, (0, 1, 2)) * (q.size * COULOMB / (math.pi * math.prod(box.dim)))
+            assert phi.count() == grid**3 and all(r.phi == pytest.approx(whole[r.gx, r.gy, r.gz], rel=1e-8, abs=1e-11) for r in phi.collect())
+
+
+def test_mesh_queries_need_no_task_with_the_grid(spark):
+    from lattica.plans import queries
+
+    plan = lambda q: queries.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" not in plan("spme_energy")
+
+
 def test_splines(spark):
     u = np.linspace(0.05, 3.95, 40)
     df = spark.createDataFrame([(float(x),) for x in u], "u double").select(longrange.spline(F.col("u")).alias("w"), longrange.slope(F.col("u")).alias("d")).toPandas()

@@ -804,8 +804,8 @@ def spme_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spme_forces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ps, box = water(spark, sf_dir)
     grid = longrange.mesh(box, KAPPA)
-    phi = settled(longrange.convolved(longrange.spread(ps, box, grid), box, grid, KAPPA), "phi")
-    return rounded(longrange.forces(ps, phi, box, grid))
+    phi = longrange.potential(longrange.transformed(ps, box, grid), box, grid, KAPPA)
+    return rounded(longrange.mesh_forces(ps, phi, box, grid))
 
 
 # Inserts, unloads, lookups

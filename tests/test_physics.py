@@ -445,6 +445,7 @@ def test_mesh_queries_need_no_task_with_the_grid(spark):
 
     plan = lambda q: queries.QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" not in plan("spme_energy")
+    assert "Join" not in plan("spme_forces")
 
 
 def test_splines(spark):

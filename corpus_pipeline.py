@@ -14,7 +14,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Five-word shingles, Jaccard similarity 0.8."""
+    """One document of each group stays. SimHash of five-word shingles and pivots, then the exact Jaccard similarity of 0.8."""
     return simhash.dedup(docs)
 
 

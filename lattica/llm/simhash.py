@@ -31,6 +31,8 @@ BLOCKS, PIVOTS, FILE_ROWS = 6, 16, 4096
 #: For sets of shingles: prefix shingles that similar sets share at least; sets in a small file; shingles in a chunk;
 #: buckets that a set's shingles are counted in; rows of counts in a chunk.
 SHARED, SMALL, CHUNK, BUCKETS, COUNTS = 4, 64, 1 << 19, 256, 2048
+#: For their fingerprints: bits that may differ, and the blocks of which two agree then.
+NEAR_BITS, NEAR_BLOCKS = 6, 8
 #: Above this many distinct fingerprints, files are keyed by four of eight blocks instead of two of six.
 MANY = 50_000_000
 
@@ -241,11 +243,12 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by the exact Jaccard similarity of shingle sets, for the pipeline.
+# Near copies by SimHash and pivots, checked by the exact Jaccard similarity of shingle sets, for the pipeline.
 #
-# Fingerprints can't decide this: texts of similarity 0.8 differ by some 10 of 64 bits, so a radius that keeps them all
-# is about 20, where the distances of unlike texts to any pivot differ by less too, and pivots discard nothing. Candidates
-# are found by shared shingles instead, and the exact check is the same that would follow.
+# Fingerprints within NEAR_BITS are found by links(), as above, and what they name is verified. They can't decide alone:
+# texts of similarity 0.8 differ by some 10 of 64 bits, many by more, and a radius that keeps them all (about 20) is one at
+# which pivots discard nothing. So an exact join on shared prefix shingles follows for sets that are still apart, and no link
+# is lost.
 
 
 def shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -255,6 +258,14 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
 
 
+def set_fingerprint(found: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles, as shingles() gives it; 0 if there is none."""
+    total = np.zeros(64, np.int64)
+    for lo in range(0, len(found), 1 << 16):
+        total += np.unpackbits(found[lo : lo + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return _signed(sum(1 << int(b) for b in np.flatnonzero(2 * total > len(found))))
+
+
 def prefix(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The first shingles in an order that all texts share: frequent ones (hot, rarest first) last, else by hash.
 
@@ -360,7 +371,8 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     """(doc_id, row, sid) per row of docs, row being the column that tells rows of a doc_id apart and sid naming its set of shingles, and (a, b): enough links to
     connect all sets of Jaccard similarity 0.8 or more.
 
-    Sets are filed under each shingle of their prefix. First every set of a file is compared with the file's first, which
+    First the sets' fingerprints are linked, by block keys and pivots, and each such link is verified on the sets. What they
+    don't reach follows: sets are filed under each shingle of their prefix. Every set of a file is compared with the file's first, which
     connects most groups whatever their size. Then only files with sets that are still apart go on: in files of up to
     small sets all pairs are counted, and those that meet SHARED times are compared; in larger files all sets meet, chunk
     by chunk. Pairs are discarded by their counts in buckets, a table made once for each set, before the sets themselves
@@ -374,10 +386,10 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts_of(batches, 1000):
             sets = [shingles(t, shingle) for t in b.column(2).to_pylist()]
-            cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(counted, sets)), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "n", "c", "pre"])
+            cols = [pa.array([name(x) for x in sets], pa.int64()), pa.array(list(map(set_fingerprint, sets)), pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(counted, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array([prefix(x, hot).view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "row", "sid", "fp", "n", "c", "pre"])
 
-    marked = written(docs.mapInArrow(mark, "doc_id long, row long, sid long, n int, c binary, pre array<long>"), "near-sets")
+    marked = written(docs.mapInArrow(mark, "doc_id long, row long, sid long, fp long, n int, c binary, pre array<long>"), "near-sets")
     filed = marked.select("sid", "n", "pre").dropDuplicates(["sid"]).select(F.explode("pre").alias("h"), "sid", "n")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,11 +441,22 @@ def similar(docs: DataFrame, shingle: int = 5, small: int = SMALL, chunk: int =
         enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
         return pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").where(enough).select("a", "b")
 
-    # every set with the first of its files
+    # sets whose fingerprints are equal or linked
+    firsts = written(marked.groupBy("fp").agg(F.min("sid").alias("first")), "near-fingerprints")
+    first_of = lambda fp, c: firsts.select(F.col("fp").alias(fp), F.col("first").alias(c))
+    equal = marked.select("fp", "sid").distinct().join(firsts, "fp").where("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    across = links(firsts.select("fp"), NEAR_BITS, NEAR_BLOCKS).join(first_of("a", "x"), "a").join(first_of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    close = bounded(equal.union(across), "near-close")
+    close = written(verified(close, sets_of(close.select(F.explode(F.array("a", "b")).alias("sid")))), "near-close-links")
+    joined = contracted(close)
+    root_of = lambda c, r: joined.select(F.col("node").alias(c), F.col("root").alias(r))
+
+    # every set with the first of its files, unless they are joined by now
     near = (5 * F.least("n", "ref_n") >= 4 * F.greatest("n", "ref_n")) & (F.col("sid") != F.col("ref"))
     stars = files.where(near).groupBy(F.col("ref").alias("a"), F.col("sid").alias("b")).count().where(f"count >= {SHARED}").select("a", "b")
+    stars = stars.join(root_of("a", "x"), "a", "left").join(root_of("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
     stars = bounded(stars, "near-stars")
-    found = written(verified(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid")))), "near-star-links")
+    found = written(close.union(verified(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("sid"))))), "near-star-links")
     roots = contracted(found).withColumnRenamed("node", "sid")
 
     # what is still apart

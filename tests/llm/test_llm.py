@@ -710,3 +710,35 @@ def test_near_copies(spark, small, chunk):
     assert [mine.index(m) for m in mine] == label
     if small == 64:
         assert {r.doc_id for r in simhash.dedup(frame(spark, rows)).collect()} == set(label)
+
+
+def test_near_copies_come_by_fingerprints(spark, monkeypatch):
+    """The sets' fingerprints are linked by block keys and pivots, which lose none within the radius; only links that the
+    sets confirm stay, and what differs by more bits is found all the same."""
+    asked, links = [], simhash.links
+
+    def kept(distinct, *settings):
+        asked.append((distinct, settings))
+        return links(distinct, *settings)
+
+    monkeypatch.setattr(simhash, "links", kept)
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(len(rows) + n, " ".join([*base[: 300 - cut], *[f"new{k}" for _ in range(cut)]]), "en", "a", 0) for n, cut in enumerate((0, 1, 28, 200))]
+    marked, edges = simhash.similar(frame(spark, rows), 5)
+    assert [s for _, s in asked] == [(simhash.NEAR_BITS, simhash.NEAR_BLOCKS)]
+    fps = sorted(r.fp for r in asked[0][0].collect())
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    roots = {r.node: r.root for r in simhash.contracted(links(spark.createDataFrame([(f,) for f in fps], "fp long"), *asked[0][1])).collect()}
+    label = {f: f for f in fps}
+    for _ in fps:
+        label = {a: min(label[b] for b in fps if bits(a, b) <= simhash.NEAR_BITS) for a in fps}
+    assert {f: roots.get(f, f) for f in fps} == label and len(set(label.values())) < len(fps)
+    of = {r.doc_id: r.sid for r in marked.collect()}
+    found = {r.node: r.root for r in simhash.contracted(edges).collect()}
+    groups = [len({found.get(of[k + n], of[k + n]) for n in range(3)}) for k in range(0, len(rows), 4)]
+    assert groups == [1] * 12 and len({found.get(s, s) for s in of.values()}) == 24
+    one = simhash.set_fingerprint(simhash.shingles("a b c d e f", 5)[:1])
+    assert one == simhash._signed(int(simhash.shingles("a b c d e f", 5)[0])) and simhash.set_fingerprint(simhash.shingles("", 5)) == 0

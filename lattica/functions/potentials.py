@@ -1,10 +1,12 @@
-"""Energies and (dE/dr) / r as column expressions of r2. A term is a pair (energy, force factor)."""
+"""Energies and (dE/dr) / r as column expressions of r2. A term is a pair (energy, force factor). lj() and coulomb() take
+arrays of numbers as well, and give arrays."""
 
 from __future__ import annotations
 
 import math
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,14 +37,13 @@ def erfc(x: Column) -> Column:
 
 def lj(r2: Column, a: Column | float, b: Column | float) -> Term:
     """a / r^12 - b / r^6."""
-    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
     ir2 = 1.0 / r2
     ir6 = ir2 * ir2 * ir2
     return Term(ir6 * (a * ir6 - b), ir6 * (-12.0 * a * ir6 + 6.0 * b) * ir2)
 
 
 def coulomb(r2: Column, q: Column) -> Term:
-    e = F.lit(COULOMB) * q / F.sqrt(r2)
+    e = COULOMB * q / (F.sqrt(r2) if isinstance(r2, Column) else np.sqrt(r2))
     return Term(e, -e / r2)
 
 

@@ -103,16 +103,16 @@ def _solves(x: np.ndarray, old: np.ndarray, im: np.ndarray, i: np.ndarray, j: np
     return count
 
 
-def shake(state: DataFrame, constraints: DataFrame, box: Box, dt: float, tol: float = 1e-8, most: int = 100, preconditioned: bool = False) -> DataFrame:
+def shake(state: DataFrame, constraints: DataFrame, box: Box, dt: float, tol: float = 1e-8, most: int = 100, preconditioned: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Constrained positions and velocities.
 
     state: (rid, id, m, x, y, z, vx, vy, vz, ox, oy, oz), o the positions before the step; constraints: (rid, i, j, d2).
     Each group is solved until every squared distance is within tol, by sweeps over its constraints or, preconditioned,
     by all of them at once. Groups of equal shape are stacked and solved together. Returns (rid, id, x..vz, sweeps,
-    residual); a residual over tol says that most was not enough.
+    residual) and the columns also of state; a residual over tol says that most was not enough.
     """
     rules = constraints.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("i", "j", "d2"))).alias("c"))
-    parts = state.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("id", *STATE))).alias("p"))
+    parts = state.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("id", *STATE, *also))).alias("p"))
     edge = np.array([d if p else 0.0 for d, p in zip(box.dim, box.periodic, strict=True)])
     solver = _solves if preconditioned else _sweeps
 
@@ -139,6 +139,8 @@ def shake(state: DataFrame, constraints: DataFrame, box: Box, dt: float, tol: fl
                 left = np.abs((_near(x[g, i] - x[g, j], edge) ** 2).sum(axis=2) - d2).max(axis=1)
                 repeat = lambda a, k=shape[0]: np.repeat(a, k)
                 flat = [repeat(rid[at]), ids.ravel(), *[x[:, :, k].ravel() for k in range(3)], *[v[:, :, k].ravel() for k in range(3)], repeat(count), repeat(left)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in flat], names=["rid", "id", "x", "y", "z", "vx", "vy", "vz", "sweeps", "residual"])
+                rest = [pf.field(k).take(pa.array(own.ravel())) for k in also]
+                yield pa.RecordBatch.from_arrays([*[pa.array(a) for a in flat], *rest], names=["rid", "id", "x", "y", "z", "vx", "vy", "vz", "sweeps", "residual", *also])
 
-    return parts.join(rules, "rid").mapInArrow(solve, "rid long, id long, x double, y double, z double, vx double, vy double, vz double, sweeps int, residual double")
+    kinds = "".join(f", `{c}` {state.schema[c].dataType.simpleString()}" for c in also)
+    return parts.join(rules, "rid").mapInArrow(solve, "rid long, id long, x double, y double, z double, vx double, vy double, vz double, sweeps int, residual double" + kinds)

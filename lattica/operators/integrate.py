@@ -28,15 +28,27 @@ def advanced(rows: DataFrame, forces: DataFrame, dt: float, box: Box) -> DataFra
     return wrapped(moved(rows, forces, dt), box)
 
 
+def members(constraints: DataFrame) -> DataFrame:
+    """(rid, id): the particles of rigid groups."""
+    return constraints.select("rid", F.explode(F.array("i", "j")).alias("id")).distinct()
+
+
+def solved(rows: DataFrame, constraints: DataFrame, box: Box, dt: float, preconditioned: bool = False) -> DataFrame:
+    """rows with the particles of rigid groups put back on their constraints (rid, i, j, d2). rows have rid, null where a
+    particle is in no group, and ox, oy, oz, its place before the step; both are left out of what is returned. Particles go
+    through the solve as a whole, so that rows are not joined with what it found."""
+    cols = [c for c in rows.columns if c not in ("rid", "ox", "oy", "oz")]
+    also = tuple(c for c in cols if c not in ("id", "m", "x", "y", "z", *V))
+    held = rows.where(F.col("rid").isNotNull()).withColumn("_m", F.col("m"))
+    found = shake(held, constraints, box, dt, preconditioned=preconditioned, also=(*also, "_m"))
+    return found.withColumnRenamed("_m", "m").select(*cols).union(rows.where(F.col("rid").isNull()).select(*cols))
+
+
 def constrained(rows: DataFrame, before: DataFrame, constraints: DataFrame, box: Box, dt: float, preconditioned: bool = False) -> DataFrame:
     """rows with the particles of rigid groups put back on their constraints (rid, i, j, d2); before are the same particles
     before the step."""
-    of = constraints.select("rid", F.explode(F.array("i", "j")).alias("id")).distinct()
     old = before.select("id", *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    state = rows.select("id", "m", "x", "y", "z", *V).join(of, "id").join(old, "id").select("rid", "id", "m", "x", "y", "z", *V, "ox", "oy", "oz")
-    found = shake(state, constraints, box, dt, preconditioned=preconditioned).select("id", *[F.col(c).alias(f"_{c}") for c in ("x", "y", "z", *V)])
-    met = rows.join(found, "id", "left")
-    return met.withColumns({c: F.coalesce(f"_{c}", c) for c in ("x", "y", "z", *V)}).drop(*[f"_{c}" for c in ("x", "y", "z", *V)])
+    return solved(rows.join(members(constraints), "id", "left").join(old, "id"), constraints, box, dt, preconditioned).select(*rows.columns)
 
 
 def thermostat(rows: DataFrame, temperature: DataFrame, target: float, strength: float) -> DataFrame:

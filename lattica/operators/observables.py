@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.binning import differences, half_shell
+from lattica.operators.binning import AXES, differences, half_shell, image
 from lattica.operators.state import running, small
 from lattica.schema import GAS, Box
 
@@ -59,6 +59,13 @@ def max_displacement(now: DataFrame, then: DataFrame, box: Box) -> DataFrame:
     return met.select(dx.alias("dx"), dy.alias("dy"), dz.alias("dz")).agg(F.max(F.sqrt(square("dx", "dy", "dz"))).alias("maxdx"))
 
 
+def displacement(rows: DataFrame, then: tuple[str, ...], box: Box) -> DataFrame:
+    """The same for rows that carry where they were, in the columns then."""
+    way = [F.col(c) - F.col(t) for c, t in zip(AXES, then, strict=True)]
+    near = [image(d, e) if p else d for d, e, p in zip(way, box.dim, box.periodic, strict=True)]
+    return rows.select(*[d.alias(f"d{c}") for d, c in zip(near, AXES, strict=True)]).agg(F.max(F.sqrt(square("dx", "dy", "dz"))).alias("maxdx"))
+
+
 def rebuild_needed(displacement: DataFrame, skin: float, cutoff: float) -> DataFrame:
     """Whether the pair list has to be made anew: 2 maxdx > skin or maxdx > cutoff / 4."""
     return displacement.select("maxdx", ((2.0 * F.col("maxdx") > skin) | (F.col("maxdx") > 0.25 * cutoff)).alias("rebuild"))

@@ -29,6 +29,38 @@ def settled(df: DataFrame, name: str = "state") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Makes Spark remove what a query shuffled as soon as the query ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Held:
+    """Tables of a loop. Each is settled, closely packed, under a name; a table that had the name before is removed, and so
+    is what was shuffled."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, tuple[SparkSession, str]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        self.drop(name)
+        self.at[name] = spark, path
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Removes the tables of these names, where they are there."""
+        for name in names:
+            if name in self.at:
+                spark, path = self.at.pop(name)
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of a table of species or of pairs of them that goes to every task, at most.
 SMALL = 100_000
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,8 +225,10 @@ def pair_energy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("e"), 2).alias("e"), F.round(F.min("e"), 3).alias("lowest"), F.round(F.max("e"), 3).alias("highest"), (F.round(F.sum("f"), 0) + 0.0).alias("f"))
 
 
-def lj_coulomb(rows: DataFrame) -> pot.Term:
-    return pot.lj(F.col("r2"), F.col("a"), F.col("b")) + pot.coulomb(F.col("r2"), F.col("q_i") * F.col("q_j"))
+def lj_coulomb(rows: DataFrame | Mapping[str, np.ndarray]) -> pot.Term:
+    """Of a joined table, or of arrays by name."""
+    c = F.col if isinstance(rows, DataFrame) else rows.__getitem__
+    return pot.lj(c("r2"), c("a"), c("b")) + pot.coulomb(c("r2"), c("q_i") * c("q_j"))
 
 
 F_SQL = f"((CASE WHEN ti + tj = 0 THEN {LJ_F} ELSE 0 END) - {K} * qq / (r2 * r))"
@@ -989,7 +992,7 @@ def state_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three steps of the rigid water: constraints, thermostat, and a list of pairs kept while it lasts."""
     edges = rigid_edges(spark, sf_dir).select(F.floor(F.col("i") / 3).alias("rid"), "i", "j", "d2")
-    _, rows = system(spark, sf_dir, constraints=settled(edges, "constraints"), heat=(300.0, 0.1), skin=SKIN).trajectory(3, DT)
+    _, rows = system(spark, sf_dir, constraints=settled(edges, "constraints"), heat=(300.0, 0.1), skin=SKIN, kernel=lj_coulomb).trajectory(3, DT)
     return rows.select("step", *[F.round(c, 3).alias(c) for c in ("epot", "ekin", "temperature")])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import potentials as pot
 from lattica.functions import tables
-from lattica.operators import binning, bonded, constraints, forcefield, integrate, longrange, observables, pairs
+from lattica.operators import binning, bonded, bricks, constraints, forcefield, integrate, longrange, observables, pairs
 from lattica.plans.system import ParticleSystem, SkinList
 from lattica.schema import COULOMB, Box
 
@@ -519,3 +519,73 @@ def test_psf_numbers_broken_into_lines(spark, tmp_path):
     assert [(r.i, r.j, r.k) for r in top.angles.collect()] == [(1, 0, 2)] and top.dihedrals.count() == 0 and top.types.count() == 4
     lines = structure.psf_lines(top.atoms, top.bonds, top.angles, top.dihedrals, ("HT",)).where("line like '%!%'").collect()
     assert {r.line.split("!")[1].split(":")[0]: int(r.line.split()[0]) for r in lines} == {"NATOM": 2, "NBOND": 1, "NTHETA": 0, "NPHI": 0, "NIMPHI": 0}
+
+
+# Pairs kept by bricks of the box
+
+
+def brute(ps, box, gone=()):
+    return {(r.i, r.j) for r in pairs.all_pairs(ps, box).collect()} - set(gone)
+
+
+@pytest.mark.parametrize("held,edge,periodic", [(10_000, (3.0,) * 3, (True,) * 3), (12, (3.0,) * 3, (True,) * 3), (12, (3.0, 2.0, 4.5), (True, False, True)), (3, (3.0, 2.0, 4.5), (False, True, False))])
+def test_bricks_lose_no_pair(spark, monkeypatch, held, edge, periodic):
+    """One brick, where copies are images of its own particles, two along an axis and more; a state in which particles have
+    gone on, some past the end of the box; exclusions between bricks as well."""
+    monkeypatch.setattr(bricks, "HELD", held)
+    rng = random.Random(5)
+    rows = [(i, i // 3, i % 2, 0, 0.5 if i % 2 else -0.5, *[rng.random() * e for e in edge], 0.0, 0.0, 0.0, 1.0) for i in range(180)]
+    ps, box = spark.createDataFrame(rows, COLS), Box((0.0,) * 3, edge, 0.6, periodic)
+    near = sorted(brute(ps, box))
+    gone = near[::3]
+    # the same pair again, and the other way round
+    kept = SkinList.made(ps, box, 0.1, spark.createDataFrame([*gone, gone[0], gone[1][::-1]], "i long, j long"))
+    later = binning.wrapped(ps.withColumns({c: F.col(c) + 0.03 * F.sin(F.col("id") * k) for c, k in zip("xyz", (1, 2, 3), strict=True)}), box)
+    assert not kept.stale(later)
+    for now in (ps, later):
+        found = [(min(r.i, r.j), max(r.i, r.j)) for r in kept.pairs(now).collect()]
+        assert len(found) == len(set(found)) and set(found) == brute(now, box, gone) and len(found) > 100
+    got, want = ({(min(r.i, r.j), max(r.i, r.j)): r for r in d.collect()} for d in (kept.pairs(later), pairs.neighbour_pairs(later, box)))
+    for k, r in got.items():
+        s = 1 if (r.i, r.j) == (want[k].i, want[k].j) else -1
+        assert np.allclose((r.dx, r.dy, r.dz), (s * want[k].dx, s * want[k].dy, s * want[k].dz), atol=1e-12)
+        assert {(r.i, r.type_i, r.q_i), (r.j, r.type_j, r.q_j)} == {(n, n % 2, 0.5 if n % 2 else -0.5) for n in k}
+
+
+def test_forces_summed_in_bricks(spark, monkeypatch):
+    """They are those of the joined pairs, also where types have no potential."""
+    monkeypatch.setattr(bricks, "HELD", 12)
+    term = lambda rows: pot.coulomb(*((F.col("r2"), F.col("q_i") * F.col("q_j")) if not isinstance(rows, dict) else (rows["r2"], rows["q_i"] * rows["q_j"]))) + pot.lj(*[F.col(c) if not isinstance(rows, dict) else rows[c] for c in ("r2", "a", "b")])
+    pair_pot = spark.createDataFrame([(0, 0, 2.6e-6, 2.6e-3), (0, 1, 1e-6, 1e-3), (1, 0, 1e-6, 1e-3)], "type_i int, type_j int, a double, b double")
+    s = ParticleSystem(gas(spark), Box((0.0,) * 3, (3.0,) * 3, 0.7), pair_pot, term, skin=0.1)
+    want = s.work().orderBy("id").toPandas()
+    got = ParticleSystem(**{**s.__dict__, "kernel": term}).settled().work().orderBy("id").toPandas()
+    assert got["id"].tolist() == want["id"].tolist()
+    assert np.allclose(got[["fx", "fy", "fz"]], want[["fx", "fy", "fz"]], rtol=1e-9, atol=1e-9)
+    assert got["nonbond"].sum() == pytest.approx(want["nonbond"].sum())
+
+
+def test_a_run_keeps_little_on_disk(spark, monkeypatch):
+    """A kept pair takes less than two bytes; a run leaves its last state and its rows of stats, not its other tables, and
+    steps as it does without a list."""
+    import pathlib
+
+    from lattica.operators.state import shared_folder
+    from lattica.plans import queries as q
+    from tests.helpers import SF
+
+    shared = pathlib.Path(shared_folder(spark).removeprefix("file://"))
+    size = lambda at: sum(p.stat().st_size for p in at.rglob("*.parquet"))
+    ps, box = q.massed(spark, SF), q.fixtures.box(spark, SF)
+    before = set(shared.iterdir())
+    kept = SkinList.made(ps, box, q.SKIN)
+    (folder,) = set(shared.iterdir()) - before
+    assert size(folder) < 2 * kept.pairs(ps).count()
+    edges = q.settled(q.rigid_edges(spark, SF).select(F.floor(F.col("i") / 3).alias("rid"), "i", "j", "d2"))
+    make = lambda **more: q.system(spark, SF, constraints=edges, heat=(300.0, 0.1), **more)
+    before = set(shared.iterdir())
+    _, rows = make(skin=q.SKIN, kernel=q.lj_coulomb).trajectory(2, q.DT)
+    assert sorted(p.name.split("-")[0] for p in set(shared.iterdir()) - before) == ["state", "stats", "stats"]
+    _, plain = make().trajectory(2, q.DT)
+    a, b = (d.orderBy("step").select("epot", "ekin", "temperature").toPandas() for d in (rows, plain))
+    assert np.allclose(a, b, rtol=1e-9)

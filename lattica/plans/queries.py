@@ -990,9 +990,9 @@ def state_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trajectory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three steps of the rigid water: constraints, thermostat, and a list of pairs kept while it lasts."""
+    """Five steps of the rigid water: constraints, thermostat, and a list of pairs kept while it lasts."""
     edges = rigid_edges(spark, sf_dir).select(F.floor(F.col("i") / 3).alias("rid"), "i", "j", "d2")
-    _, rows = system(spark, sf_dir, constraints=settled(edges, "constraints"), heat=(300.0, 0.1), skin=SKIN, kernel=lj_coulomb).trajectory(3, DT)
+    _, rows = system(spark, sf_dir, constraints=settled(edges, "constraints"), heat=(300.0, 0.1), skin=SKIN, kernel=lj_coulomb).trajectory(5, DT)
     return rows.select("step", *[F.round(c, 3).alias(c) for c in ("epot", "ekin", "temperature")])
 
 

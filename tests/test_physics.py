@@ -589,3 +589,52 @@ def test_a_run_keeps_little_on_disk(spark, monkeypatch):
     _, plain = make().trajectory(2, q.DT)
     a, b = (d.orderBy("step").select("epot", "ekin", "temperature").toPandas() for d in (rows, plain))
     assert np.allclose(a, b, rtol=1e-9)
+
+
+def test_trajectory_stats_goes_all_five_steps(spark):
+    """Each of its rows is that of a run by all pairs, without lists, bricks or tables, and constraints solved by more sweeps."""
+    from lattica.plans import queries as q
+    from lattica.schema import COULOMB, GAS
+    from tests.helpers import SF
+
+    got = q.trajectory_stats(spark, SF).orderBy("step").toPandas()
+    assert got["step"].tolist() == [1, 2, 3, 4, 5]
+    ps, box = q.massed(spark, SF).orderBy("id").toPandas(), q.fixtures.box(spark, SF)
+    x, v, m, edge = ps[["x", "y", "z"]].to_numpy(), ps[["vx", "vy", "vz"]].to_numpy(), ps["m"].to_numpy()[:, None], box.dim[0]
+    near = lambda d: d - edge * np.floor(d / edge + 0.5)
+    i, j = np.triu_indices(len(ps), 1)
+    i, j = (k[ps["vid"].to_numpy()[i] != ps["vid"].to_numpy()[j]] for k in (i, j))
+    kind, qq = ps["type"].to_numpy(), ps["q"].to_numpy()
+    rigid = [(np.arange(a, len(ps), 3), np.arange(b, len(ps), 3)) for a, b in ((0, 1), (0, 2), (1, 2))]
+    kept = [(near(x[a] - x[b]) ** 2).sum(axis=1) for a, b in rigid]
+
+    def work(x):
+        d = near(x[i] - x[j])
+        r2 = (d * d).sum(axis=1)
+        at = np.flatnonzero(r2 <= box.cutoff**2)
+        r2, a, b, oxygen = r2[at], i[at], j[at], (kind[i[at]] + kind[j[at]] == 0)
+        lj, c = np.where(oxygen, q.A / r2**6 - q.B / r2**3, 0.0), COULOMB * qq[a] * qq[b] / np.sqrt(r2)
+        f = (np.where(oxygen, -12 * q.A / r2**6 + 6 * q.B / r2**3, 0.0) - c)[:, None] / r2[:, None] * d[at]
+        out = np.zeros_like(x)
+        np.add.at(out, a, -f)
+        np.add.at(out, b, f)
+        return (lj + c).sum(), out
+
+    _, f = work(x)
+    for row in got.itertuples():
+        old, v = x, v + q.DT * f / m
+        x = x + q.DT * v
+        free = x.copy()
+        for _ in range(100):
+            for (a, b), d2 in zip(rigid, kept, strict=True):
+                d, o = near(x[a] - x[b]), near(old[a] - old[b])
+                s = ((d * d).sum(axis=1) - d2)[:, None] / (2 * (d * o).sum(axis=1)[:, None] * (1 / m[a] + 1 / m[b]))
+                x[a] -= s / m[a] * o
+                x[b] += s / m[b] * o
+        v = v + (x - free) / q.DT
+        x = x - edge * np.floor(x / edge)
+        free_degrees = 3 * len(ps) - sum(len(d) for d in kept)
+        heat = lambda: (0.5 * m * v * v).sum()  # noqa: B023, E731
+        v = v * np.sqrt(1 + 0.1 * (300.0 / (2 * heat() / (GAS * free_degrees)) - 1))
+        epot, f = work(x)
+        assert (row.epot, row.ekin, row.temperature) == pytest.approx((epot, heat(), 2 * heat() / (GAS * free_degrees)), rel=1e-5)

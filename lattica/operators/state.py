@@ -31,23 +31,30 @@ def settled(df: DataFrame, name: str = "state") -> DataFrame:
 
 #: Makes Spark remove what a query shuffled as soon as the query ends, not when the driver collects its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Partitions of a shuffle, and rows of one, about.
+PARTITIONS, ROWS = "spark.sql.shuffle.partitions", 100_000
 
 
 class Held:
     """Tables of a loop. Each is settled, closely packed, under a name; a table that had the name before is removed, and so
-    is what was shuffled."""
+    is what was shuffled. Shuffles have partitions enough for tables of so many rows, so that a task's memory is bounded."""
 
-    def __init__(self) -> None:
+    def __init__(self, rows: int = 0) -> None:
         self.at: dict[str, tuple[SparkSession, str]] = {}
+        self.least = -(-rows // ROWS)
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         spark = df.sparkSession
-        path, before = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
-        spark.conf.set(CLEANUP, "true")
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        wanted = {CLEANUP: "true", PARTITIONS: str(max(self.least, int(spark.conf.get(PARTITIONS))))}
+        before = {k: spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         self.drop(name)
         self.at[name] = spark, path
         return spark.read.schema(df.schema).parquet(path)

@@ -149,7 +149,7 @@ class ParticleSystem:
         """The system after some steps and a row of stats for each. Interactions are worked out once for each state: a
         step takes the forces that the stats before it were made with. With every, the particles of every such step are
         added to folder, by step. Of the states, their work and lists of pairs, only those that are still read are kept."""
-        hold, rows, cols = Held(), None, [c for c in self.particles.columns if c not in bricks.HOME]
+        hold, rows, cols = Held(self.particles.count()), None, [c for c in self.particles.columns if c not in bricks.HOME]
         groups = None if self.constraints is None else hold(members(self.constraints), "members")
         now = replace(self, particles=hold(self.particles.select(*cols), "state"), kept=None).listed(hold)
         work = hold(now.work(), "work")

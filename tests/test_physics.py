@@ -638,3 +638,18 @@ def test_trajectory_stats_goes_all_five_steps(spark):
         v = v * np.sqrt(1 + 0.1 * (300.0 / (2 * heat() / (GAS * free_degrees)) - 1))
         epot, f = work(x)
         assert (row.epot, row.ekin, row.temperature) == pytest.approx((epot, heat(), 2 * heat() / (GAS * free_degrees)), rel=1e-5)
+
+
+def test_a_loops_shuffles_grow_with_its_rows(spark, monkeypatch):
+    """However few partitions the session asks for, a task of a long table's loop gets few rows; the setting stays as it was."""
+    from lattica.operators import state
+
+    monkeypatch.setattr(state, "ROWS", 100)
+    was = {k: spark.conf.get(k) for k in (state.PARTITIONS, "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = {n: state.Held(n)(spark.range(2000).repartition("id"), "rows").groupBy(F.input_file_name()).count().collect() for n in (0, 2000)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was["spark.sql.adaptive.enabled"])
+    assert len(held[0]) == int(was[state.PARTITIONS]) and len(held[2000]) == 20 and sum(r["count"] for r in held[2000]) == 2000
+    assert spark.conf.get(state.PARTITIONS) == was[state.PARTITIONS]
